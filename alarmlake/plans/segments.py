@@ -128,3 +128,11 @@ def running_total(df: DataFrame, value: str, index: str, name: str, chunk_bits:
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_chunk", "_local", "_offset")
     )
+
+
+def positions(df: DataFrame, keys: Sequence[str], seq: str = "seq", limit: int = 1 << RUN_BITS) -> DataFrame:
+    """Add ``_rn`` by a plain window when the largest key is known to hold at most ``limit``
+    rows, else by the split numbering; both give the same numbers."""
+    if largest_group(df, keys) <= limit:
+        return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(seq)))
+    return row_numbers(df, keys, seq)
