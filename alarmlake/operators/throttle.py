@@ -114,6 +114,8 @@ def throttle(rows: DataFrame, keys: list[str], seq: str = "seq", us: str = "us",
     """
     run_keys = [*keys, "_run"]
     placed = rows.withColumn("_run", run_of(seq, bits))
+    ends = placed.agg(F.min("_run").alias("lo"), F.max("_run").alias("hi")).first()
+    several_runs = ends.lo is not None and ends.lo < ends.hi
     spans = placed.groupBy(*keys).agg(F.min("_run").alias("lo"), F.max("_run").alias("hi"))
     long_keys = spans.where(F.col("lo") < F.col("hi")).select(*keys)
     key_schema = T.StructType([placed.schema[k] for k in run_keys])
@@ -177,9 +179,12 @@ def throttle(rows: DataFrame, keys: list[str], seq: str = "seq", us: str = "us",
                 hidden[s:e], anchor = hide_repeats(times[s:e], int(pdf[width].iat[s]), anchor)
             yield pdf.assign(hidden=hidden)[names]
 
+    if several_runs:
+        placed = placed.join(anchors, run_keys, "left")
+    else:
+        placed = placed.withColumn("_anchor", F.lit(None).cast("bigint"))
     return (
-        placed.join(anchors, run_keys, "left")
-        .repartition(*run_keys)
+        placed.repartition(*run_keys)
         .sortWithinPartitions(*run_keys, seq)
         .mapInPandas(fold, out_schema)
     )
