@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from alarmlake.operators.lookup import with_code_labels
 
@@ -167,3 +168,48 @@ def sample_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("2024-01-01T00:00:00+00:00").alias("taught_at"),
         (F.col("p_partkey") % 3 != 0).alias("reversible"),
     )
+
+
+def sample_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal that teaches every sample rule in code order, then undoes some reversible ones."""
+    rules = sample_rules(spark, sf_dir)
+    order = W.orderBy("rule_order")  # at most 100 rules by construction
+    taught = rules.withColumn("i", F.row_number().over(order))
+    count = rules.agg(F.count(F.lit(1))).scalar()
+    undone = (
+        rules.where(F.col("reversible") & (F.col("rule_order") % 4 == 1))
+        .withColumn("i", F.row_number().over(order))
+        .select((count * 2 + F.col("i")).alias("line"), F.lit("undo").alias("op"), "rule_id", (count + F.col("i") + 1).alias("model_version"))
+    )
+    example = lambda name, label: F.struct(
+        F.create_map(F.concat(F.lit(name), F.col("rule_order").cast("string")), F.lit(1.0)).alias("features"),
+        F.lit(label).alias("label"),
+        F.lit(1.0).alias("weight"),
+    )
+    learn = taught.select(
+        (F.col("i") * 2 - 1).cast("bigint").alias("line"), F.lit("learn").alias("op"), F.struct(*[c for c in rules.columns if c != "rule_order"]).alias("rule")
+    )
+    commit = taught.select(
+        (F.col("i") * 2).cast("bigint").alias("line"),
+        F.lit("commit").alias("op"),
+        "rule_id",
+        (F.col("i") + 1).cast("bigint").alias("model_version"),
+        F.lit(0.1).alias("learning_rate"),
+        F.lit(0.9).alias("nuisance_threshold"),
+        F.lit(60).cast("bigint").alias("collapse_window_s"),
+        F.lit(1).alias("feature_encoding_version"),
+        F.array(example("code=", 1), example("entity=", 0)).alias("examples"),
+    )
+    return (
+        learn.unionByName(commit, allowMissingColumns=True)
+        .unionByName(undone, allowMissingColumns=True)
+        .withColumn("schema_version", F.lit(1))
+    )
+
+
+def sample_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each journal revision was applied, spread evenly over the event history."""
+    step = table(spark, sf_dir, "events").agg(F.floor(F.count(F.lit(1)) / 120)).scalar()
+    return sample_journal(spark, sf_dir).where("model_version IS NOT NULL").select(
+        F.col("model_version").alias("version"), (F.col("model_version") * step).alias("applied_at")
+    )
