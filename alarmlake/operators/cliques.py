@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alarmlake.session import materialize
+
 
 def _search(later: int, earlier: int, adjacent: list[int]) -> list[int]:
     """Bit masks of the maximal cliques inside one neighbourhood.
@@ -69,12 +71,14 @@ def maximal_cliques(edges: DataFrame) -> DataFrame:
     where it ranks lowest, so no task ever holds the whole graph and nothing is reported twice.
     """
     pairs = edges.select(F.col("code_a").alias("a"), F.col("code_b").alias("b")).distinct()
+    pairs = materialize(pairs, "edges")  # read several times below; one row per code pair
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    ranked = (
+    ranked = materialize(
         both.join(degree, "a")
         .join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
-        .withColumn("later", F.struct("db", "b") > F.struct(F.col("d").alias("db"), F.col("a").alias("b")))
+        .withColumn("later", F.struct("db", "b") > F.struct(F.col("d").alias("db"), F.col("a").alias("b"))),
+        "ranked",
     )
     out = ranked.where("later").select("a", "b", "db")
     left = out.select("a", F.col("b").alias("p"), F.col("db").alias("dp"))

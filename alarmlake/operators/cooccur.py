@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alarmlake.plans.segments import micros
+from alarmlake.session import materialize
 from alarmlake.settings import COOCCUR_MIN_SUPPORT, COOCCUR_WINDOW_S, LOW_SUPPORT_ROWS, UNDOCUMENTED
 
 _STATION_BUCKET = ["turbine_id", "bucket"]
@@ -105,7 +106,7 @@ def group_coverage(groups: DataFrame, alarms: DataFrame, edges: DataFrame) -> Da
 
     Stations and dates are counted from distinct (code, station) and (code, date) pairs.
     """
-    members = groups.select("codes", F.explode("codes").alias("alarm_code"))
+    members = materialize(groups.select("codes", F.explode("codes").alias("alarm_code")), "members")
     counts = alarms.groupBy("alarm_code").agg(F.count(F.lit(1)).alias("n"))
     sizes = members.join(counts, "alarm_code").groupBy("codes").agg(
         F.min("n").alias("min_code_rows"), F.sum("n").alias("rows")

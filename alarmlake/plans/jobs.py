@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alarmlake.operators import audit, cliques, cooccur, learn, lookup, metrics, quality, rules, validate, vocabulary
-from alarmlake.operators.events import event_order, merged_events
-from alarmlake.operators.filters import half_open, month_bounds, month_profile, month_slice, point_lookup, trailing_window
+from alarmlake.operators.detect import with_anomaly
+from alarmlake.operators.events import merged_events
+from alarmlake.operators.filters import month_profile, month_slice, point_lookup, trailing_window
 from alarmlake.plans.segments import dense_sequence
 from alarmlake.schemas import ALARM_KEY
+from alarmlake.session import materialize
 from alarmlake.settings import (
     COOCCUR_MIN_SUPPORT,
     COOCCUR_WINDOW_S,
@@ -22,9 +24,6 @@ from alarmlake.settings import (
 )
 from alarmlake.sources import scans, sinks
 
-__all__ = ["event_order", "half_open"]
-
-
 @dataclass(frozen=True)
 class BaselineOptions:
     window: str = FLOOD_WINDOW
@@ -97,7 +96,7 @@ def duplicate_sensitivity(alarms: DataFrame, o: BaselineOptions = BaselineOption
     first = alarms.groupBy(*ALARM_KEY).agg(F.min("description").alias("description"), F.min("stopping").alias("stopping"))
     out = None
     for name, rows in (("all_rows", alarms), ("distinct_keys", first)):
-        groups = cliques.maximal_cliques(cooccur.cooccurrence_edges(rows, o.pair_window_s, o.min_support))
+        groups = materialize(cliques.maximal_cliques(cooccur.cooccurrence_edges(rows, o.pair_window_s, o.min_support)), "groups")
         part = metrics.alarm_rate(rows).select(
             F.lit(name).alias("variant"),
             "records",
@@ -127,8 +126,8 @@ def sanity(alarms: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def baseline(alarms: DataFrame, metadata: DataFrame, o: BaselineOptions = BaselineOptions()) -> dict[str, DataFrame]:
     """Every table of the baseline report."""
-    edges = cooccur.cooccurrence_edges(alarms, o.pair_window_s, o.min_support)
-    groups = cliques.maximal_cliques(edges)
+    edges = materialize(cooccur.cooccurrence_edges(alarms, o.pair_window_s, o.min_support), "edges")
+    groups = materialize(cliques.maximal_cliques(edges), "groups")
     labels = metrics.code_summary(alarms)
     worst = metrics.worst_bin_rows(alarms, o.window, o.threshold)
     return {
@@ -191,8 +190,6 @@ def source_audit(raw: DataFrame, processed: DataFrame, codes: DataFrame, station
 
 def backfill(alarms: DataFrame, scada: DataFrame, rule_table: DataFrame, window: int, extras: bool = True) -> DataFrame:
     """Merged history scored in one batch: order, anomaly score, verdict."""
-    from alarmlake.operators.detect import with_anomaly
-
     events = merged_events(alarms, scada)
     if extras:
         events = with_event_extras(events)
@@ -271,6 +268,3 @@ def scenario_checks(alarms: DataFrame, declared: DataFrame, start: str, end: str
         (window == expected_rows).alias("window_ok"),
     )
 
-
-def month_span(year: int, months: list[int]) -> tuple[str, str]:
-    return month_bounds(year, min(months))[0].isoformat(), month_bounds(year, max(months))[1].isoformat()
