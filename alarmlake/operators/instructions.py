@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alarmlake.functions.text import SMALL_NUMBERS, TENS, contains_phrase, normalize, token_set
+from alarmlake.session import materialize
 from alarmlake.settings import COLLAPSE_WINDOW_S, UNDOCUMENTED
 
 # Patterns and phrases that decide how a sentence is read.
@@ -206,9 +207,10 @@ def propose_rules(instructions: DataFrame, codes: DataFrame, aliases: DataFrame,
     """Input (id, text). Output id, reason (null when accepted) and the proposed rule fields."""
     valid = F.coalesce((F.trim("text") != "") & (F.length("text") <= MAX_LENGTH), F.lit(False))
     clean = instructions.select("id", valid.alias("valid"), F.when(valid, normalize(F.col("text"))).alias("text"))
+    clean = materialize(clean, "sentences")  # normalised once, read by each branch below
     readable = clean.where(F.col("valid") & ~F.col("text").rlike(QUESTION) & ~unsupported(F.col("text"))).select("id", "text")
-    assets = asset_references(readable, aliases, stations)
-    alarms = code_references(readable, codes)
+    assets = materialize(asset_references(readable, aliases, stations), "assets")
+    alarms = materialize(code_references(readable, codes), "codes")
     rows = clean.join(assets, "id", "left").join(alarms, "id", "left").withColumn("action", F.when(F.col("valid"), intent(F.col("text"))))
     reason = (
         F.when(~F.col("valid"), "invalid_input")
