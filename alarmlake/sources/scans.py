@@ -15,6 +15,12 @@ from alarmlake.operators.validate import iso_or_null, raise_unless, require_colu
 from alarmlake.plans.segments import broadcast_if_small
 from alarmlake.schemas import ALARM_COLUMNS, CONDITION_DDL, EXAMPLE_DDL
 
+# windows-1252 is latin-1 with printable characters in place of the C1 controls.
+_CP1252 = {b: bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+LATIN_CONTROLS = "".join(chr(b) for b, glyph in _CP1252.items() if glyph)
+CP1252_GLYPHS = "".join(_CP1252.values())
+
+
 def with_row_numbers(rows: DataFrame, path: str = "_path", start: str = "_start") -> DataFrame:
     """Add ``row_no``: 1-based row of each file.
 
@@ -79,9 +85,10 @@ def companion_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
     """Small dimension file as text columns; UTF-8, or windows-1252 when the bytes are not UTF-8."""
     raw = spark.read.format("binaryFile").load(path)
     bad = raw.where(F.try_validate_utf8(F.col("content").cast("string")).isNull()).limit(1).count()
-    encoding = "windows-1252" if bad else "UTF-8"
+    encoding = "iso-8859-1" if bad else "UTF-8"
     df = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    return require_columns(df, columns, path).select(*columns)
+    text = lambda c: F.translate(c, LATIN_CONTROLS, CP1252_GLYPHS) if bad else F.col(c)
+    return require_columns(df, columns, path).select(*[text(c).alias(c) for c in columns])
 
 
 def code_lookup(raw: DataFrame, code: str = "Alarm Code", description: str = "Description", stopping: str = "Stopping") -> DataFrame:
@@ -173,7 +180,7 @@ def receipts(lines: DataFrame) -> DataFrame:
     kept = lines.where(F.trim("value") != "")
     keys = F.json_object_keys(text)
     # Kind checks on the raw member: get_json_object drops quotes, so compare with typed parsing.
-    parsed = F.from_json(text, RECEIPT_DDL + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = F.from_json(text, RECEIPT_DDL)
     rows = kept.withColumn("r", parsed).withColumn("keys", keys)
     filled = lambda name: F.coalesce(F.trim(F.col(f"r.{name}")) != "", F.lit(False)) & _is_text(name)
 
@@ -183,9 +190,9 @@ def receipts(lines: DataFrame) -> DataFrame:
     stamp = F.col("r.checked_at")
     aware = stamp.rlike(r"(Z|[+-]\d{2}:?\d{2}(:\d{2})?)$")
     reason = (
-        F.when(F.col("keys").isNull() | F.col("r._bad").isNotNull(), "not_an_object")
+        F.when(has_nonfinite(text), "nonfinite_number")
         .when(has_duplicate_keys(text), "duplicate_key")
-        .when(has_nonfinite(text), "nonfinite_number")
+        .when(F.col("keys").isNull() | F.try_parse_json(text).isNull(), "not_an_object")
         .when(~(filled("receipt_id") & filled("checked_at") & filled("operation")), "missing_identity")
         .when(iso_or_null(stamp).isNull(), "bad_timestamp")
         .when(~aware, "naive_timestamp")
