@@ -54,7 +54,7 @@ def _(spark, d):
 def _(spark, d):
     docs = A.table(spark, d, "documents").where("lang = 'fr'").select("doc_id", F.regexp_replace(F.substring("text", 1, 40), r"[^\x20-\x7e\xa0-\xff]", "?").alias("field"))
     path = scratch_path(spark, "companion")
-    docs.write.option("header", True).option("encoding", "iso-8859-1").csv(path)
+    docs.write.option("header", True).option("encoding", "iso-8859-1").option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path)
     return scans.companion_csv(spark, path, ["doc_id", "field"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "field")
 
 

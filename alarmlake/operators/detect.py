@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,6 +121,7 @@ HST_MIN_SHARE = 0.1
 HST_MARGIN = 0.15
 
 
+@lru_cache(maxsize=8)
 def _forest(features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeded trees over the unit cube: split feature and split point of each inner node."""
     inner = 2**HST_DEPTH - 1
@@ -181,23 +184,22 @@ def half_space_scores(events: DataFrame, signals: list[str], window: int = DETEC
         learn = _paths(pdf[[f"a{i}" for i in range(count)]].to_numpy(), which, split)
         ask = _paths(pdf[[f"b{i}" for i in range(count)]].to_numpy(), which, split)
         number = ((pdf["_rn"].to_numpy() - 1) // window).astype(np.int64)
-        scores = np.zeros(len(pdf))
-        nodes = 2 ** (HST_DEPTH + 1) - 1
+        number -= number.min()
+        windows, nodes = int(number.max()) + 1, 2 ** (HST_DEPTH + 1) - 1
+        full = np.bincount(number, minlength=windows) == window
+        ready = (number > 0) & full[number - 1]
         weight = 2.0 ** np.arange(HST_DEPTH + 1)
+        total = np.zeros(len(pdf))
+        for t in range(HST_TREES):
+            cells = number[:, None] * nodes + learn[:, t]
+            mass = np.bincount(cells.ravel(), minlength=windows * nodes)
+            along = mass[np.maximum(number - 1, 0)[:, None] * nodes + ask[:, t]]
+            # The walk ends below a node that holds too few readings.
+            heavy = np.cumprod(along >= HST_MIN_SHARE * window, axis=1)
+            alive = np.hstack([np.ones((len(pdf), 1)), heavy[:, :-1]])
+            total += (along * alive * weight).sum(axis=1)
         top = HST_TREES * window * weight.sum()
-        for w in np.unique(number):
-            now, before = number == w, number == w - 1
-            if before.sum() < window:
-                continue
-            total = np.zeros(now.sum())
-            for t in range(HST_TREES):
-                mass = np.bincount(learn[before, t].ravel(), minlength=nodes)
-                along = mass[ask[now, t]]
-                alive = np.ones(len(along), dtype=bool)
-                for depth in range(HST_DEPTH + 1):
-                    total += np.where(alive, along[:, depth] * weight[depth], 0.0)
-                    alive &= along[:, depth] >= HST_MIN_SHARE * window
-            scores[now] = np.clip(1 - total / top, 0.0, 1.0)
+        scores = np.where(ready, np.clip(1 - total / top, 0.0, 1.0), 0.0)
         keep = ~pdf["_halo"].to_numpy()
         return pd.DataFrame({"seq": pdf["seq"].to_numpy()[keep], "anomaly_score": scores[keep]})
 

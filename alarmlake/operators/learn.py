@@ -52,6 +52,7 @@ def mint_examples(events: DataFrame, active: DataFrame, new_rule: DataFrame, at:
         (~mine & ~protected & covered).alias("elsewhere"),
         encoded_features(numeric_features()).alias("features"),
     ).where(~F.col("elsewhere"))
+    base = materialize(base, "ring")  # at most ring-size rows, read by each step below
     repeats = throttle(
         base.where(F.col("candidate") & (F.col("new_action") == "collapse")).select("seq", "turbine_id", "us", "width_us"), ["turbine_id"]
     ).select("seq", "hidden")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alarmlake.functions.conditions import is_critical, rule_matches
 from alarmlake.operators.throttle import throttle
-from alarmlake.plans.segments import RUN_BITS, broadcast_if_small, micros
+from alarmlake.plans.segments import RUN_BITS, broadcast_if_small, micros, spread
 from alarmlake.session import materialize
 from alarmlake.settings import COLLAPSE_WINDOW_S, NUISANCE_THRESHOLD
 
@@ -32,6 +32,8 @@ def match_rules(events: DataFrame, rules: DataFrame, active: Column | None = Non
     coded = fields.where(F.col("scope.alarm_code").isNotNull())
     open_rules = fields.where(F.col("scope.alarm_code").isNull())
     by_code = coded.groupBy(F.col("scope.alarm_code").alias("_code")).agg(_packed(extra).alias("_coded"))
+    if not events.isStreaming:
+        events = spread(events)
     joined = events.join(broadcast_if_small(by_code), events.alarm_code == F.col("_code"), "left").drop("_code")
 
     def applies(rule: Column) -> Column:

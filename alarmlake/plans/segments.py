@@ -35,6 +35,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work when the input has fewer partitions than that.
+
+    Large inputs already have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     row = df.groupBy(*keys).count().agg(F.max("count")).first()
     return row[0] or 0
