@@ -121,7 +121,7 @@ def learn_lines(journal: DataFrame, new_rule: DataFrame, examples: DataFrame, se
             examples=batch.scalar(),
         ),
     )
-    return learned.unionByName(commit, allowMissingColumns=True)
+    return materialize(learned.unionByName(commit, allowMissingColumns=True), "learned")
 
 
 def undo_lines(journal: DataFrame, rule_id: str) -> DataFrame:
@@ -129,7 +129,7 @@ def undo_lines(journal: DataFrame, rule_id: str) -> DataFrame:
     version = journal.agg(F.coalesce(F.max("model_version"), F.lit(1)) + 1).scalar()
     line = journal.agg(F.coalesce(F.max("line"), F.lit(0)) + 1).scalar()
     target = active_rules(journal).where((F.col("rule_id") == rule_id) & F.col("reversible"))
-    return target.select(line.alias("line"), *_line("undo", version, rule_id=F.col("rule_id")))
+    return materialize(target.select(line.alias("line"), *_line("undo", version, rule_id=F.col("rule_id"))), "undone")
 
 
 def training_features(examples: DataFrame) -> DataFrame:

@@ -65,8 +65,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], seq: str = "seq", bits: int
     return (
         runs.withColumn("_pos", F.row_number().over(inside))
         .join(offsets, [*keys, "_run"])
-        .withColumn("_rn", F.col("_offset") + F.col("_pos"))
-        .drop("_run", "_pos", "_offset")
+        .select(*df.columns, (F.col("_offset") + F.col("_pos")).alias("_rn"))
     )
 
 
@@ -143,5 +142,5 @@ def positions(df: DataFrame, keys: Sequence[str], seq: str = "seq", limit: int =
     """Add ``_rn`` by a plain window when the largest key is known to hold at most ``limit``
     rows, else by the split numbering; both give the same numbers."""
     if largest_group(df, keys) <= limit:
-        return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(seq)))
+        return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(seq)).cast("bigint"))
     return row_numbers(df, keys, seq)
