@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from alarmlake.catalog.base import query, sql
 from alarmlake.operators import cliques, cooccur, lookup, metrics, quality, validate
 from alarmlake.plans import jobs
+from alarmlake.plans.segments import dense_sequence
 from alarmlake.session import materialize
 from alarmlake.sources import adapters as A
 
@@ -138,8 +139,8 @@ def _(spark, d):
 
 @query("SRT6_clique_order", sql("SELECT row_number() OVER (ORDER BY codes) position, array_to_string(codes, ',') codes FROM (SELECT codes FROM groups)", "alarms12", **_GROUPS))
 def _(spark, d):
-    ordered = cliques.maximal_cliques(edges12(spark, d)).agg(F.array_sort(F.collect_list("codes")).alias("all"))  # the result set: groups of codes
-    return ordered.select(F.posexplode("all").alias("p", "codes")).select((F.col("p") + 1).cast("bigint").alias("position"), F.array_join("codes", ",").alias("codes"))
+    ordered = dense_sequence(cliques.maximal_cliques(edges12(spark, d)), [F.col("codes")], "p")
+    return ordered.select((F.col("p") + 1).alias("position"), F.array_join("codes", ",").alias("codes"))
 
 
 @query("AGG9_group_coverage", sql("""SELECT array_to_string(g.codes, ',') codes, (SELECT min(t.n) FROM totals t WHERE list_contains(g.codes, t.alarm_code)) min_code_rows,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def encoded_features(numeric: Column) -> Column:
     return F.map_concat(F.create_map(F.concat(F.lit("entity="), F.col("turbine_id")), one), coded, values, present, channel)
 
 
-def linear_score(features: Column, weights: Column, intercept: Column) -> Column:
+def linear_score(features: Column, weight_of: Callable[[Column], Column], intercept: Column) -> Column:
     """intercept + sum of weight * value over the features the model knows."""
-    terms = F.transform(F.map_entries(features), lambda e: e["value"] * F.coalesce(F.try_element_at(weights, e["key"]), F.lit(0.0)))
+    terms = F.transform(F.map_entries(features), lambda e: e["value"] * F.coalesce(weight_of(e["key"]), F.lit(0.0)))
     return intercept + F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)

@@ -58,10 +58,7 @@ def journal_violations(journal: DataFrame) -> DataFrame:
     versioned = journal.where(F.col("op").isin("commit", "undo"))
     placed = running_total(versioned.withColumn("_one", F.lit(1)), "_one", "line", "place")
     first = journal.where("op = 'commit'").orderBy("line").limit(1)
-    kept = first.select(
-        F.lit("commit").alias("op"),
-        F.struct("learning_rate", "nuisance_threshold", "collapse_window_s").alias("_kept"),
-    )
+    kept = first.select(F.struct("learning_rate", "nuisance_threshold", "collapse_window_s")).scalar()
     per_rule = journal.groupBy(F.coalesce("rule.rule_id", "rule_id").alias("rule_id")).agg(
         F.min(F.when(F.col("op") == "learn", F.col("line"))).alias("learn_line"),
         F.max(F.when(F.col("op") == "learn", F.col("line"))).alias("last_learn_line"),
@@ -88,7 +85,7 @@ def journal_violations(journal: DataFrame) -> DataFrame:
         journal.withColumn("_id", named)
         .join(per_rule.withColumnRenamed("rule_id", "_id"), "_id", "left")
         .join(placed.select("line", "place"), "line", "left")
-        .join(kept, "op", "left")
+        .withColumn("_kept", kept)
     )
     op = F.col("op")
     checks = {
@@ -118,7 +115,7 @@ def revision_ranges(revisions: DataFrame, ring_size: int, last_seq: Column) -> D
     seq n - B; older verdicts stay frozen. Revisions are numbered without gaps, so the end of
     each range is the start of the next (an equi-join, not an ordered window).
     """
-    base = revisions.select(F.lit(FIRST_REVISION).cast("bigint").alias("version"), F.lit(0).cast("bigint").alias("lo")).limit(1)
+    base = revisions.sparkSession.range(1).select(F.lit(FIRST_REVISION).cast("bigint").alias("version"), F.col("id").alias("lo"))
     starts = base.unionByName(
         revisions.select("version", F.greatest(F.col("applied_at") - ring_size, F.lit(0)).cast("bigint").alias("lo"))
     )

@@ -14,7 +14,7 @@ from alarmlake.operators.events import ring
 from alarmlake.operators.journal import active_batches, active_rules
 from alarmlake.operators.rules import RULE_FIELDS, match_rules
 from alarmlake.operators.throttle import throttle
-from alarmlake.plans.segments import micros
+from alarmlake.plans.segments import dense_sequence, micros
 from alarmlake.session import materialize
 from alarmlake.settings import PolicySettings
 
@@ -135,8 +135,7 @@ def undo_lines(journal: DataFrame, rule_id: str) -> DataFrame:
 def training_features(examples: DataFrame) -> DataFrame:
     """Dictionary of feature names to dense slots."""
     names = examples.select(F.explode(F.map_keys("features")).alias("feature")).distinct()
-    packed = names.agg(F.array_sort(F.collect_list("feature")).alias("names"))
-    return packed.select(F.posexplode("names").alias("slot", "feature"))
+    return dense_sequence(names, [F.col("feature")], "slot").select(F.col("slot").cast("int").alias("slot"), "feature")
 
 
 def fit(examples: DataFrame, reg: float = 0.01, max_iter: int = 50) -> tuple[LogisticRegressionModel, DataFrame]:
@@ -172,17 +171,39 @@ def coefficients(model: LogisticRegressionModel, slots: DataFrame) -> DataFrame:
     return slots.join(values, "slot").select("feature", "weight")
 
 
-def nuisance_probability(weights: DataFrame, intercept: float) -> tuple[DataFrame, Column]:
-    """A one-row table with the weight map, and the probability expression over events that
-    carry it as ``_weights``."""
-    packed = weights.agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("w"))
-    return packed, sigmoid(linear_score(encoded_features(numeric_features()), F.col("_weights"), F.lit(intercept)))
+INLINE_WEIGHTS = 50_000
 
 
-def with_probability(events: DataFrame, weights: DataFrame, intercept: float) -> DataFrame:
-    """Add ``probability``; the weight map is as small as the minted batches."""
-    packed, probability = nuisance_probability(weights, intercept)
-    return events.withColumn("_weights", packed.scalar()).withColumn("probability", probability).drop("_weights")
+def with_probability(events: DataFrame, weights: DataFrame, intercept: float, inline: int = INLINE_WEIGHTS) -> DataFrame:
+    """Add ``probability``.
+
+    Up to ``inline`` weights travel as one nested map, looked up in place. Beyond that features
+    are exploded, joined to the weights and summed per event.
+    """
+    features = encoded_features(numeric_features())
+    count = weights.limit(inline + 1).count()
+    if count <= inline:
+        buckets = max(1, int(count**0.5))  # map lookups scan, so two levels of about sqrt(n) entries
+        bucket = lambda name: F.pmod(F.xxhash64(name), F.lit(buckets))
+        nested = (
+            weights.groupBy(bucket("feature").alias("b"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("m"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("w"))
+        )
+        weight = lambda name: F.try_element_at(F.try_element_at("_weights", bucket(name)), name)
+        return (
+            events.withColumn("_weights", nested.scalar())
+            .withColumn("probability", sigmoid(linear_score(features, weight, F.lit(intercept))))
+            .drop("_weights")
+        )
+    terms = (
+        events.select("seq", F.explode(features).alias("feature", "x"))
+        .join(weights, "feature")
+        .groupBy("seq")
+        .agg(F.sum(F.col("x") * F.col("weight")).alias("_sum"))
+    )
+    total = F.lit(intercept) + F.coalesce("_sum", F.lit(0.0))
+    return events.join(terms, "seq", "left").withColumn("probability", sigmoid(total)).drop("_sum")
 
 
 def learning_state(journal: DataFrame, weights: DataFrame, intercept: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from alarmlake.plans.segments import micros, running_total
 from alarmlake.schemas import ALARM_KEY
+from alarmlake.session import materialize
 from alarmlake.settings import FLOOD_THRESHOLD, FLOOD_WINDOW, UNDOCUMENTED
 
 US_PER_HOUR = 3_600_000_000
@@ -116,16 +117,21 @@ def find_bursts(alarms: DataFrame, window: str = FLOOD_WINDOW, threshold: int =
 def flood_runs(bursts: DataFrame) -> DataFrame:
     """Consecutive flagged bins joined into runs.
 
-    A bin opens a run when no flagged bin ends where it starts (an equi-join, not a
-    global lag); run numbers come from a chunked running total of openings.
+    A bin opens a run when the bin before it is not flagged: every bin marks itself and its
+    successor, and one aggregate meets both marks. Run numbers come from a chunked running
+    total of openings.
     """
-    bins = bursts.select("start", "end", "n")
-    ends = bins.select(F.col("end").alias("start"), F.lit(0).alias("_opens"))
     width = micros("end") - micros("start")
-    flagged = (
-        bins.join(ends, "start", "left")
-        .withColumn("_opens", F.coalesce("_opens", F.lit(1)))
-        .withColumn("_index", F.floor(micros("start") / width).cast("bigint"))
+    bins = bursts.select("start", "end", "n", F.floor(micros("start") / width).cast("bigint").alias("_index"))
+    marks = F.array(
+        F.struct(F.col("_index").alias("i"), F.struct("start", "end", "n").alias("bin")),
+        F.struct((F.col("_index") + 1).alias("i"), F.lit(None).cast("struct<start:timestamp_ntz,end:timestamp_ntz,n:bigint>").alias("bin")),
+    )
+    marked = bins.select(F.explode(marks).alias("m")).groupBy(F.col("m.i").alias("_index")).agg(
+        F.max("m.bin").alias("bin"), F.count(F.lit(1)).alias("_marks")
+    )
+    flagged = materialize(
+        marked.where("bin IS NOT NULL").select("_index", "bin.*", F.when(F.col("_marks") == 1, 1).otherwise(0).alias("_opens")), "bins"
     )
     return (
         running_total(flagged, "_opens", "_index", "run_no")
@@ -143,9 +149,10 @@ def flood_runs(bursts: DataFrame) -> DataFrame:
 
 def flood_summary(alarms: DataFrame, window: str = FLOOD_WINDOW, threshold: int = FLOOD_THRESHOLD) -> DataFrame:
     """One row: flagged bins, bins between first and last, share, worst bin, longest run."""
-    bursts = find_bursts(alarms, window, threshold)
+    cells = materialize(bin_counts(alarms, window), "bins")  # one row per bin and code
+    bursts = cells.groupBy("start", "end").agg(F.sum("n").alias("n")).where(F.col("n") > threshold)
     runs = flood_runs(bursts)
-    span = bin_counts(alarms, window).agg(
+    span = cells.agg(
         F.min("start").alias("lo"),
         F.max("start").alias("hi"),
         F.max(micros("end") - micros("start")).alias("width"),
@@ -159,11 +166,10 @@ def flood_summary(alarms: DataFrame, window: str = FLOOD_WINDOW, threshold: int
         F.max_by(F.struct("start", "end", "bins", "records", "peak", "minutes"), F.struct("bins", (-micros("start")).alias("k"))).alias("longest"),
     )
     total = ((micros("hi") - micros("lo")) / F.col("width")).cast("bigint") + 1
-    one = F.lit(1).alias("_one")
+    worst, longest = bins.select(F.struct("*")).scalar(), run.select(F.struct("*")).scalar()
     return (
-        span.select(one, total.alias("total_bins"))
-        .join(bins.withColumn("_one", F.lit(1)), "_one")
-        .join(run.withColumn("_one", F.lit(1)), "_one")
+        span.select(total.alias("total_bins"), worst.alias("b"), longest.alias("r"))
+        .select("total_bins", "b.*", "r.*")
         .select(
             "window_count",
             "total_bins",

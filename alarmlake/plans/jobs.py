@@ -58,9 +58,10 @@ def build_dataset(spark: SparkSession, raw: str, out: str, year: int, months: li
             bounds = month_profile(typed_wide, year, month)
             kept = month_slice(typed_wide, year, month)
             profiles.append(
-                quality.sensor_profile(kept, signals).join(bounds).select(
-                    F.lit(f"{table}_{year}_{month:02d}.csv").alias("member"), "*"
-                )
+                quality.sensor_profile(kept, signals)
+                .select(F.lit(f"{table}_{year}_{month:02d}.csv").alias("member"), "*", bounds.select(F.struct("*")).scalar().alias("b"))
+                .select("*", "b.*")
+                .drop("b")
             )
             long.append(quality.to_long(kept, ["ts", "turbine_id"], signals))
         validate.same_signals(by_month)
@@ -104,7 +105,7 @@ def duplicate_sensitivity(alarms: DataFrame, o: BaselineOptions = BaselineOption
             metrics.pareto(rows).select("top10_share_pct").scalar().alias("top10_share_pct"),
             metrics.find_bursts(rows, o.window, o.threshold).agg(F.count(F.lit(1))).scalar().alias("flood_windows"),
             groups.agg(F.count(F.lit(1))).scalar().alias("groups"),
-            groups.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.array_join("codes", "-"))), ";"), 256)).scalar().alias("membership"),
+            groups.agg(F.sum(F.xxhash64("codes").cast("decimal(38,0)")).cast("string")).scalar().alias("membership"),
         )
         out = part if out is None else out.unionByName(part)
     return out

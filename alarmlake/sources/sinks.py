@@ -15,10 +15,11 @@ from alarmlake.functions.jsontext import finite_or_null
 def write_table(df: DataFrame, path: str, sort: tuple[str, ...] = ("turbine_id", "ts"), rows_per_file: int = 5_000_000) -> DataFrame:
     """Parquet partitioned by date, rows sorted inside files so row-group statistics prune.
 
-    Rows are spread by date and a random salt, so one heavy date still becomes several files.
+    Rows are range-partitioned on date, sort columns and a row hash, so partitions are even
+    whatever share of the rows one date or station holds.
     """
     dated = df.withColumn("date", F.to_date("ts"))
-    spread = dated.repartition("date", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+    spread = dated.repartitionByRange("date", *sort, F.xxhash64(*df.columns))
     (
         spread.sortWithinPartitions("date", *sort)
         .write.partitionBy("date")

@@ -20,7 +20,6 @@ from alarmlake.settings import (
     FLOOD_THRESHOLD,
     FLOOD_WINDOW,
     MAX_DOUBLE,
-    NUISANCE_THRESHOLD,
     STD_FLOOR,
 )
 
@@ -95,9 +94,8 @@ def rolling_scores(readings: DataFrame, window: int = DETECTOR_WINDOW) -> DataFr
     )
 
 
-def scored(events: DataFrame, rules: DataFrame, threshold: float = NUISANCE_THRESHOLD) -> DataFrame:
-    """Verdict stream: matching is stateless, only collapse rules keep state."""
-    del threshold  # no trained classifier: the nuisance probability stays at one half
+def scored(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """Verdict stream without a trained classifier: matching is stateless, only collapse keeps state."""
     window = F.coalesce(F.nullif("window_s", F.lit(0)), F.lit(COLLAPSE_WINDOW_S))
     flat = decide(match_rules(events, rules)).select(
         "seq", "turbine_id", "stage", "rule_id", micros("ts").alias("us"), (window * 1_000_000).cast("bigint").alias("width_us")

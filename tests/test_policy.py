@@ -188,7 +188,11 @@ def test_learned_rule_stays_inside_its_scope(spark, sf_dir):
     new = adapters.sample_rules(spark, sf_dir).where("pattern.kind = 'learned'").orderBy("rule_order").limit(1)
     batch = learn.mint_examples(e, new.limit(0), new)
     model, slots = learn.fit(batch)
-    scored = learn.with_probability(e, learn.coefficients(model, slots), model.intercept)
+    weights = learn.coefficients(model, slots)
+    scored = learn.with_probability(e, weights, model.intercept)
+    joined = learn.with_probability(e, weights, model.intercept, inline=10)
+    gap = scored.join(joined.select("seq", F.col("probability").alias("p")), "seq").agg(F.max(F.abs(F.col("p") - F.col("probability")))).first()[0]
+    assert gap < 1e-12
     code = new.first().rule_order
     v = rules.score(scored, new, keep=["seq", "ts", "turbine_id", "alarm_code"], probability=F.col("probability"))
     hidden = v.where("NOT show").collect()
