@@ -17,7 +17,7 @@ _HOURS = "((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0)"
 
 @query("AGG1_alarm_rate", sql(f"SELECT count(*) records, count(DISTINCT turbine_id) stations, round({_HOURS}, 6) AS hours, round(count(*) / {_HOURS} / count(DISTINCT turbine_id), 6) rate FROM alarms", "alarms"))
 def _(spark, d):
-    return metrics.alarm_rate(A.alarms(spark, d), per_turbine=True).select("records", "stations", r6("hours").alias("hours"), r6("rate").alias("rate"))
+    return metrics.alarm_rate(A.raw_alarms(spark, d), per_turbine=True).select("records", "stations", r6("hours").alias("hours"), r6("rate").alias("rate"))
 
 
 _PARETO = """SELECT round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC LIMIT 10)) / (SELECT sum(n) FROM c) * 100, 6) top10_share_pct,
@@ -27,7 +27,7 @@ _PARETO = """SELECT round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC L
 
 @query("AGG2_pareto", sql(_PARETO, "alarms", c="SELECT alarm_code, count(*) n FROM alarms GROUP BY 1"))
 def _(spark, d):
-    return metrics.pareto(A.alarms(spark, d)).withColumn("top10_share_pct", r6("top10_share_pct"))
+    return metrics.pareto(A.raw_alarms(spark, d)).withColumn("top10_share_pct", r6("top10_share_pct"))
 
 
 @query("WIN6_pareto_cut", sql(_PARETO, "alarms_dup", c="SELECT alarm_code, count(*) n FROM alarms_dup GROUP BY 1"))
@@ -57,13 +57,13 @@ def _(spark, d):
 
 @query("AGG4_flood_bins", sql("SELECT b.start, b.start + INTERVAL 1 HOUR AS stop, b.n, array_to_string(list_sort(list(DISTINCT a.alarm_code)), ',') codes FROM bursts b JOIN alarms a ON time_bucket(INTERVAL 1 HOUR, a.ts) = b.start GROUP BY 1, 2, 3", "bursts"))
 def _(spark, d):
-    b = metrics.find_bursts(A.alarms(spark, d), HOUR, OVER)
+    b = metrics.find_bursts(A.raw_alarms(spark, d), HOUR, OVER)
     return b.select("start", F.col("end").alias("stop"), "n", F.array_join("codes", ",").alias("codes"))
 
 
 @query("WIN4_flood_runs", sql("SELECT *, CAST(bins * 60 AS DOUBLE) AS minutes FROM runs", "runs"))
 def _(spark, d):
-    runs = metrics.flood_runs(metrics.find_bursts(A.alarms(spark, d), HOUR, OVER))
+    runs = metrics.flood_runs(metrics.find_bursts(A.raw_alarms(spark, d), HOUR, OVER))
     return runs.select("start", F.col("end").alias("stop"), "bins", "records", "peak", "minutes")
 
 
@@ -72,7 +72,7 @@ def _(spark, d):
   FROM (SELECT CAST((epoch_us(max(start)) - epoch_us(min(start))) // 3600000000 + 1 AS BIGINT) total_bins FROM bins) t,
   (SELECT * FROM bursts ORDER BY n DESC, start LIMIT 1) w, (SELECT * FROM runs ORDER BY bins DESC, start LIMIT 1) l""", "runs"))
 def _(spark, d):
-    s = metrics.flood_summary(A.alarms(spark, d), HOUR, OVER)
+    s = metrics.flood_summary(A.raw_alarms(spark, d), HOUR, OVER)
     return s.select("window_count", "total_bins", r6("flood_share_pct").alias("flood_share_pct"), "worst_start", "worst_n", "run_count", "longest_start", "longest_bins", "longest_records")
 
 
@@ -109,7 +109,7 @@ _GROUPS = {**_PAIR_TABLES, "grown": _GROW, "groups": "SELECT codes FROM grown g
 
 
 def alarms12(spark, d):
-    return A.alarms(spark, d).withColumn("alarm_code", F.col("alarm_code") % 12)
+    return A.raw_alarms(spark, d).withColumn("alarm_code", F.col("alarm_code") % 12)
 
 
 def edges12(spark, d):
@@ -185,7 +185,7 @@ def _(spark, d):
 
 @query("AGG10_known_station_rate", sql(f"SELECT count(*) FILTER (turbine_id IN (SELECT station_id FROM station_metadata)) known_records, round({_HOURS}, 6) AS hours, (SELECT count(*) FROM station_metadata) stations, round(count(*) FILTER (turbine_id IN (SELECT station_id FROM station_metadata)) / {_HOURS} / (SELECT count(*) FROM station_metadata), 6) rate_per_turbine FROM alarms", "alarms", "station_metadata"))
 def _(spark, d):
-    return metrics.known_station_rate(A.alarms(spark, d), A.station_metadata(spark, d)).withColumns({"hours": r6("hours"), "rate_per_turbine": r6("rate_per_turbine")})
+    return metrics.known_station_rate(A.raw_alarms(spark, d), A.station_metadata(spark, d)).withColumns({"hours": r6("hours"), "rate_per_turbine": r6("rate_per_turbine")})
 
 
 @query("AGG11_coverage", sql("""SELECT count(*) records, count(DISTINCT turbine_id) stations, count(DISTINCT turbine_id) FILTER (known) known_stations,
