@@ -69,15 +69,15 @@ def _(spark, d):
 
 @query("AGG5_flood_summary", sql("""SELECT (SELECT count(*) FROM bursts) window_count, t.total_bins, round((SELECT count(*) FROM bursts) / t.total_bins * 100, 6) flood_share_pct,
   w.start worst_start, w.n worst_n, (SELECT count(*) FROM runs) run_count, l.start longest_start, l.bins longest_bins, l.records longest_records
-  FROM (SELECT CAST((epoch_us(max(start)) - epoch_us(min(start))) // 3600000000 + 1 AS BIGINT) total_bins FROM bins) t,
-  (SELECT * FROM bursts ORDER BY n DESC, start LIMIT 1) w, (SELECT * FROM runs ORDER BY bins DESC, start LIMIT 1) l""", "runs"))
+  FROM (SELECT CAST((epoch_us(max(start)) - epoch_us(min(start))) // 3600000000 + 1 AS BIGINT) total_bins FROM bins) t
+  LEFT JOIN (SELECT * FROM bursts ORDER BY n DESC, start LIMIT 1) w ON true LEFT JOIN (SELECT * FROM runs ORDER BY bins DESC, start LIMIT 1) l ON true""", "runs"))
 def _(spark, d):
     s = metrics.flood_summary(A.raw_alarms(spark, d), HOUR, OVER)
     return s.select("window_count", "total_bins", r6("flood_share_pct").alias("flood_share_pct"), "worst_start", "worst_n", "run_count", "longest_start", "longest_bins", "longest_records")
 
 
 @query("AGG6_worst_bin", sql("""SELECT count(DISTINCT turbine_id) stations, count(*) n, count(*) FILTER (stopping = 1) stopping, count(*) - count(DISTINCT (ts, turbine_id, alarm_code)) duplicates,
-  (SELECT string_agg(concat(alarm_code, ':', k), ',' ORDER BY k DESC, alarm_code) FROM (SELECT alarm_code, count(*) k FROM w GROUP BY 1 ORDER BY k DESC, alarm_code LIMIT 5)) top_codes FROM w""", "alarms_dup", "bursts",
+  (SELECT coalesce(string_agg(concat(alarm_code, ':', k), ',' ORDER BY k DESC, alarm_code), '') FROM (SELECT alarm_code, count(*) k FROM w GROUP BY 1 ORDER BY k DESC, alarm_code LIMIT 5)) top_codes FROM w""", "alarms_dup", "bursts",
   bins="SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) n FROM alarms_dup GROUP BY 1",
   w="SELECT * FROM alarms_dup WHERE time_bucket(INTERVAL 1 HOUR, ts) = (SELECT start FROM bursts ORDER BY n DESC, start LIMIT 1)"))
 def _(spark, d):

@@ -246,12 +246,12 @@ def coverage_counts(alarms: DataFrame, metadata: DataFrame) -> DataFrame:
     known = metadata.select(F.col("station_id").alias("turbine_id"), F.lit(True).alias("known"))
     hit = F.coalesce("known", F.lit(False))
     return stations.join(known, "turbine_id", "left").agg(
-        F.sum("n").alias("records"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
         F.count(F.lit(1)).alias("stations"),
         F.count_if(hit).alias("known_stations"),
         F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("known_records"),
         F.coalesce(F.sum(F.when(~hit, F.col("n"))), F.lit(0)).alias("unknown_records"),
-        F.sum("dups").alias("duplicate_records"),
+        F.coalesce(F.sum("dups"), F.lit(0)).alias("duplicate_records"),
     )
 
 
