@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlake.llm import host_rules, stream_dedup
+from alarmlake.llm import host_rules, stream_dedup, trie_join, warc
 from alarmlake.llm.common import table
+from alarmlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +60,23 @@ HOST_SQL = r"""WITH words AS (SELECT doc_id, source, coalesce(text, '') body, re
 @_query("op10_host_rules", HOST_SQL)
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge_documents(table(spark, sf_dir, "documents")).drop("host")
+
+
+@_query("op8_trie_join")
+def op8_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = trie_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return placed.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query(
+    "op1_warc",
+    """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) n, sha256(coalesce(html, '')) d FROM pages),
+       f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END response FROM p)
+       SELECT page_id, n payload_bytes, d payload_digest, CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END record_type,
+         CASE WHEN response <> page_id THEN response END refers_to FROM f""",
+)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path, with_payload=False)
+    return records.select(warc.key_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), warc.key_of("refers_to").alias("refers_to"))
