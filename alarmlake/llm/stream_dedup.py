@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alarmlake.session import scratch_path
+from alarmlake.session import materialize, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,24 +60,29 @@ def keyed_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select("key.digest", keep.alias("keep"), n.alias("n"))
 
 
-def unequal_hits(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Locators of rows whose digest is known but whose bytes differ from those at the kept locator."""
-    held = rows.join(state.filter("n > 1"), "digest").select("digest", "locator", "body", (F.col("locator") == F.col("keep.locator")).alias("stays"))
-    hits = held.filter(~F.col("stays")).select("digest", "locator", "body")
-    kept = held.filter("stays").select("digest", F.col("body").alias("kept_body"))
-    return hits.join(kept, "digest").filter(F.col("body").cast("binary") != F.col("kept_body").cast("binary")).select("locator")
+def copies_of(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows whose digest was seen more than once, with their bytes: the only ones whose text is needed again."""
+    return rows.join(state.filter("n > 1"), "digest").select("digest", "id", "locator", "body", (F.col("locator") == F.col("keep.locator")).alias("stays"))
+
+
+def unequal_hits(copies: DataFrame) -> DataFrame:
+    """Hits whose bytes differ from those at the kept locator."""
+    kept = copies.filter("stays").select("digest", F.col("body").alias("kept_body"))
+    hits = copies.filter(~F.col("stays")).join(kept, "digest")
+    return hits.filter(F.col("body").cast("binary") != F.col("kept_body").cast("binary")).drop("kept_body", "stays")
 
 
 def verdicts(spark: SparkSession, path: str, checkpoint: str, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """id, keep_id, group_size, kept, locator of every row under ``path``, from the folded state."""
     rows, state = _rows(spark.read.parquet(path), key, text, digest), keyed_state(spark, checkpoint)
-    odd = unequal_hits(rows, state)
+    copies = materialize(copies_of(rows, state), "dedup-copies")
     # Rows that only share a digest (none, for SHA-256 in practice) are grouped by their whole text.
-    apart = rows.join(odd, "locator").select("digest", "id", "locator", "body")
+    apart = materialize(unequal_hits(copies), "dedup-apart")
     again = apart.groupBy("digest", "body").agg(F.max(F.struct("id", "locator")).alias("own_keep"), F.count(F.lit(1)).alias("own_n"))
     moved = apart.join(again, ["digest", "body"]).select("locator", "own_keep", "own_n")
-    taken = moved.join(rows.select("locator", "digest"), "locator").groupBy("digest").agg(F.count(F.lit(1)).alias("away"))
-    plain = rows.select("id", "locator", "digest").join(state, "digest").join(moved, "locator", "left").join(taken, "digest", "left")
+    taken = apart.groupBy("digest").agg(F.count(F.lit(1)).alias("away"))
+    state = state.join(taken, "digest", "left")
+    plain = rows.select("id", "locator", "digest").join(state, "digest").join(moved, "locator", "left")
     keep = F.coalesce("own_keep", "keep")
     return plain.select(
         "id",
