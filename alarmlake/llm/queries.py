@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlake.llm import host_rules, stream_dedup, trie_join, warc
+from alarmlake.llm import host_rules, line_index, mixing, stream_dedup, trie_join, warc
 from alarmlake.llm.common import table
 from alarmlake.session import scratch_path
 
@@ -80,3 +80,46 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     records = warc.read_archives(spark, path, with_payload=False)
     return records.select(warc.key_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), warc.key_of("refers_to").alias("refers_to"))
+
+
+# Parameters of the mixture, for the query and the pipeline.
+MIX = {"target_entropy": 0.95, "max_repeats": 1.5, "seed": 17}
+
+MIX_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) tokens,
+    coalesce('s' || source, 'n') own, CAST('0x' || substr(md5('b17|' || doc_id), 1, 8) AS BIGINT) % 4096 block FROM documents),
+  b AS (SELECT own, block, CAST(sum(tokens) AS BIGINT) bt FROM d GROUP BY ALL),
+  t AS (SELECT own, CAST(sum(bt) AS BIGINT) tk FROM b GROUP BY own),
+  ent AS (SELECT 0 lo, 1000000 hi UNION ALL
+    SELECT CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END FROM (SELECT lo, hi, (lo + hi) // 2 mid,
+      (SELECT ln(sum(pow(tk, ((lo + hi) // 2) / 1e6))) - ((lo + hi) // 2) / 1e6 * sum(pow(tk, ((lo + hi) // 2) / 1e6) * ln(tk)) / sum(pow(tk, ((lo + hi) // 2) / 1e6))
+        >= 0.95 * ln(count(*)) - 1e-9 FROM t) good FROM ent WHERE hi - lo > 1)),
+  rpt AS (SELECT -1 lo, 1000000 hi UNION ALL
+    SELECT CASE WHEN good THEN lo ELSE mid END, CASE WHEN good THEN mid ELSE hi END FROM (SELECT lo, hi, (lo + hi) // 2 mid,
+      (SELECT max(pow(tk, ((lo + hi) // 2) / 1e6 - 1)) / min(pow(tk, ((lo + hi) // 2) / 1e6 - 1)) <= 1.5 + 1e-9 FROM t) good FROM rpt WHERE hi - lo > 1)),
+  a AS (SELECT greatest(CASE WHEN (SELECT ln(sum(tk)) - sum(tk * ln(tk)) / sum(tk) >= 0.95 * ln(count(*)) FROM t) THEN 1000000 ELSE (SELECT max(lo) FROM ent) END, (SELECT min(hi) FROM rpt)) / 1e6 ex),
+  q AS (SELECT own, tk, CAST(floor(pow(tk, ex) / (SELECT min(pow(tk, ex - 1)) FROM t) + 0.1) AS BIGINT) quota FROM t, a),
+  p AS (SELECT own, quota // tk passes, quota % tk rest, quota // tk + CAST(quota % tk > 0 AS INT) runs FROM q),
+  e AS (SELECT own, block, bt, passes, rest, unnest(range(1, runs + 1)) pass FROM b JOIN p USING (own)),
+  o AS (SELECT *, row_number() OVER w block_rank, sum(bt) OVER w - bt before FROM e WINDOW w AS (PARTITION BY own, pass ORDER BY md5('17|' || pass || '|' || block), block ROWS UNBOUNDED PRECEDING)),
+  r AS (SELECT *, CASE WHEN pass <= passes THEN bt ELSE least(bt, rest - before) END room FROM o),
+  f AS (SELECT d.doc_id, d.source, d.tokens, d.block, r.pass, r.block_rank, md5('17|' || pass || '|' || doc_id) draw_key, room, room < bt partly, d.own FROM d JOIN r ON r.own = d.own AND r.block = d.block WHERE room > 0),
+  g AS (SELECT *, sum(tokens) OVER (PARTITION BY own, block, pass ORDER BY draw_key, tokens ROWS UNBOUNDED PRECEDING) upto FROM f)
+  SELECT doc_id, source, tokens, block, pass, block_rank, draw_key FROM g WHERE NOT partly OR upto <= room"""
+
+
+@_query("op4_mixing", MIX_SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"), **MIX).withColumnRenamed("key", "doc_id").drop("uid")
+
+
+LINE_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) p FROM documents),
+  k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key FROM l),
+  o AS (SELECT key, min(doc_id) first FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+  j AS (SELECT k.*, o.first IS NOT NULL AND o.first <> k.doc_id gone FROM k LEFT JOIN o ON o.key = k.key)
+  SELECT doc_id, count(*) n_lines, count(*) FILTER (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) kept_sha256 FROM j GROUP BY doc_id"""
+
+
+@_query("op7_line_index", LINE_SQL)
+def op7_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_index.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("rest.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
