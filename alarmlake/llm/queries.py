@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlake.llm import host_rules, line_index, mixing, stream_dedup, trie_join, warc
-from alarmlake.llm.common import table
+from alarmlake.llm import best_fit, host_rules, line_index, log_bloom, mixing, stream_dedup, trie_join, warc
+from alarmlake.llm.common import held_out, table
 from alarmlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,13 @@ LINE_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''),
 def op7_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_index.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("rest.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query("op2_log_bloom")
+def op2_log_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bloom.score_documents(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2)).withColumnRenamed("id", "doc_id")
+
+
+@_query("op5_best_fit")
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
