@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlake.llm import best_fit, host_rules, line_index, log_bloom, mixing, stream_dedup, trie_join, warc
+from alarmlake.llm import best_fit, host_rules, line_index, log_bloom, mixing, ppm, pu_quality, stream_dedup, trie_join, warc
 from alarmlake.llm.common import held_out, table
 from alarmlake.session import scratch_path
 
@@ -133,3 +133,16 @@ def op2_log_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_best_fit")
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@_query("op3_ppm")
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = ppm.identify(docs, ~held_out("doc_id", 3, 1))
+    return found.select(F.col("key").alias("doc_id"), held_out("key", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op6_pu_quality")
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pu_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 5, 0))
+    return scored.withColumnRenamed("key", "doc_id")
