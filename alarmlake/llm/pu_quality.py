@@ -3,8 +3,9 @@
 Each text is reduced to a few style measures, cut at quantiles into bins; the score is the logistic of a sum of
 bin weights. Weights minimise the non-negative unbiased risk: with trusted positives P, unlabelled text U and the class
 prior p, the risk is p R_P(+) + max(0, R_U(-) - p R_P(-)) under logistic loss. Where the negative part falls below
-zero, the step goes up its gradient instead, as the method asks. The prior is the share of label 1 among labelled
-training rows; label 0 serves for nothing else.
+zero (by more than a small slack, for sampling noise), the step goes up its gradient instead, as the method asks. At
+the end the constant is set so that the mean score of the unlabelled rows is the prior. The prior is the share of label 1
+among labelled training rows; label 0 serves for nothing else.
 
 The fit takes about ``sample`` positives and ``sample`` unlabelled rows at most, chosen by a hash of the key; everything else
 covers all rows. The measures of all texts are written once, since fit and scores both need them.
@@ -31,6 +32,7 @@ BINS = 12
 STEPS = 600
 RATE = 0.05
 DECAY = 1e-4
+SLACK = 0.05
 MEASURES = ["words", "word_length", "symbols", "marks", "pipes", "upper", "digits", "distinct", "repeats", "short", "same_lines", "worst_line", "wordlike"]
 
 # Characters counted as symbols, as marks and as digits.
@@ -97,10 +99,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[lis
         sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         g_negative = slope(u, su / len(u)) - slope(p, prior * sp / len(p))
-        g = slope(p, -prior * (1 - sp) / len(p)) + g_negative if negative >= 0 else -g_negative
+        g = slope(p, -prior * (1 - sp) / len(p)) + g_negative if negative >= -SLACK else -g_negative
         g += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    f, low, high = w[u].sum(1), -50.0, 50.0
+    for _ in range(60):
+        w[size] = (low + high) / 2
+        low, high = (low, w[size]) if (1 / (1 + np.exp(-f - w[size]))).mean() > prior else (w[size], high)
     return edges, w
 
 
