@@ -2,7 +2,7 @@
 
 A source's weight is its token share to the power of an exponent, normalised. The exponent is found by bisection:
 the largest one in [0, 1] that meets a target entropy (as a part of the greatest possible), and the smallest one
-that keeps every source within a repetition limit; the repetition limit wins. Weights become token quotas
+that keeps every source within a repetition limit; of both, the greater one holds, so the repetition limit wins. Weights become token quotas
 under a budget. Each source is dealt by hash into blocks; a pass is a seeded permutation of the blocks, and of the
 documents inside a block. Whole passes are repeated as the quota allows; the last pass is cut at the quota, in
 whole blocks and then document by document in the one block where the quota ends.
@@ -68,7 +68,7 @@ def fit_exponent(totals: DataFrame, target_entropy: float | None = None, max_rep
     relative to the source that is seen least.
     """
     n = totals.count()
-    exponent = 1.0
+    exponent = 0.0 if target_entropy is None and max_repeats is not None else 1.0
     if target_entropy is not None and n > 1:
         # Entropy of the weights falls as the exponent grows.
         def diverse(a: float, row) -> bool:
