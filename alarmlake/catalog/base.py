@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 TABLES = {
     "code_lookup": """SELECT CAST(p_partkey AS BIGINT) alarm_code,
         concat(trim(p_name), ' ', CAST(p_partkey AS VARCHAR)) description, CAST(p_size % 2 AS INT) stopping
-        FROM part WHERE p_partkey < 100 AND p_size <= 35""",
+        FROM part WHERE p_size <= 35""",
     "station_metadata": """SELECT CAST(n_nationkey AS VARCHAR) station_id,
         concat('T', lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0')) turbine_name FROM nation""",
     "alarms": """SELECT e.event_id seq, e.ts, CAST(e.user_id % 27 AS VARCHAR) turbine_id, e.alarm_code,
@@ -33,7 +33,6 @@ TABLES = {
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) alarm_code FROM events) e
         LEFT JOIN code_lookup d ON d.alarm_code = e.alarm_code""",
     "alarms_dup": "SELECT * FROM alarms UNION ALL SELECT * FROM alarms WHERE seq % 29 = 0",
-    "alarms12": "SELECT seq, ts, turbine_id, alarm_code % 12 alarm_code FROM alarms",
     "scada_long": """SELECT event_id seq, ts, CAST(user_id % 27 AS VARCHAR) turbine_id, event_type signal,
         CASE WHEN value < 1 THEN NULL ELSE value END AS value FROM events""",
     "scada_grid": """SELECT event_id seq, date_trunc('day', ts) ts, CAST(user_id % 27 AS VARCHAR) turbine_id,
@@ -51,7 +50,7 @@ TABLES = {
     "rules": """SELECT CAST(p_partkey AS BIGINT) code, p_size % 7 kind, CAST(p_partkey % 27 AS VARCHAR) station,
         concat('r', CAST(p_partkey AS VARCHAR)) rule_id, round(0.5 + (p_partkey % 5) / 10.0, 2) confidence, p_partkey % 3 <> 0 reversible,
         CASE WHEN p_size % 7 IN (2, 4) THEN 'collapse' WHEN p_size % 7 = 3 THEN 'escalate' ELSE 'suppress' END AS action
-        FROM part WHERE p_partkey < 100 AND p_size <= 35""",
+        FROM part""",
     "scored": """SELECT e.event_id seq, e.ts, epoch_us(e.ts) us, CAST(e.user_id % 27 AS VARCHAR) turbine_id,
         CASE WHEN e.user_id % 10 <> 9 THEN CAST(json_extract_string(e.props, '$.k') AS BIGINT) END alarm_code,
         e.event_type sig, e.value val, round(e.value * 2, 2) load, (e.value > 60 OR e.user_id % 37 = 5) is_critical FROM events e""",
@@ -82,7 +81,7 @@ TABLES = {
         (SELECT *, row_number() OVER (ORDER BY code) i FROM rules) t LEFT JOIN
         (SELECT code, (SELECT count(*) FROM rules) + row_number() OVER (ORDER BY code) + 1 v_to FROM rules WHERE reversible AND code % 4 = 1) u
         ON u.code = t.code""",
-    "revisions": """SELECT version, version * (SELECT count(*) // 120 FROM events) applied_at FROM
+    "revisions": """SELECT version, CAST(floor(version * (SELECT count(*) FROM events) / (SELECT max(v) FROM (SELECT max(v_from) v FROM lifetimes UNION ALL SELECT max(v_to) FROM lifetimes WHERE v_to < 4611686018427387904))) AS BIGINT) applied_at FROM
         (SELECT v_from AS version FROM lifetimes UNION ALL SELECT v_to FROM lifetimes WHERE v_to < 4611686018427387904)""",
     "revised": """SELECT e.seq, coalesce(max(v.version), 1) revision FROM scored e LEFT JOIN revisions v ON v.applied_at - 500 <= e.seq GROUP BY e.seq""",
     "long_readings": """SELECT *, count(value) OVER w n, avg(value) OVER w mean, stddev_pop(value) OVER w std, min(value) OVER w lo, max(value) OVER w hi
@@ -99,7 +98,6 @@ TABLES = {
 _NEEDS = {
     "alarms": ["code_lookup"],
     "alarms_dup": ["alarms"],
-    "alarms12": ["alarms"],
     "bins": ["alarms"],
     "bursts": ["bins"],
     "runs": ["bursts"],

@@ -1,5 +1,8 @@
 """Filters, joins, sets, event stream, detectors and windows."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alarmlake.catalog.base import query, sql
@@ -118,9 +121,9 @@ def _(spark, d):
     return lookup.with_station_labels(A.raw_alarms(spark, d).select("seq", "turbine_id"), A.station_metadata(spark, d))
 
 
-@query("JON3_known_station_counts", sql("SELECT m.station_id, m.turbine_name, count(a.seq) n FROM station_metadata m LEFT JOIN alarms a ON a.turbine_id = m.station_id AND a.alarm_code < 3 GROUP BY 1, 2", "alarms", "station_metadata"))
+@query("JON3_known_station_counts", sql("SELECT m.station_id, m.turbine_name, count(a.seq) n FROM station_metadata m LEFT JOIN alarms a ON a.turbine_id = m.station_id GROUP BY 1, 2", "alarms", "station_metadata"))
 def _(spark, d):
-    return lookup.known_station_counts(A.raw_alarms(spark, d).where("alarm_code < 3"), A.station_metadata(spark, d))
+    return lookup.known_station_counts(A.raw_alarms(spark, d), A.station_metadata(spark, d))
 
 
 @query("JON4_unmapped_stations", sql("SELECT DISTINCT turbine_id FROM scada_wide WHERE turbine_id NOT IN (SELECT station_id FROM station_metadata)", "scada_wide", "station_metadata"))
@@ -210,11 +213,10 @@ def _(spark, d):
 # --- sets -------------------------------------------------------------------------------
 
 
-@query("SET1_month_union", sql("SELECT seq, CAST(time_on AS TIMESTAMP) ts FROM raw_log WHERE time_on >= '1998-01' AND time_on < '1998-04'", "raw_log"))
+@query("SET1_month_union", sql("SELECT seq, CAST(time_on AS TIMESTAMP) ts FROM raw_log WHERE time_on >= '1998'", "raw_log"))
 def _(spark, d):
     rows = A.raw_alarm_log(spark, d).select("seq", validate.iso_or_null(F.col("TimeOn")).alias("ts"))
-    parts = [filters.month_slice(rows, 1998, m) for m in (1, 2, 3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, [filters.month_slice(rows, 1998, m) for m in range(1, 13)])
 
 
 @query("SET2_multiset_equality", sql("""SELECT turbine_id, alarm_code, CAST(sum(l) AS BIGINT) left_rows, CAST(sum(r) AS BIGINT) right_rows FROM (SELECT turbine_id, alarm_code, 1 l, 0 r FROM alarms UNION ALL SELECT turbine_id, alarm_code, 0, 1 FROM alarms_dup)

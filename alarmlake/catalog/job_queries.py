@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from alarmlake.catalog.base import query, sql
-from alarmlake.catalog.metrics_queries import _GROUPS, PAIR_S, SUPPORT, alarms12
+from alarmlake.catalog.metrics_queries import _GROUPS, PAIR_S, SUPPORT
 from alarmlake.catalog.rule_queries import _STEP, _one_rule, _throttle_sql
 from alarmlake.operators import audit, lookup, rules
 from alarmlake.plans import jobs
@@ -50,9 +50,9 @@ def _(spark, d):
     return rows.groupBy("month").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count_distinct("row_no").alias("distinct_rows"))
 
 
-@query("SRC3_companion_scan", "SELECT doc_id, regexp_replace(substr(text, 1, 40), '[^\\x20-\\x7e\\xa0-\\xff]', '?', 'g') field FROM documents WHERE lang = 'fr'")
+@query("SRC3_companion_scan", "SELECT doc_id, regexp_replace(text, '[^\\x20-\\x7e\\xa0-\\xff]', '?', 'g') field FROM documents")
 def _(spark, d):
-    docs = A.table(spark, d, "documents").where("lang = 'fr'").select("doc_id", F.regexp_replace(F.substring("text", 1, 40), r"[^\x20-\x7e\xa0-\xff]", "?").alias("field"))
+    docs = A.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^\x20-\x7e\xa0-\xff]", "?").alias("field"))
     path = scratch_path(spark, "companion")
     docs.write.option("header", True).option("encoding", "iso-8859-1").option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path)
     return scans.companion_csv(spark, path, ["doc_id", "field"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "field")
@@ -65,13 +65,13 @@ def _(spark, d):
     return scans.journal(spark, path).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SNK4_append_lines", sql("SELECT rule_id, v_from model_version FROM lifetimes WHERE code <> 1 UNION ALL SELECT 'r1', 2 WHERE false", "lifetimes"))
+@query("SNK4_append_lines", sql("SELECT rule_id, v_from model_version FROM lifetimes", "lifetimes"))
 def _(spark, d):
     path = scratch_path(spark, "journal")
     j = A.sample_journal(spark, d)
     sinks.append_lines(j.where("op = 'learn'"), path)
     sinks.append_lines(j.where("op <> 'learn'"), path)
-    back = scans.journal(spark, path).where("op = 'commit' AND rule_id <> 'r1'")
+    back = scans.journal(spark, path).where("op = 'commit'")
     return back.select("rule_id", "model_version")
 
 
@@ -206,16 +206,16 @@ def _(spark, d):
     return columns.join(values.where("rank = 1"), "column").select("column", "null_count", "distinct_values")
 
 
-def _base12(spark, d):
-    return lookup.with_code_labels(alarms12(spark, d).select("seq", "ts", "turbine_id", "alarm_code"), A.code_lookup(spark, d).where("alarm_code < 12"))
+def _labelled(spark, d):
+    return lookup.with_code_labels(A.raw_alarms(spark, d), A.code_lookup(spark, d))
 
 
 @query("JOB3_baseline", sql("""SELECT 'by_turbine' AS name, (SELECT count(*) FROM station_metadata) n UNION ALL SELECT 'flood_windows', (SELECT count(*) FROM bursts) UNION ALL SELECT 'flood_runs', (SELECT count(*) FROM runs)
-  UNION ALL SELECT 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'groups', (SELECT count(*) FROM groups) UNION ALL SELECT 'group_members', (SELECT count(*) FROM groups) UNION ALL SELECT 'top_codes', 12
-  UNION ALL SELECT unnest(['sanity', 'rate', 'known_station_rate', 'coverage', 'pareto', 'flood_summary']), 1 UNION ALL SELECT 'stopping_split', 3 UNION ALL SELECT 'duplicate_sensitivity', 2""", "alarms12", "runs", "station_metadata", **_GROUPS))
+  UNION ALL SELECT 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'groups', (SELECT count(*) FROM groups) UNION ALL SELECT 'group_members', (SELECT count(*) FROM groups) UNION ALL SELECT 'top_codes', (SELECT count(DISTINCT alarm_code) FROM alarms)
+  UNION ALL SELECT unnest(['sanity', 'rate', 'known_station_rate', 'coverage', 'pareto', 'flood_summary']), 1 UNION ALL SELECT 'stopping_split', 3 UNION ALL SELECT 'duplicate_sensitivity', 2""", "alarms", "runs", "station_metadata", **_GROUPS))
 def _(spark, d):
     o = jobs.BaselineOptions(window="1 hour", threshold=16, pair_window_s=PAIR_S, min_support=SUPPORT)
-    report = jobs.baseline(_base12(spark, d), A.station_metadata(spark, d), o)
+    report = jobs.baseline(_labelled(spark, d), A.station_metadata(spark, d), o)
     out = None
     for name, df in report.items():
         if name.startswith("worst_") or name == "documented_without_group":

@@ -10,7 +10,7 @@ from alarmlake.session import materialize
 from alarmlake.sources import adapters as A
 
 HOUR, OVER = "1 hour", 16
-PAIR_S, SUPPORT = 12 * 3600, 0.6
+PAIR_S, SUPPORT = 3 * 86400, 0.5
 r6 = lambda c: F.round(c, 6)
 _HOURS = "((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0)"
 
@@ -95,51 +95,47 @@ def _(spark, d):
     return metrics.stopping_split(A.alarms(spark, d)).withColumn("share_pct", r6("share_pct"))
 
 
-_MATCHED = f"""SELECT a.alarm_code anchor_code, p.alarm_code partner_code, count(*) matched FROM alarms12 a
-  JOIN (SELECT DISTINCT alarm_code FROM alarms12) p ON p.alarm_code <> a.alarm_code
-  WHERE EXISTS (SELECT 1 FROM alarms12 b WHERE b.turbine_id = a.turbine_id AND b.alarm_code = p.alarm_code AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= {PAIR_S * 1_000_000}) GROUP BY 1, 2"""
+_MATCHED = f"""SELECT a.alarm_code anchor_code, b.alarm_code partner_code, count(DISTINCT a.seq) matched FROM alarms a
+  JOIN alarms b ON b.turbine_id = a.turbine_id AND b.alarm_code <> a.alarm_code AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= {PAIR_S * 1_000_000} GROUP BY 1, 2"""
 _EDGES = f"""SELECT f.anchor_code code_a, f.partner_code code_b, f.matched matched_a, ta.n total_a, f.matched / ta.n support_a, g.matched matched_b, tb.n total_b, g.matched / tb.n support_b
   FROM pairs f JOIN pairs g ON g.anchor_code = f.partner_code AND g.partner_code = f.anchor_code
   JOIN totals ta ON ta.alarm_code = f.anchor_code JOIN totals tb ON tb.alarm_code = f.partner_code
   WHERE f.anchor_code < f.partner_code AND f.matched / ta.n >= {SUPPORT} AND g.matched / tb.n >= {SUPPORT}"""
-_PAIR_TABLES = {"pairs": _MATCHED, "totals": "SELECT alarm_code, count(*) n FROM alarms12 GROUP BY 1", "edges": _EDGES}
-_GROW = """SELECT [code_a, code_b] codes FROM edges UNION ALL SELECT list_append(g.codes, n.alarm_code) FROM grown g JOIN (SELECT DISTINCT alarm_code FROM alarms12) n
-  ON n.alarm_code > g.codes[len(g.codes)] AND (SELECT count(*) FROM edges e WHERE e.code_b = n.alarm_code AND list_contains(g.codes, e.code_a)) = len(g.codes)"""
-_GROUPS = {**_PAIR_TABLES, "grown": _GROW, "groups": "SELECT codes FROM grown g WHERE NOT EXISTS (SELECT 1 FROM grown h WHERE len(h.codes) > len(g.codes) AND list_has_all(h.codes, g.codes))"}
+_PAIR_TABLES = {"pairs": _MATCHED, "totals": "SELECT alarm_code, count(*) n FROM alarms GROUP BY 1", "edges": _EDGES}
+_NEAR = "SELECT c, list(x) l FROM (SELECT code_a c, code_b x FROM edges UNION ALL SELECT code_b, code_a FROM edges) GROUP BY c"
+_GROW = """SELECT [code_a, code_b] codes, list_intersect(a.l, b.l) common FROM edges JOIN near a ON a.c = code_a JOIN near b ON b.c = code_b UNION ALL
+  SELECT list_append(g.codes, g.n), list_intersect(g.common, near.l) FROM (SELECT codes, common, unnest(common) n FROM grown) g JOIN near ON near.c = g.n WHERE g.n > g.codes[len(g.codes)]"""
+_GROUPS = {**_PAIR_TABLES, "near": _NEAR, "grown": _GROW, "groups": "SELECT codes FROM grown WHERE len(common) = 0"}
 
 
-def alarms12(spark, d):
-    return A.raw_alarms(spark, d).withColumn("alarm_code", F.col("alarm_code") % 12)
+def edges(spark, d):
+    return materialize(cooccur.cooccurrence_edges(A.raw_alarms(spark, d), PAIR_S, SUPPORT), "edges")
 
 
-def edges12(spark, d):
-    return materialize(cooccur.cooccurrence_edges(alarms12(spark, d), PAIR_S, SUPPORT), "edges12")
-
-
-@query("JON5_temporal_proximity", sql("SELECT * FROM pairs", "alarms12", **_PAIR_TABLES))
+@query("JON5_temporal_proximity", sql("SELECT * FROM pairs", "alarms", **_PAIR_TABLES))
 def _(spark, d):
-    return cooccur.matched_anchors(alarms12(spark, d), PAIR_S)
+    return cooccur.matched_anchors(A.raw_alarms(spark, d), PAIR_S)
 
 
-@query("AGG8_cooccurrence", sql("SELECT code_a, code_b, CAST(matched_a AS BIGINT) matched_a, total_a, round(support_a, 6) support_a, CAST(matched_b AS BIGINT) matched_b, total_b, round(support_b, 6) support_b FROM edges", "alarms12", **_PAIR_TABLES))
+@query("AGG8_cooccurrence", sql("SELECT code_a, code_b, CAST(matched_a AS BIGINT) matched_a, total_a, round(support_a, 6) support_a, CAST(matched_b AS BIGINT) matched_b, total_b, round(support_b, 6) support_b FROM edges", "alarms", **_PAIR_TABLES))
 def _(spark, d):
-    return edges12(spark, d).withColumns({"support_a": r6("support_a"), "support_b": r6("support_b")})
+    return edges(spark, d).withColumns({"support_a": r6("support_a"), "support_b": r6("support_b")})
 
 
-@query("GRF1_maximal_cliques", sql("SELECT array_to_string(codes, ',') codes, len(codes) size FROM groups", "alarms12", **_GROUPS))
+@query("GRF1_maximal_cliques", sql("SELECT array_to_string(codes, ',') codes, len(codes) size FROM groups", "alarms", **_GROUPS))
 def _(spark, d):
-    g = cliques.maximal_cliques(edges12(spark, d))
+    g = cliques.maximal_cliques(edges(spark, d))
     return g.select(F.array_join("codes", ",").alias("codes"), F.size("codes").cast("bigint").alias("size"))
 
 
-@query("GRF2_clusters", sql("SELECT array_to_string(codes, ',') codes FROM groups", "alarms12", **_GROUPS))
+@query("GRF2_clusters", sql("SELECT array_to_string(codes, ',') codes FROM groups", "alarms", **_GROUPS))
 def _(spark, d):
-    return cliques.maximal_cliques(edges12(spark, d)).select(F.array_join("codes", ",").alias("codes"))
+    return cliques.maximal_cliques(edges(spark, d)).select(F.array_join("codes", ",").alias("codes"))
 
 
-@query("SRT6_clique_order", sql("SELECT row_number() OVER (ORDER BY codes) position, array_to_string(codes, ',') codes FROM (SELECT codes FROM groups)", "alarms12", **_GROUPS))
+@query("SRT6_clique_order", sql("SELECT row_number() OVER (ORDER BY codes) position, array_to_string(codes, ',') codes FROM (SELECT codes FROM groups)", "alarms", **_GROUPS))
 def _(spark, d):
-    ordered = dense_sequence(cliques.maximal_cliques(edges12(spark, d)), [F.col("codes")], "p")
+    ordered = dense_sequence(cliques.maximal_cliques(edges(spark, d)), [F.col("codes")], "p")
     return ordered.select((F.col("p") + 1).alias("position"), F.array_join("codes", ",").alias("codes"))
 
 
@@ -147,39 +143,39 @@ def _(spark, d):
   count(*) AS "rows", count(DISTINCT a.turbine_id) station_count, count(DISTINCT CAST(a.ts AS DATE)) distinct_dates,
   (SELECT round(min(least(e.support_a, e.support_b)), 6) FROM edges e WHERE list_contains(g.codes, e.code_a) AND list_contains(g.codes, e.code_b)) min_pairwise_support,
   (SELECT min(t.n) FROM totals t WHERE list_contains(g.codes, t.alarm_code)) < 20 low_support
-  FROM groups g JOIN alarms12 a ON list_contains(g.codes, a.alarm_code) GROUP BY g.codes""", "alarms12", **_GROUPS))
+  FROM groups g JOIN alarms a ON list_contains(g.codes, a.alarm_code) GROUP BY g.codes""", "alarms", **_GROUPS))
 def _(spark, d):
-    a, e = alarms12(spark, d), edges12(spark, d)
+    a, e = A.raw_alarms(spark, d), edges(spark, d)
     c = cooccur.group_coverage(cliques.maximal_cliques(e), a, e)
     return c.select(F.array_join("codes", ",").alias("codes"), "min_code_rows", "rows", "station_count", "distinct_dates", r6("min_pairwise_support").alias("min_pairwise_support"), "low_support")
 
 
 def _labels12(spark, d):
-    codes = A.code_lookup(spark, d).where("alarm_code < 12 AND alarm_code % 5 <> 0")
-    return metrics.code_summary(lookup.with_code_labels(alarms12(spark, d).select("ts", "alarm_code"), codes))
+    codes = A.code_lookup(spark, d)
+    return metrics.code_summary(lookup.with_code_labels(A.raw_alarms(spark, d).select("ts", "alarm_code"), codes))
 
 
-_NAMED = """SELECT a.alarm_code, count(*) n, coalesce(min(d.description), '(undocumented)') description FROM alarms12 a
-  LEFT JOIN (SELECT * FROM code_lookup WHERE alarm_code < 12 AND alarm_code % 5 <> 0) d ON d.alarm_code = a.alarm_code GROUP BY 1"""
+_NAMED = """SELECT a.alarm_code, count(*) n, coalesce(min(d.description), '(undocumented)') description FROM alarms a
+  LEFT JOIN code_lookup d ON d.alarm_code = a.alarm_code GROUP BY 1"""
 
 
-@query("JON12_group_members", sql("SELECT array_to_string(g.codes, ',') codes, l.alarm_code, l.description, l.n FROM groups g JOIN named l ON list_contains(g.codes, l.alarm_code)", "alarms12", **_GROUPS, named=_NAMED))
+@query("JON12_group_members", sql("SELECT array_to_string(g.codes, ',') codes, l.alarm_code, l.description, l.n FROM groups g JOIN named l ON list_contains(g.codes, l.alarm_code)", "alarms", **_GROUPS, named=_NAMED))
 def _(spark, d):
-    m = cooccur.group_members(cliques.maximal_cliques(edges12(spark, d)), _labels12(spark, d))
+    m = cooccur.group_members(cliques.maximal_cliques(edges(spark, d)), _labels12(spark, d))
     return m.select(F.array_join("codes", ",").alias("codes"), F.explode("members").alias("m")).select("codes", "m.alarm_code", "m.description", "m.n")
 
 
 @query("FUN19_group_text", sql("""SELECT array_to_string(g.codes, ',') codes, CASE WHEN count(*) FILTER (l.description <> '(undocumented)') = 0 THEN 'Physical meaning unverified: every member code is undocumented.'
   ELSE concat('Co-occurrence associated with documented event(s): ', string_agg(DISTINCT l.description, '; ' ORDER BY l.description) FILTER (l.description <> '(undocumented)'), '. A shared physical cause and the meanings of undocumented members remain unverified.') END interpretation
-  FROM groups g JOIN named l ON list_contains(g.codes, l.alarm_code) GROUP BY g.codes""", "alarms12", **_GROUPS, named=_NAMED))
+  FROM groups g JOIN named l ON list_contains(g.codes, l.alarm_code) GROUP BY g.codes""", "alarms", **_GROUPS, named=_NAMED))
 def _(spark, d):
-    m = cooccur.group_members(cliques.maximal_cliques(edges12(spark, d)), _labels12(spark, d))
+    m = cooccur.group_members(cliques.maximal_cliques(edges(spark, d)), _labels12(spark, d))
     return m.select(F.array_join("codes", ",").alias("codes"), "interpretation")
 
 
-@query("SET5_codes_without_group", sql("SELECT alarm_code, description FROM named WHERE description <> '(undocumented)' AND alarm_code NOT IN (SELECT unnest(codes) FROM groups)", "alarms12", **{**_GROUPS, "edges": _EDGES.replace(str(SUPPORT), "0.66")}, named=_NAMED))
+@query("SET5_codes_without_group", sql("SELECT alarm_code, description FROM named WHERE description <> '(undocumented)' AND alarm_code NOT IN (SELECT unnest(codes) FROM groups)", "alarms", **{**_GROUPS, "edges": _EDGES.replace(str(SUPPORT), "0.6")}, named=_NAMED))
 def _(spark, d):
-    e = cooccur.cooccurrence_edges(alarms12(spark, d), PAIR_S, 0.66)
+    e = cooccur.cooccurrence_edges(A.raw_alarms(spark, d), PAIR_S, 0.6)
     return cooccur.documented_without_group(_labels12(spark, d), cliques.maximal_cliques(e)).select("alarm_code", "description")
 
 

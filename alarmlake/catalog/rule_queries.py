@@ -10,6 +10,7 @@ from alarmlake.plans.segments import micros
 from alarmlake.settings import PolicySettings
 from alarmlake.sources import adapters as A
 
+long_id = lambda c: F.concat(F.lit("23045"), F.lpad(c, 2, "0"))  # noqa: E731  station ids that no code equals
 r6 = lambda c: F.round(c, 6)
 RING = PolicySettings(ring_size=500)
 
@@ -255,9 +256,9 @@ def _(spark, d):
     return lines.select("line", "op", "model_version", F.coalesce("rule.rule_id", "rule_id").alias("rule_id"), F.size("examples").alias("examples"))
 
 
-@query("RUL5_unused_ids", sql("SELECT concat('r', CAST(p_partkey AS VARCHAR)) rule_id FROM part WHERE p_partkey < 200 AND concat('r', CAST(p_partkey AS VARCHAR)) NOT IN (SELECT rule_id FROM lifetimes)", "lifetimes"))
+@query("RUL5_unused_ids", sql("SELECT concat('r', CAST(p_partkey AS VARCHAR)) rule_id FROM part WHERE concat('r', CAST(p_partkey AS VARCHAR)) NOT IN (SELECT rule_id FROM lifetimes)", "lifetimes"))
 def _(spark, d):
-    wanted = A.table(spark, d, "part").where("p_partkey < 200").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("rule_id"))
+    wanted = A.table(spark, d, "part").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("rule_id"))
     return learn.unused_ids(A.sample_journal(spark, d), wanted)
 
 
@@ -406,7 +407,7 @@ def _(spark, d):
 
 @query("RUL12_conflicts", """SELECT 'ambiguous_description' kind, d subject FROM (SELECT lower(trim(p_name)) d FROM (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) c FROM events) JOIN part ON p_partkey = c WHERE p_size <= 35) GROUP BY d HAVING count(*) > 1""")
 def _(spark, d):
-    codes = A.table(spark, d, "part").where("p_partkey < 100 AND p_size <= 35").select(F.col("p_partkey").alias("alarm_code"), F.trim("p_name").alias("description"), (F.col("p_size") % 2).cast("int").alias("stopping"))
+    codes = A.table(spark, d, "part").where("p_size <= 35").select(F.col("p_partkey").alias("alarm_code"), F.trim("p_name").alias("description"), (F.col("p_size") % 2).cast("int").alias("stopping"))
     return vocabulary.conflicts(with_code_labels(A.raw_alarms(spark, d), codes), codes, A.station_metadata(spark, d))
 
 
@@ -435,7 +436,6 @@ def said(spark, d):
 
 @query("RUL11_instructions", sql("SELECT id, reason, CASE WHEN reason IS NULL THEN action END AS action, CASE WHEN reason IS NULL THEN alarm_code END alarm_code, CASE WHEN reason IS NULL THEN turbine_id END turbine_id FROM asked", said=_SAID, asked=_ASKED))
 def _(spark, d):
-    long_id = lambda c: F.concat(F.lit("23045"), F.lpad(c, 2, "0"))  # noqa: E731  ids that no code equals
     a = A.raw_alarms(spark, d).withColumn("turbine_id", long_id("turbine_id"))
     m = A.station_metadata(spark, d).withColumn("station_id", long_id("station_id"))
     codes = vocabulary.code_descriptions(a, A.code_lookup(spark, d))
@@ -444,12 +444,13 @@ def _(spark, d):
     return out.select("id", "reason", "action", "alarm_code", "turbine_id")
 
 
-@query("JON11_phrase_lookup", sql("SELECT c.id, CASE WHEN count(DISTINCT n.turbine_id) = 1 THEN min(n.turbine_id) END turbine_id FROM (SELECT event_id id, concat('please check turbine ', user_id % 27 + 1, ' today') t FROM events) c JOIN names n ON contains(concat(' ', c.t, ' '), concat(' ', n.alias, ' ')) GROUP BY 1", "station_metadata", "alarms", names=_ALIAS))
+@query("JON11_phrase_lookup", sql("SELECT c.id, CASE WHEN count(DISTINCT n.turbine_id) = 1 THEN concat('23045', lpad(min(n.turbine_id), 2, '0')) END turbine_id FROM (SELECT event_id id, concat('please check turbine ', user_id % 27 + 1, ' today') t FROM events) c JOIN names n ON contains(concat(' ', c.t, ' '), concat(' ', n.alias, ' ')) GROUP BY 1", "station_metadata", "alarms", names=_ALIAS))
 def _(spark, d):
-    a, m = A.raw_alarms(spark, d), A.station_metadata(spark, d)
+    a = A.raw_alarms(spark, d).withColumn("turbine_id", long_id("turbine_id"))
+    m = A.station_metadata(spark, d).withColumn("station_id", long_id("station_id"))
     names = vocabulary.aliases(vocabulary.station_labels(a, m))
     e = A.table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("please check turbine "), (F.col("user_id") % 27 + 1).cast("string"), F.lit(" today")).alias("text"))
-    out = instructions.asset_references(e, names, vocabulary.observed_stations(a).where("length(turbine_id) > 9"))
+    out = instructions.asset_references(e, names, vocabulary.observed_stations(a))
     return out.where("has_asset").select("id", "turbine_id")
 
 
@@ -457,4 +458,4 @@ def _(spark, d):
   FROM (SELECT *, CASE WHEN kind NOT IN (1, 4) THEN 'all turbines' WHEN CAST(station AS INT) < 25 THEN concat('turbine ', CAST(station AS INT) + 1) ELSE concat('station ', station) END w FROM rules WHERE kind <> 6) r JOIN code_lookup l ON l.alarm_code = r.code""", "rules", "code_lookup"))
 def _(spark, d):
     labels = A.station_metadata(spark, d).select(F.col("station_id").alias("turbine_id"), F.col("turbine_name").alias("label"))
-    return instructions.confirmation(A.sample_rules(spark, d).where("scope.alarm_code IS NOT NULL"), A.code_lookup(spark, d).select("alarm_code", "description"), labels)
+    return instructions.confirmation(A.sample_rules(spark, d), A.code_lookup(spark, d).select("alarm_code", "description"), labels)

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from alarmlake.plans.segments import RUN_BITS, blocks_with_halo, largest_group, positions, row_numbers, run_of
+from alarmlake.plans.segments import RUN_BITS, blocks_with_halo, row_numbers, run_of
 from alarmlake.settings import DETECTOR_WINDOW, MAX_DOUBLE, STD_FLOOR
 
 ASSET_SIGNAL = ["turbine_id", "signal"]
+BLOCK_ROWS = 1 << 16
 
 
 def _z(value: Column, n: Column, mean: Column, std: Column, previous: Column) -> Column:
@@ -28,33 +29,27 @@ def _z(value: Column, n: Column, mean: Column, std: Column, previous: Column) ->
     return F.when(n < 2, F.lit(0.0)).otherwise(finite)
 
 
-def zscores(readings: DataFrame, window: int = DETECTOR_WINDOW, limit: int = 1 << RUN_BITS) -> DataFrame:
+def zscores(readings: DataFrame, window: int = DETECTOR_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``score``: absolute population z-score of each reading against the previous
     ``window`` non-null readings of its (station, signal); null readings score 0.
 
-    Keys of at most ``limit`` rows use one window. Larger ones are cut into blocks of
-    ``limit`` rows that repeat the ``window`` rows before them, so every frame stays whole.
+    Keys are cut into blocks of ``block_rows`` rows that repeat the ``window`` rows before them, so
+    every frame stays whole and a long key is spread.
     """
     if window < 2:
         raise ValueError("window must be at least 2")
     seen = readings.withColumn("_seen", F.col("value").isNotNull() & ~F.isnan("value"))
     keys = [*ASSET_SIGNAL, "_seen"]
-    split = largest_group(seen, keys) > limit
-    if split:
-        seen = blocks_with_halo(row_numbers(seen, keys), "_rn", max(limit, window), window)
-        part, order = W.partitionBy(*keys, "_block"), "_rn"
-    else:
-        part, order = W.partitionBy(*keys), "seq"
-    frame = part.orderBy(order).rowsBetween(-window, -1)
+    seen = blocks_with_halo(row_numbers(seen, keys), "_rn", max(block_rows, window), window)
+    part = W.partitionBy(*keys, "_block").orderBy("_rn")
+    frame = part.rowsBetween(-window, -1)
     scored = seen.select(
         "*",
         F.count("value").over(frame).alias("_n"),
         F.avg("value").over(frame).alias("_mean"),
         F.stddev_pop("value").over(frame).alias("_std"),
-        F.lag("value").over(part.orderBy(order)).alias("_prev"),
-    )
-    if split:
-        scored = scored.where(~F.col("_halo"))
+        F.lag("value").over(part).alias("_prev"),
+    ).where(~F.col("_halo"))
     z = _z(F.col("value"), F.col("_n"), F.col("_mean"), F.col("_std"), F.col("_prev"))
     return scored.withColumn("score", F.when(F.col("_seen"), z).otherwise(F.lit(0.0))).select(*readings.columns, "score")
 
@@ -64,15 +59,15 @@ def event_readings(events: DataFrame) -> DataFrame:
     return events.select("seq", "turbine_id", F.explode("signals").alias("signal", "value"))
 
 
-def event_scores(events: DataFrame, window: int = DETECTOR_WINDOW, limit: int = 1 << RUN_BITS) -> DataFrame:
+def event_scores(events: DataFrame, window: int = DETECTOR_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """seq and the highest signal score of every event that carries readings."""
-    scored = zscores(event_readings(events), window, limit)
+    scored = zscores(event_readings(events), window, block_rows)
     return scored.groupBy("seq").agg(F.max("score").alias("anomaly_score"))
 
 
-def with_anomaly(events: DataFrame, window: int = DETECTOR_WINDOW, limit: int = 1 << RUN_BITS) -> DataFrame:
+def with_anomaly(events: DataFrame, window: int = DETECTOR_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Events with ``anomaly_score``; events without readings score 0."""
-    scores = event_scores(events, window, limit)
+    scores = event_scores(events, window, block_rows)
     return events.join(scores, "seq", "left").withColumn("anomaly_score", F.coalesce("anomaly_score", F.lit(0.0)))
 
 
@@ -175,7 +170,7 @@ def half_space_scores(events: DataFrame, signals: list[str], window: int = DETEC
         *[F.coalesce(F.max(F.when(F.col("signal") == s, F.col("scaled_after"))), F.lit(0.0)).alias(f"a{i}") for i, s in enumerate(signals)],
     )
     block_rows = window * windows_per_block
-    blocks = blocks_with_halo(positions(vectors, ["turbine_id"]), "_rn", block_rows, window)
+    blocks = blocks_with_halo(row_numbers(vectors, ["turbine_id"]), "_rn", block_rows, window)
     count = len(signals)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:

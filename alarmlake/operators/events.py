@@ -6,24 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from alarmlake.plans.segments import RUN_BITS, dense_sequence, largest_group, row_numbers
+from alarmlake.plans.segments import dense_sequence, row_numbers
 
 
-def with_occurrence(scada: DataFrame, limit: int = 1 << RUN_BITS) -> DataFrame:
+def with_occurrence(scada: DataFrame) -> DataFrame:
     """Number repeated readings of one (ts, station, signal) from 0 in arrival order."""
-    keys = ["ts", "turbine_id", "signal"]
-    if largest_group(scada, keys) > limit:
-        numbered = row_numbers(scada, keys)
-    else:
-        placed = scada.repartition("ts", "turbine_id")  # one shuffle serves this window and the snapshot aggregate
-        numbered = placed.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy("seq")).cast("bigint"))
-    return numbered.withColumn("layer", F.col("_rn") - 1).drop("_rn")
+    return row_numbers(scada, ["ts", "turbine_id", "signal"]).withColumn("layer", F.col("_rn") - 1).drop("_rn")
 
 
-def snapshots(scada: DataFrame, limit: int = 1 << RUN_BITS) -> DataFrame:
+def snapshots(scada: DataFrame) -> DataFrame:
     """One signals map per (ts, station, layer); null readings stay as null map values."""
     return (
-        with_occurrence(scada, limit)
+        with_occurrence(scada)
         .groupBy("ts", "turbine_id", "layer")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "value")))).alias("signals"))
     )

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alarmlake.functions.text import SMALL_NUMBERS, TENS, contains_phrase, normalize, token_set
-from alarmlake.plans.segments import broadcast_if_small, spread
 from alarmlake.session import materialize
 from alarmlake.settings import COLLAPSE_WINDOW_S, UNDOCUMENTED
 
@@ -97,12 +96,12 @@ def asset_references(sentences: DataFrame, aliases: DataFrame, stations: DataFra
     longest = names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(1))).first()[0]
     words = sentences.select("id", F.split("text", " ").alias("w"))
     openers = names.select(F.split("name", " ")[0].alias("first")).distinct()
-    starts = words.select("id", F.posexplode("w").alias("at", "first"), "w").join(broadcast_if_small(openers), "first", "left_semi")
+    starts = words.select("id", F.posexplode("w").alias("at", "first"), "w").join(openers, "first", "left_semi")
     runs = starts.select(
         "id", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at")))).alias("n"), "w"
     ).select("id", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("name"))
     hits = (
-        runs.join(broadcast_if_small(names), "name")
+        runs.join(names, "name")
         .groupBy("id")
         .agg(
             F.array_sort(
@@ -208,7 +207,7 @@ def code_references(sentences: DataFrame, codes: DataFrame) -> DataFrame:
 def propose_rules(instructions: DataFrame, codes: DataFrame, aliases: DataFrame, stations: DataFrame) -> DataFrame:
     """Input (id, text). Output id, reason (null when accepted) and the proposed rule fields."""
     valid = F.coalesce((F.trim("text") != "") & (F.length("text") <= MAX_LENGTH), F.lit(False))
-    clean = spread(instructions).select("id", valid.alias("valid"), F.when(valid, normalize(F.col("text"))).alias("text"))
+    clean = instructions.select("id", valid.alias("valid"), F.when(valid, normalize(F.col("text"))).alias("text"))
     clean = materialize(clean, "sentences")  # normalised once, read by each branch below
     readable = clean.where(F.col("valid") & ~F.col("text").rlike(QUESTION) & ~unsupported(F.col("text"))).select("id", "text")
     assets = materialize(asset_references(readable, aliases, stations), "assets")

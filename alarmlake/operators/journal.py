@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alarmlake.operators.rules import KEEP, decide, match_rules, verdicts
-from alarmlake.plans.segments import RUN_BITS, broadcast_if_small, run_of, running_total
+from alarmlake.plans.segments import RUN_BITS, run_of, running_total
 from alarmlake.settings import PolicySettings
 
 FIRST_REVISION = 1
@@ -138,7 +138,7 @@ def with_revision(events: DataFrame, revisions: DataFrame, ring_size: int, bits:
     pieces = ranges.withColumn("_run", F.explode(F.sequence(run_of("lo", bits), run_of(F.col("hi") - 1, bits))))
     return (
         events.withColumn("_run", run_of("seq", bits))
-        .join(broadcast_if_small(pieces), "_run")
+        .join(pieces, "_run")
         .where((F.col("seq") >= F.col("lo")) & (F.col("seq") < F.col("hi")))
         .drop("_run", "lo", "hi")
     )

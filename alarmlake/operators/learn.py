@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alarmlake.functions.conditions import is_critical
-from alarmlake.functions.features import encoded_features, linear_score, numeric_features, sigmoid
+from alarmlake.functions.features import encoded_features, numeric_features, sigmoid
 from alarmlake.operators.events import ring
 from alarmlake.operators.journal import active_batches, active_rules
 from alarmlake.operators.rules import RULE_FIELDS, match_rules
@@ -171,39 +171,17 @@ def coefficients(model: LogisticRegressionModel, slots: DataFrame) -> DataFrame:
     return slots.join(values, "slot").select("feature", "weight")
 
 
-INLINE_WEIGHTS = 50_000
-
-
-def with_probability(events: DataFrame, weights: DataFrame, intercept: float, inline: int = INLINE_WEIGHTS) -> DataFrame:
-    """Add ``probability``.
-
-    Up to ``inline`` weights travel as one nested map, looked up in place. Beyond that features
-    are exploded, joined to the weights and summed per event.
-    """
-    features = encoded_features(numeric_features())
-    count = weights.limit(inline + 1).count()
-    if count <= inline:
-        buckets = max(1, int(count**0.5))  # map lookups scan, so two levels of about sqrt(n) entries
-        bucket = lambda name: F.pmod(F.xxhash64(name), F.lit(buckets))
-        nested = (
-            weights.groupBy(bucket("feature").alias("b"))
-            .agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("m"))
-            .agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("w"))
-        )
-        weight = lambda name: F.try_element_at(F.try_element_at("_weights", bucket(name)), name)
-        return (
-            events.withColumn("_weights", nested.scalar())
-            .withColumn("probability", sigmoid(linear_score(features, weight, F.lit(intercept))))
-            .drop("_weights")
-        )
-    terms = (
-        events.select("seq", F.explode(features).alias("feature", "x"))
+def with_probability(events: DataFrame, weights: DataFrame, intercept: float) -> DataFrame:
+    """Add ``probability``: features meet their weights by name and are summed per event in name order,
+    so the sum does not depend on how rows were dealt."""
+    products = (
+        events.select("seq", F.explode(encoded_features(numeric_features())).alias("feature", "x"))
         .join(weights, "feature")
         .groupBy("seq")
-        .agg(F.sum(F.col("x") * F.col("weight")).alias("_sum"))
+        .agg(F.array_sort(F.collect_list(F.struct("feature", (F.col("x") * F.col("weight")).alias("y")))).alias("_terms"))
+        .select("seq", F.aggregate("_terms", F.lit(intercept), lambda total, t: total + t["y"]).alias("_sum"))
     )
-    total = F.lit(intercept) + F.coalesce("_sum", F.lit(0.0))
-    return events.join(terms, "seq", "left").withColumn("probability", sigmoid(total)).drop("_sum")
+    return events.join(products, "seq", "left").withColumn("probability", sigmoid(F.coalesce("_sum", F.lit(intercept)))).drop("_sum")
 
 
 def learning_state(journal: DataFrame, weights: DataFrame, intercept: float) -> DataFrame:

@@ -7,61 +7,88 @@ from pyspark.sql import functions as F
 
 from alarmlake.functions.conditions import is_critical, rule_matches
 from alarmlake.operators.throttle import throttle
-from alarmlake.plans.segments import RUN_BITS, broadcast_if_small, micros, spread
+from alarmlake.plans.segments import RUN_BITS, micros
 from alarmlake.session import materialize
 from alarmlake.settings import COLLAPSE_WINDOW_S, NUISANCE_THRESHOLD
 
 RULE_FIELDS = ["rule_order", "rule_id", "scope", "pattern", "action", "confidence"]
-CHUNK = 4096
+WILDCARD_SALTS = 64
 
 
-def _packed(extra: list[str]) -> Column:
-    return F.array_sort(F.collect_list(F.struct(*RULE_FIELDS, *extra)))
+def _brief(rule: Column) -> Column:
+    return F.struct(
+        rule["rule_order"].alias("rule_order"),
+        rule["rule_id"].alias("rule_id"),
+        rule["action"].alias("action"),
+        rule["pattern"]["kind"].alias("kind"),
+        rule["confidence"].alias("confidence"),
+        rule["pattern"]["window_s"].alias("window_s"),
+    )
 
 
-def match_rules(events: DataFrame, rules: DataFrame, active: Column | None = None, interval: tuple[str, str] | None = None) -> DataFrame:
-    """Add ``matches``: the matching rules of each event in learn order.
+def _key(shape: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{shape}:"), value.cast("string"))
+
+
+def matching_pairs(events: DataFrame, rules: DataFrame, active: Column | None = None, interval: tuple[str, str] | None = None) -> DataFrame:
+    """seq and rule of every match.
 
-    Rules naming a code meet their events through an equi-join on the code. Rules without a
-    code are packed, at most CHUNK to an array, and tested in place. Either way the event side
-    is neither shuffled (for a small rule table) nor multiplied. ``interval`` names rule columns
-    bounding a revision range and ``active`` is the event's revision.
+    A rule is filed under the first of code, station, signal that its scope names; events meet the rules filed under
+    their own values by equi-joins, and the rest of the scope is tested on those pairs only. Rules that name nothing are
+    filed under 64 salts, so the events that all meet them are spread.
     """
     extra = list(interval) if interval else []
-    fields = rules.select(*RULE_FIELDS, *extra)
-    coded = fields.where(F.col("scope.alarm_code").isNotNull())
-    open_rules = fields.where(F.col("scope.alarm_code").isNull())
-    by_code = coded.groupBy(F.col("scope.alarm_code").alias("_code")).agg(_packed(extra).alias("_coded"))
-    if not events.isStreaming:
-        events = spread(events)
-    joined = events.join(broadcast_if_small(by_code), events.alarm_code == F.col("_code"), "left").drop("_code")
-
-    def applies(rule: Column) -> Column:
-        test = rule_matches(rule)
-        if interval:
-            test = (rule[interval[0]] <= active) & (active < rule[interval[1]]) & test
-        return test
-
-    parts = [F.filter(F.col("_coded"), applies)]
-    chunks = -(-open_rules.count() // CHUNK)
-    for i in range(chunks):
-        piece = open_rules if chunks == 1 else open_rules.where(F.pmod(F.xxhash64("rule_id"), F.lit(chunks)) == i)
-        joined = joined.withColumn(f"_open{i}", piece.agg(_packed(extra)).scalar())
-        parts.append(F.filter(f"_open{i}", applies))
-    empty = F.filter(F.coalesce(F.col("_coded"), F.array().cast(joined.schema["_coded"].dataType)), lambda r: F.lit(False))
-    found = F.concat(*[F.coalesce(p, empty) for p in parts])
-    brief = F.transform(
-        F.array_sort(found),
-        lambda r: F.struct(
-            r["rule_order"].alias("rule_order"),
-            r["rule_id"].alias("rule_id"),
-            r["action"].alias("action"),
-            r["pattern"]["kind"].alias("kind"),
-            r["confidence"].alias("confidence"),
-            r["pattern"]["window_s"].alias("window_s"),
-        ),
+    filed = rules.select(F.struct(*RULE_FIELDS, *extra).alias("_rule"))
+    code, station, signal = (F.col(f"_rule.scope.{f}") for f in ("alarm_code", "turbine_id", "signal"))
+    salts = F.transform(F.sequence(F.lit(0), F.lit(WILDCARD_SALTS - 1)), lambda i: _key("any", i))
+    keys = (
+        F.when(code.isNotNull(), F.array(_key("code", code)))
+        .when(station.isNotNull(), F.array(_key("station", station)))
+        .when(signal.isNotNull(), F.array(_key("signal", signal)))
+        .otherwise(salts)
     )
-    return joined.withColumn("matches", brief).drop("_coded", *[f"_open{i}" for i in range(chunks)])
+    filed = filed.select("_rule", F.explode(keys).alias("_key"))
+    own = F.array_compact(F.array(_key("code", F.col("alarm_code")), _key("station", F.col("turbine_id")), _key("any", F.pmod(F.xxhash64("seq"), F.lit(WILDCARD_SALTS)))))
+    test = rule_matches(F.col("_rule"))
+    if interval:
+        test = (F.col(f"_rule.{interval[0]}") <= active) & (active < F.col(f"_rule.{interval[1]}")) & test
+    direct = events.withColumn("_key", F.explode(own)).join(filed, "_key").where(test).select("seq", "_rule")
+    # Signals can be many per event: only their names travel to the rules filed under a signal.
+    names = F.array_union(F.array_compact(F.array("signal")), F.array_union(_names("signals"), _names("features")))
+    named = events.select("seq", F.explode(F.array_distinct(names)).alias("_name")).select("seq", _key("signal", F.col("_name")).alias("_key")).join(filed, "_key").drop("_key")
+    by_signal = events.join(named, "seq").where(test).select("seq", "_rule")
+    return direct.unionByName(by_signal)
+
+
+def _names(column: str) -> Column:
+    return F.coalesce(F.map_keys(column), F.array().cast("array<string>"))
+
+
+def match_rules(events: DataFrame, rules: DataFrame, active: Column | None = None, interval: tuple[str, str] | None = None) -> DataFrame:
+    """Add ``matches``: the matching rules of each event in learn order.
+
+    ``interval`` names rule columns bounding a revision range and ``active`` is the event's revision. No job runs
+    before the action. A stream takes the in-place form, since it cannot be regrouped.
+    """
+    if events.isStreaming:
+        return match_in_place(events, rules)
+    found = matching_pairs(events, rules, active, interval).groupBy("seq").agg(F.array_sort(F.collect_list(_brief(F.col("_rule")))).alias("_found"))
+    joined = events.join(found, "seq", "left")
+    kind = joined.schema["_found"].dataType
+    return joined.select(*events.columns, F.coalesce("_found", F.array().cast(kind)).alias("matches"))
+
+
+def match_in_place(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """Matches of a stream: the rules of an event's code and those without a code, tested on the event itself.
+
+    The rule table of a stream is static; its rules travel with the events as arrays.
+    """
+    packed = F.array_sort(F.collect_list(F.struct(*RULE_FIELDS)))
+    by_code = rules.where("scope.alarm_code IS NOT NULL").groupBy(F.col("scope.alarm_code").alias("_code")).agg(packed.alias("_coded"))
+    joined = events.join(by_code, events.alarm_code == F.col("_code"), "left").withColumn("_open", rules.where("scope.alarm_code IS NULL").agg(packed).scalar())
+    none = F.array().cast(joined.schema["_coded"].dataType)
+    found = F.concat(*[F.filter(F.coalesce(c, none), rule_matches) for c in ("_coded", "_open")])
+    return joined.withColumn("matches", F.transform(F.array_sort(found), _brief)).drop("_coded", "_open", "_code")
 
 
 def _with_action(*tests) -> Column:
@@ -182,8 +209,8 @@ ACTIONS = ("suppress", "collapse", "escalate")
 KINDS = ("code_match", "conditions", "learned")
 OPS = ("eq", "ne", "lt", "lte", "gt", "gte")
 ORDERED_OPS = ("lt", "lte", "gt", "gte")
-FIELD_PATTERN = r"^(signals\.|features\.)?[A-Za-z][A-Za-z0-9_]*$"
-AWARE_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2}(:\d{2})?)$"
+FIELD_PATTERN = r"^(signals\.|features\.)?[A-Za-z][A-Za-z0-9_]*\z"
+AWARE_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2}(:\d{2})?)\z"
 
 
 def rule_violations(rules: DataFrame) -> DataFrame:

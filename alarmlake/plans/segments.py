@@ -29,26 +29,6 @@ def run_of(seq: Column | str, bits: int = RUN_BITS) -> Column:
     return F.shiftright(F.col(seq) if isinstance(seq, str) else seq, bits)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows`` + 1 rows; otherwise leave
-    the join to Spark's own size-based choice (sort-merge with skew splitting)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work when the input has fewer partitions than that.
-
-    Large inputs already have more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
 def row_numbers(df: DataFrame, keys: Sequence[str], seq: str = "seq", bits: int = RUN_BITS) -> DataFrame:
     """Add ``_rn``: 1-based position of each row within its key, in ``seq`` order.
 
@@ -113,7 +93,7 @@ def dense_sequence(df: DataFrame, order: Sequence[Column], name: str = "seq", pa
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        stored.join(broadcast_if_small(offsets), "_part")
+        stored.join(offsets, "_part")
         .withColumn(name, F.col("_offset") + F.col("_at"))
         .drop("_part", "_at", "_offset")
     )
@@ -136,11 +116,3 @@ def running_total(df: DataFrame, value: str, index: str, name: str, chunk_bits:
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_chunk", "_local", "_offset")
     )
-
-
-def positions(df: DataFrame, keys: Sequence[str], seq: str = "seq", limit: int = 1 << RUN_BITS) -> DataFrame:
-    """Add ``_rn`` by a plain window when the largest key is known to hold at most ``limit``
-    rows, else by the split numbering; both give the same numbers."""
-    if largest_group(df, keys) <= limit:
-        return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(seq)).cast("bigint"))
-    return row_numbers(df, keys, seq)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from alarmlake.operators.lookup import with_code_labels
+from alarmlake.plans.segments import dense_sequence
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def station_of(user: str = "user_id", stations: int = 27) -> Column:
 
 
 def code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where((F.col("p_partkey") < 100) & (F.col("p_size") <= 35))
+    part = table(spark, sf_dir, "part").where("p_size <= 35")  # larger sizes have no documentation
     return part.select(
         F.col("p_partkey").cast("bigint").alias("alarm_code"),
         F.concat(F.trim("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("description"),
@@ -130,8 +130,8 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rule per documented code, in code order, covering every action and scope shape."""
-    part = table(spark, sf_dir, "part").where((F.col("p_partkey") < 100) & (F.col("p_size") <= 35))
+    """One rule per part, in code order, covering every action and scope shape."""
+    part = table(spark, sf_dir, "part")
     kind = F.col("p_size") % 7
     station = (F.col("p_partkey") % 27).cast("string")
     cond = lambda field, op, num: F.struct(
@@ -173,12 +173,11 @@ def sample_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journal that teaches every sample rule in code order, then undoes some reversible ones."""
     rules = sample_rules(spark, sf_dir)
-    order = W.orderBy("rule_order")  # at most 100 rules by construction
-    taught = rules.withColumn("i", F.row_number().over(order))
+    taught = rules.withColumn("i", F.col("rule_order") + 1)  # part keys count from 0 without gaps
     count = rules.agg(F.count(F.lit(1))).scalar()
     undone = (
-        rules.where(F.col("reversible") & (F.col("rule_order") % 4 == 1))
-        .withColumn("i", F.row_number().over(order))
+        dense_sequence(rules.where(F.col("reversible") & (F.col("rule_order") % 4 == 1)), [F.col("rule_order")], "i")
+        .withColumn("i", F.col("i") + 1)
         .select((count * 2 + F.col("i")).alias("line"), F.lit("undo").alias("op"), "rule_id", (count + F.col("i") + 1).alias("model_version"))
     )
     example = lambda name, label: F.struct(
@@ -209,7 +208,8 @@ def sample_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each journal revision was applied, spread evenly over the event history."""
-    step = table(spark, sf_dir, "events").agg(F.floor(F.count(F.lit(1)) / 120)).scalar()
-    return sample_journal(spark, sf_dir).where("model_version IS NOT NULL").select(
-        F.col("model_version").alias("version"), (F.col("model_version") * step).alias("applied_at")
+    steps = sample_journal(spark, sf_dir).where("model_version IS NOT NULL")
+    events, last = table(spark, sf_dir, "events").agg(F.count(F.lit(1))).scalar(), steps.agg(F.max("model_version")).scalar()
+    return steps.select(F.col("model_version").alias("version"), F.expr("model_version").cast("bigint").alias("_v")).select(
+        "version", F.floor(F.col("_v") * events / last).cast("bigint").alias("applied_at")
     )

@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from alarmlake.functions.jsontext import has_duplicate_keys, has_nonfinite
 from alarmlake.functions.text import file_month, file_year, table_prefix
 from alarmlake.operators.validate import iso_or_null, raise_unless, require_columns, strict_integer, strict_timestamp
-from alarmlake.plans.segments import broadcast_if_small
 from alarmlake.schemas import ALARM_COLUMNS, CONDITION_DDL, EXAMPLE_DDL
 
 # windows-1252 is latin-1 with printable characters in place of the C1 controls.
@@ -37,7 +36,7 @@ def with_row_numbers(rows: DataFrame, path: str = "_path", start: str = "_start"
     inside = W.partitionBy(path, start).orderBy("_id")
     return (
         placed.withColumn("_pos", F.row_number().over(inside))
-        .join(broadcast_if_small(offsets), [path, start])
+        .join(offsets, [path, start])
         .withColumn("row_no", F.col("_offset") + F.col("_pos"))
         .drop("_id", "_pos", "_offset")
     )

@@ -5,6 +5,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from alarmlake.operators import detect, events
@@ -19,8 +20,8 @@ def readings(spark, values, key=("a", "s")):
     return spark.createDataFrame(rows, "seq bigint, turbine_id string, signal string, value double")
 
 
-def scores(df, window=288, limit=1 << 20):
-    return [r.score for r in detect.zscores(df, window, limit).orderBy("seq").collect()]
+def scores(df, window=288, block_rows=1 << 16):
+    return [r.score for r in detect.zscores(df, window, block_rows).orderBy("seq").collect()]
 
 
 def test_constant_history_scores_zero_then_large(spark):
@@ -61,7 +62,7 @@ def test_stream_ring_equals_batch(spark):
 def test_row_numbers_and_running_scale(spark, sf_dir, bits):
     r = adapters.scada_long(spark, sf_dir)
     split = segments.row_numbers(r, ["signal"], bits=bits)
-    plain = segments.positions(r, ["signal"])
+    plain = r.withColumn("_rn", F.row_number().over(Window.partitionBy("signal").orderBy("seq")).cast("bigint"))
     assert split.select("seq", "_rn").exceptAll(plain.select("seq", "_rn")).count() == 0
     a, b = detect.running_scale(r, bits=bits), detect.running_scale(r)
     assert a.exceptAll(b).count() == 0 and a.count() == r.count()
@@ -69,7 +70,8 @@ def test_row_numbers_and_running_scale(spark, sf_dir, bits):
 
 def test_occurrence_index_split_equals_plain(spark, sf_dir):
     s = adapters.scada_grid(spark, sf_dir)
-    assert events.with_occurrence(s, limit=1).exceptAll(events.with_occurrence(s)).count() == 0
+    plain = F.row_number().over(Window.partitionBy("ts", "turbine_id", "signal").orderBy("seq")) - 1
+    assert events.with_occurrence(s).exceptAll(s.withColumn("layer", plain.cast("bigint"))).count() == 0
 
 
 def brute(rows):
