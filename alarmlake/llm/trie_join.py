@@ -140,8 +140,12 @@ def _join_groups(group: np.ndarray, side: np.ndarray, v: np.ndarray, fp: np.ndar
             pairs_j.append(j)
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs_i, pairs_j))
     root = _roots(len(v), i, j)
-    moved = np.flatnonzero(root != np.arange(len(v)))
-    return fp[moved], fp[root[moved]]
+    # The centre of a star is its least fingerprint, as the components want it: links then all lead down.
+    least = fp.copy()
+    np.minimum.at(least, root, fp)
+    centre = least[root]
+    moved = np.flatnonzero(centre != fp)
+    return fp[moved], centre[moved]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
