@@ -213,7 +213,7 @@ def _(spark, d):
 # --- sets -------------------------------------------------------------------------------
 
 
-@query("SET1_month_union", sql("SELECT seq, CAST(time_on AS TIMESTAMP) ts FROM raw_log WHERE time_on >= '1998'", "raw_log"))
+@query("SET1_month_union", sql("SELECT seq, CAST(time_on AS TIMESTAMP) ts FROM raw_log WHERE time_on >= '1998' AND time_on < '1999'", "raw_log"))
 def _(spark, d):
     rows = A.raw_alarm_log(spark, d).select("seq", validate.iso_or_null(F.col("TimeOn")).alias("ts"))
     return reduce(DataFrame.unionByName, [filters.month_slice(rows, 1998, m) for m in range(1, 13)])

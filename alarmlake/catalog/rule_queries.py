@@ -256,9 +256,9 @@ def _(spark, d):
     return lines.select("line", "op", "model_version", F.coalesce("rule.rule_id", "rule_id").alias("rule_id"), F.size("examples").alias("examples"))
 
 
-@query("RUL5_unused_ids", sql("SELECT concat('r', CAST(p_partkey AS VARCHAR)) rule_id FROM part WHERE concat('r', CAST(p_partkey AS VARCHAR)) NOT IN (SELECT rule_id FROM lifetimes)", "lifetimes"))
+@query("RUL5_unused_ids", sql("SELECT concat('r', CAST(p_partkey * 2 AS VARCHAR)) rule_id FROM part WHERE concat('r', CAST(p_partkey * 2 AS VARCHAR)) NOT IN (SELECT rule_id FROM lifetimes)", "lifetimes"))
 def _(spark, d):
-    wanted = A.table(spark, d, "part").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("rule_id"))
+    wanted = A.table(spark, d, "part").select(F.concat(F.lit("r"), (F.col("p_partkey") * 2).cast("string")).alias("rule_id"))
     return learn.unused_ids(A.sample_journal(spark, d), wanted)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from alarmlake.functions.text import strip
+
 
 def soft_sign(value: Column) -> Column:
     return value / (F.lit(1.0) + F.abs(value))
@@ -20,7 +22,7 @@ def _observed(values: Column) -> Column:
     """Map without null or NaN values; infinities and blank names raise."""
     empty = F.create_map().cast("map<string,double>")
     present = F.map_filter(F.coalesce(values, empty), lambda k, v: v.isNotNull() & ~F.isnan(v))
-    bad = F.exists(F.map_entries(present), lambda e: (F.abs(e["value"]) == F.lit(float("inf"))) | (F.trim(e["key"]) == ""))
+    bad = F.exists(F.map_entries(present), lambda e: (F.abs(e["value"]) == F.lit(float("inf"))) | (strip(e["key"]) == ""))
     return F.when(bad, F.raise_error(F.lit("feature names must be nonblank and values finite")).cast("map<string,double>")).otherwise(present)
 
 

@@ -29,7 +29,16 @@ NONFINITE_PATTERN = r'[:\[,]\s*-?(NaN|Infinity)\b'
 def has_nonfinite(json: Column) -> Column:
     """True when NaN or Infinity stands outside quoted text."""
     unquoted = F.regexp_replace(json, r'"(\\.|[^"\\])*"', '""')
-    return unquoted.rlike(NONFINITE_PATTERN)
+    numbers = F.regexp_extract_all(unquoted, F.lit(r"-?\d+(\.\d+)?([eE][+-]?\d+)?"), F.lit(0))
+    too_large = F.exists(numbers, lambda n: F.abs(n.try_cast("double")) == F.lit(float("inf")))
+    return unquoted.rlike(NONFINITE_PATTERN) | too_large
+
+
+def one_value(json: Column) -> Column:
+    """The text as a variant, null unless it is exactly one JSON value: inside brackets, whatever follows the value
+    is a fault or a second member."""
+    listed = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def finite_or_null(value: Column) -> Column:

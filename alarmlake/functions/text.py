@@ -58,8 +58,13 @@ def normalize(text: Column, folded: bool = False) -> Column:
     return F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " "))
 
 
+def strip(text: Column | str) -> Column:
+    """Text without any Unicode white space at its ends."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:

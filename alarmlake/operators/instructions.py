@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alarmlake.functions.text import SMALL_NUMBERS, TENS, contains_phrase, normalize, token_set
+from alarmlake.functions.text import SMALL_NUMBERS, TENS, contains_phrase, normalize, strip, token_set
 from alarmlake.session import materialize
 from alarmlake.settings import COLLAPSE_WINDOW_S, UNDOCUMENTED
 
@@ -206,7 +206,7 @@ def code_references(sentences: DataFrame, codes: DataFrame) -> DataFrame:
 
 def propose_rules(instructions: DataFrame, codes: DataFrame, aliases: DataFrame, stations: DataFrame) -> DataFrame:
     """Input (id, text). Output id, reason (null when accepted) and the proposed rule fields."""
-    valid = F.coalesce((F.trim("text") != "") & (F.length("text") <= MAX_LENGTH), F.lit(False))
+    valid = F.coalesce((strip("text") != "") & (F.length("text") <= MAX_LENGTH), F.lit(False))
     clean = instructions.select("id", valid.alias("valid"), F.when(valid, normalize(F.col("text"))).alias("text"))
     clean = materialize(clean, "sentences")  # normalised once, read by each branch below
     readable = clean.where(F.col("valid") & ~F.col("text").rlike(QUESTION) & ~unsupported(F.col("text"))).select("id", "text")

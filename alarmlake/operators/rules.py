@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alarmlake.functions.text import strip
 from alarmlake.functions.conditions import is_critical, rule_matches
 from alarmlake.operators.throttle import throttle
 from alarmlake.plans.segments import RUN_BITS, micros
@@ -215,8 +216,8 @@ AWARE_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}
 
 def rule_violations(rules: DataFrame) -> DataFrame:
     """rule_id and the list of broken constraints; valid rules give an empty list."""
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    blank_if_set = lambda c: c.isNotNull() & (F.trim(c) == "")
+    blank = lambda c: F.coalesce(strip(c) == "", F.lit(True))
+    blank_if_set = lambda c: c.isNotNull() & (strip(c) == "")
     conditions = F.coalesce(F.col("pattern.conditions"), F.array().cast("array<struct<field:string,op:string,value_num:double,value_str:string,value_bool:boolean,value_null:boolean>>"))
     checks = {
         "blank_text": blank(F.col("rule_id")) | blank(F.col("utterance")) | blank(F.col("taught_by")),

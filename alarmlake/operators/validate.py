@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alarmlake.functions.text import strip
 from alarmlake.settings import MAX_CODE_SHARE_PCT, MAX_SITE_RATE
 
 
@@ -36,10 +37,16 @@ def disjoint_signals(by_table: dict[str, Sequence[str]]) -> None:
                 raise ValueError(f"signal {col} appears in both {seen[col]} and {name}")
 
 
+# Accepted numbers, and those with a fraction that is not zero.
+NUMERIC = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+FRACTION = r"\.0*[1-9]"
+
+
 def integer_or_null(text: Column) -> Column:
-    """BIGINT when the value is integral, else null."""
-    number = text.try_cast("decimal(38,10)")
-    return F.when(number % 1 == 0, number).try_cast("bigint")
+    """BIGINT when the value is integral, else null. Nothing is rounded."""
+    number = F.when(strip(text.cast("string")).rlike(NUMERIC), text.try_cast("double"))
+    exact = F.coalesce(text.try_cast("bigint"), F.when(F.abs(number) < 2.0**53, number.try_cast("bigint")))
+    return F.when(number % 1 == 0, F.when(strip(text.cast("string")).rlike(FRACTION), F.when(F.abs(number) < 2.0**53, exact)).otherwise(exact))
 
 
 def strict_integer(text: Column, label: str) -> Column:
@@ -48,13 +55,16 @@ def strict_integer(text: Column, label: str) -> Column:
 
 
 # Fixed value: accepted ISO-8601 shape; a date, optionally a time, optionally an offset.
-ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?)?\z"
+BASIC_PATTERN = r"^\d{8}(T\d{6})?\z"
 
 
 def iso_or_null(text: Column) -> Column:
     """Naive UTC timestamp of ISO-8601 text, else null. Offsets convert to UTC, then drop."""
-    clean = F.trim(text)
+    clean = strip(text)
+    basic = F.concat(F.substring(clean, 1, 8), F.coalesce(F.nullif(F.substring(clean, 10, 6), F.lit("")), F.lit("000000")))
     parsed = F.when(clean.rlike(ISO_PATTERN), F.try_to_timestamp(F.regexp_replace(clean, ",", ".")))
+    parsed = F.coalesce(parsed, F.when(clean.rlike(BASIC_PATTERN), F.try_to_timestamp(basic, F.lit("yyyyMMddHHmmss"))))
     return parsed.cast("timestamp_ntz")
 
 
@@ -66,12 +76,13 @@ def strict_timestamp(text: Column, label: str) -> Column:
 def strict_double(text: Column, label: str) -> Column:
     """DOUBLE; null stays null and other text raises."""
     value = text.try_cast("double")
-    bad = text.isNotNull() & value.isNull()
+    suffixed = strip(text.cast("string")).rlike(r"[0-9.][dDfF]\z")  # Java number suffixes are not numbers here
+    bad = text.isNotNull() & (value.isNull() | suffixed)
     return F.when(bad, F.raise_error(F.lit(f"{label} must be numeric")).cast("double")).otherwise(value)
 
 
 def _blank(name: str) -> Column:
-    return F.col(name).isNull() | (F.trim(name) == "")
+    return F.col(name).isNull() | (strip(name) == "")
 
 
 def alarm_violations(alarms: DataFrame) -> DataFrame:

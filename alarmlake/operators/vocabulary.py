@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alarmlake.functions.text import collapse_spaces, label_aliases
+from alarmlake.functions.text import collapse_spaces, label_aliases, strip
 from alarmlake.settings import UNDOCUMENTED
 
 
@@ -16,7 +16,7 @@ def observed_stations(alarms: DataFrame) -> DataFrame:
 def code_descriptions(alarms: DataFrame, lookup: DataFrame) -> DataFrame:
     """Observed codes with their documented description or the placeholder."""
     observed = alarms.select("alarm_code").distinct()
-    text = lookup.groupBy("alarm_code").agg(F.min(F.trim("description")).alias("description"))
+    text = lookup.groupBy("alarm_code").agg(F.min(strip("description")).alias("description"))
     return observed.join(text, "alarm_code", "left").select(
         "alarm_code", F.coalesce("description", F.lit(UNDOCUMENTED)).alias("description")
     )
@@ -25,7 +25,7 @@ def code_descriptions(alarms: DataFrame, lookup: DataFrame) -> DataFrame:
 def station_labels(alarms: DataFrame, metadata: DataFrame) -> DataFrame:
     """Labels of observed stations only."""
     seen = observed_stations(alarms)
-    return metadata.select(F.col("station_id").alias("turbine_id"), F.trim("turbine_name").alias("label")).join(
+    return metadata.select(F.col("station_id").alias("turbine_id"), strip("turbine_name").alias("label")).join(
         seen, "turbine_id", "left_semi"
     )
 
@@ -40,9 +40,9 @@ def conflicts(alarms: DataFrame, lookup: DataFrame, metadata: DataFrame) -> Data
     kind = lambda name: F.lit(name).alias("kind")
     stations = metadata.groupBy("station_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(kind("repeated_station"), text("station_id"))
     looked = (
-        lookup.groupBy("alarm_code").agg(F.count_distinct(F.trim("description")).alias("n")).where("n > 1").select(kind("lookup_description"), text("alarm_code"))
+        lookup.groupBy("alarm_code").agg(F.count_distinct(strip("description")).alias("n")).where("n > 1").select(kind("lookup_description"), text("alarm_code"))
     )
-    pairs = alarms.select("alarm_code", F.trim("description").alias("description")).distinct()
+    pairs = alarms.select("alarm_code", strip("description").alias("description")).distinct()
     observed = pairs.groupBy("alarm_code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(kind("observed_description"), text("alarm_code"))
     codes = code_descriptions(alarms, lookup)
     differs = (

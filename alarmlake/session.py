@@ -41,10 +41,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder named by the cluster in spark.checkpoint.dir; a new temporary one only where unset."""
+    """Folder named by the cluster in spark.checkpoint.dir.
+
+    A new temporary one is used only where that is unset and driver and executors are one process; elsewhere executors
+    would write to their own disks, so the call is refused.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="alarmlake-")

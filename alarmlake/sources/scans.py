@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from alarmlake.functions.jsontext import has_duplicate_keys, has_nonfinite
-from alarmlake.functions.text import file_month, file_year, table_prefix
+from alarmlake.functions.jsontext import has_duplicate_keys, has_nonfinite, one_value
+from alarmlake.functions.text import file_month, file_year, strip, table_prefix
 from alarmlake.operators.validate import iso_or_null, raise_unless, require_columns, strict_integer, strict_timestamp
 from alarmlake.schemas import ALARM_COLUMNS, CONDITION_DDL, EXAMPLE_DDL
 
@@ -94,7 +94,7 @@ def code_lookup(raw: DataFrame, code: str = "Alarm Code", description: str = "De
     """Checked code lookup: integral unique codes, trimmed nonempty text, stopping 0 or 1."""
     out = raw.select(
         strict_integer(F.col(f"`{code}`"), code).alias("alarm_code"),
-        F.trim(F.col(f"`{description}`")).alias("description"),
+        strip(F.col(f"`{description}`")).alias("description"),
         strict_integer(F.col(f"`{stopping}`"), stopping).cast("int").alias("stopping"),
     )
     copies = out.groupBy("alarm_code").agg(F.count(F.lit(1)).alias("_copies"))
@@ -176,12 +176,12 @@ def receipts(lines: DataFrame) -> DataFrame:
     ``lines`` has value and file_line. Nothing is dropped; callers split on ``reason``.
     """
     text = F.col("value")
-    kept = lines.where(F.trim("value") != "")
+    kept = lines.where(strip("value") != "")
     keys = F.json_object_keys(text)
     # Kind checks on the raw member: get_json_object drops quotes, so compare with typed parsing.
     parsed = F.from_json(text, RECEIPT_DDL)
     rows = kept.withColumn("r", parsed).withColumn("keys", keys)
-    filled = lambda name: F.coalesce(F.trim(F.col(f"r.{name}")) != "", F.lit(False)) & _is_text(name)
+    filled = lambda name: F.coalesce(strip(F.col(f"r.{name}")) != "", F.lit(False)) & _is_text(name)
 
     def _is_text(name: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")) == "STRING", F.lit(False))
@@ -191,7 +191,7 @@ def receipts(lines: DataFrame) -> DataFrame:
     reason = (
         F.when(has_nonfinite(text), "nonfinite_number")
         .when(has_duplicate_keys(text), "duplicate_key")
-        .when(F.col("keys").isNull() | F.try_parse_json(text).isNull(), "not_an_object")
+        .when(F.col("keys").isNull() | one_value(text).isNull(), "not_an_object")
         .when(~(filled("receipt_id") & filled("checked_at") & filled("operation")), "missing_identity")
         .when(iso_or_null(stamp).isNull(), "bad_timestamp")
         .when(~aware, "naive_timestamp")

@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from alarmlake import session
+from alarmlake.functions import text
+from alarmlake.operators import validate
 from alarmlake.session import scratch_path
 from alarmlake.sources import adapters, raw_files, scans, sinks
 
@@ -102,3 +105,47 @@ def test_written_table_prunes_dates(spark, sf_dir):
     back = sinks.write_table(adapters.alarms(spark, sf_dir), path)
     plan = back.where("date = DATE'2024-01-05'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
+
+
+def column(spark, values, make):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    return [r[0] for r in df.orderBy("i").select(make(F.col("t"))).collect()]
+
+
+def test_strict_values_are_not_repaired(spark):
+    given = ["7", " 7 ", "7.0", "7e0", "7.00000000001", "9007199254740993", "1d", "x", "", None, "9223372036854775808"]
+    assert column(spark, given, validate.integer_or_null) == [7, 7, 7, 7, None, 9007199254740993, None, None, None, None, None]
+    assert column(spark, ["1.5", " 2e3 ", None], lambda c: validate.strict_double(c, "x")) == [1.5, 2000.0, None]
+    for bad in ("1d", "1f", "2.5D", "x"):
+        with pytest.raises(Exception, match="must be numeric"):
+            column(spark, [bad], lambda c: validate.strict_double(c, "x"))
+
+
+def test_basic_timestamps(spark):
+    got = column(spark, ["20240101T000001", "20240102", "2024-01-01T00:00:01", "2024-01-01\n", "20241301"], validate.iso_or_null)
+    assert [str(g) for g in got] == ["2024-01-01 00:00:01", "2024-01-02 00:00:00", "2024-01-01 00:00:01", "2024-01-01 00:00:00", "None"]
+
+
+def test_strict_receipts(spark):
+    good = '{"receipt_id":"r","checked_at":"2024-01-01T00:00:00Z","operation":"o"%s}'
+    lines = [good % "", good % "" + " trailing text", good % "" + "," + good % "", good % ',"x":1e999', (good % "").replace('"r"', '"\\t"'), "\t", " ", good % ',"note":"1e999"']
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "file_line bigint, value string")
+    got = {r.file_line: r.reason for r in scans.receipts(df).collect()}
+    assert got == {0: None, 1: "not_an_object", 2: "not_an_object", 3: "nonfinite_number", 4: "missing_identity", 7: None}
+
+
+def test_unicode_space_is_space(spark):
+    assert column(spark, [" a\t b ", "\n"], text.strip) == ["a\t b", ""]
+    assert column(spark, ["a  b \tc "], text.collapse_spaces) == ["a b c"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="shared folder"):
+        session.scratch_root(Cluster)
