@@ -87,8 +87,8 @@ def receipt_lines(spark, d):
     line = F.concat(F.lit('{"receipt_id":'), ident, F.lit(',"checked_at":"'), stamp, zone, F.lit('","operation":"'), operation, F.lit('"'), extra, F.lit("}"))
     damaged = F.when(k == 1, F.substring(line, 1, 30)).when(k == 6, "  ").when(k == 8, "[1, 2]").otherwise(line)
     path = scratch_path(spark, "receipts")
-    e.coalesce(1).select(damaged.alias("value")).write.text(path)
-    return scans.receipts(scans.json_lines(spark, path))
+    e.select(damaged.alias("value")).write.text(path)  # sorted parts, one after another
+    return scans.receipts(scans.json_lines(spark, path, one_log=True))
 
 
 _REASON = "CASE event_id % 50 WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'duplicate_key' WHEN 3 THEN 'nonfinite_number' WHEN 4 THEN 'missing_identity' WHEN 5 THEN 'naive_timestamp' WHEN 7 THEN 'missing_identity' WHEN 8 THEN 'not_an_object' END"

@@ -222,8 +222,7 @@ def teach_and_measure(events: DataFrame, rule: DataFrame, settings: PolicySettin
     code, station = (rule.select(f"scope.{c}").first()[0] for c in ("alarm_code", "turbine_id"))
     matched = rules.match_rules(events, rule).select("seq", "turbine_id", "alarm_code", hit.alias("hit"))
     total, first = matched.agg(F.count(F.lit(1)), F.min(F.when(F.col("hit"), F.col("seq")))).first()
-    if first is None:
-        return spark.range(0).select(F.col("id").alias("first_seq"))
+    none, first = first is None, first or 0
     end = min(total, max(first + 1, s.ring_size))
     elsewhere = (F.col("alarm_code") == F.lit(code)) & (F.col("turbine_id") != F.lit(station))
     later, other = matched.where(F.col("seq") >= end).agg(
@@ -252,7 +251,7 @@ def teach_and_measure(events: DataFrame, rule: DataFrame, settings: PolicySettin
         single(other).alias("other_show"),
         F.col("shown").alias("undo_shown"),
         F.col("suppressed").alias("undo_suppressed"),
-    )
+    ).where(F.lit(not none))
 
 
 def scenario_checks(alarms: DataFrame, declared: DataFrame, start: str, end: str, expected_rows: int) -> DataFrame:

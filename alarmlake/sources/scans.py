@@ -143,10 +143,11 @@ def combined_bounds(alarms: DataFrame, scada: DataFrame | None = None) -> DataFr
     )
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their file and 1-based line number."""
+def json_lines(spark: SparkSession, path: str, one_log: bool = False) -> DataFrame:
+    """Text lines with their file and 1-based line number; ``one_log`` numbers on through the files in name order."""
     meta = F.col("_metadata")
-    raw = spark.read.text(path).select("value", meta.file_path.alias("_path"), meta.file_block_start.alias("_start"))
+    file, start = meta.file_path, meta.file_block_start
+    raw = spark.read.text(path).select("value", (F.lit(path) if one_log else file).alias("_path"), F.struct(file, start).alias("_start"))
     return with_row_numbers(raw).select("value", F.col("_path").alias("path"), F.col("row_no").alias("file_line"))
 
 
