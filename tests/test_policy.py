@@ -65,11 +65,19 @@ def test_scope_matches_signals_and_wildcards(spark):
     assert got == {0: ["r1", "r2", "r4"], 1: ["r4"], 2: ["r3", "r4"], 3: ["r3", "r4"], 4: ["r3", "r4"]}
 
 
-def test_open_rules_in_several_chunks(spark, monkeypatch):
-    monkeypatch.setattr(rules, "CHUNK", 2)
-    table = [rule(i, "suppress", station="a") for i in range(7)]
-    e, r = frame(spark, [event(0, 5)], table)
-    assert [m.rule_id for m in rules.match_rules(e, r).first().matches] == [f"r{i}" for i in range(7)]
+def test_join_and_in_place_forms_agree_and_run_no_job_early(spark):
+    shapes = [(c, st, sg) for c in (5, None) for st in ("a", None) for sg in ("t", None)]
+    table = [rule(i, "suppress", code=c, station=st, signal=sg) for i, (c, st, sg) in enumerate(shapes)] + [rule(20 + i, "suppress", station="a") for i in range(7)]
+    evs = [event(i, c, st, signals={"t": 1.0} if i % 2 else None, signal="t" if i % 3 == 0 else None) for i, (c, st) in enumerate([(5, "a"), (5, "b"), (6, "a"), (None, "a"), (6, "b")] * 3)]
+    e, r = frame(spark, evs, table)
+    spark.sparkContext.setJobGroup("plan-only", "matching")
+    joined = rules.match_rules(e, r)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    ids = lambda df: {x.seq: [m.rule_id for m in x.matches] for x in df.collect()}
+    got = ids(joined)
+    assert got == ids(rules.match_in_place(e, r)) and len(got) == len(evs)
+    assert got[1] == ["r2", "r3", "r6", "r7"]  # code 5 on another station, with the signal
 
 
 def test_precedence(spark):
