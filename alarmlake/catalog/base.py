@@ -47,7 +47,7 @@ TABLES = {
     "runs": """SELECT min(start) AS start, max(start) + INTERVAL 1 HOUR AS stop, count(*) bins, CAST(sum(n) AS BIGINT) records, max(n) peak
         FROM (SELECT *, sum(opens) OVER (ORDER BY start) run_no FROM
           (SELECT *, CASE WHEN lag(start) OVER (ORDER BY start) = start - INTERVAL 1 HOUR THEN 0 ELSE 1 END opens FROM bursts)) GROUP BY run_no""",
-    "rules": """SELECT CAST(p_partkey AS BIGINT) code, p_size % 7 kind, CAST(p_partkey % 27 AS VARCHAR) station,
+    "rules": """SELECT CAST(p_partkey AS BIGINT) code, p_size % 7 kind, CAST(p_partkey % 270 AS VARCHAR) station,
         concat('r', CAST(p_partkey AS VARCHAR)) rule_id, round(0.5 + (p_partkey % 5) / 10.0, 2) confidence, p_partkey % 3 <> 0 reversible,
         CASE WHEN p_size % 7 IN (2, 4) THEN 'collapse' WHEN p_size % 7 = 3 THEN 'escalate' ELSE 'suppress' END AS action
         FROM part""",

@@ -133,7 +133,7 @@ def sample_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule per part, in code order, covering every action and scope shape."""
     part = table(spark, sf_dir, "part")
     kind = F.col("p_size") % 7
-    station = (F.col("p_partkey") % 27).cast("string")
+    station = (F.col("p_partkey") % 270).cast("string")  # rules name 270 stations; 27 of them report
     cond = lambda field, op, num: F.struct(
         F.lit(field).alias("field"),
         F.lit(op).alias("op"),
