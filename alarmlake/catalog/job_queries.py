@@ -1,11 +1,14 @@
 """Sources and sinks on real files, streams run to completion, composite jobs."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alarmlake.catalog.base import query, sql
 from alarmlake.catalog.metrics_queries import _GROUPS, PAIR_S, SUPPORT
 from alarmlake.catalog.rule_queries import _STEP, _one_rule, _throttle_sql
-from alarmlake.operators import audit, lookup, rules
+from alarmlake.operators import audit, filters, lookup, rules
 from alarmlake.plans import jobs
 from alarmlake.session import scratch_path
 from alarmlake.sources import adapters as A
@@ -13,41 +16,62 @@ from alarmlake.sources import raw_files, scans, sinks
 from alarmlake.streaming import live
 
 r6 = lambda c: F.round(c, 6)
-YEAR, MONTHS = 1998, [1, 2, 3]
 LOG_COLUMNS = ["TimeOn", "TimeOff", "StationNr", "Alarmcode"]
-_IN_MONTHS = "time_on >= '1998-01' AND time_on < '1998-04'"
-_UNIQUE_WIDE = "SELECT ts, turbine_id, max(l_quantity) l_quantity, max(l_extendedprice) l_extendedprice, max(l_discount) l_discount, max(l_tax) l_tax FROM scada_wide WHERE ts >= '1998-01-01' AND ts < '1998-04-01' AND turbine_id IN (SELECT station_id FROM station_metadata) GROUP BY 1, 2"
-
-
-def month_of(name, month):
-    return F.substring(name, 1, 7) == f"{YEAR}-{month:02d}"
+_UNIQUE_WIDE = "SELECT ts, turbine_id, max(l_quantity) l_quantity, max(l_extendedprice) l_extendedprice, max(l_discount) l_discount, max(l_tax) l_tax FROM scada_wide WHERE turbine_id IN (SELECT station_id FROM station_metadata) GROUP BY 1, 2"
 
 
 def raw_folder(spark, d):
-    """The raw layout of three months, written from the line items."""
+    """The raw layout of the line items and its months; every month of the source."""
     folder = scratch_path(spark, "raw")
     log = A.raw_alarm_log(spark, d)
     wide = A.scada_wide(spark, d).join(A.station_metadata(spark, d), F.col("turbine_id") == F.col("station_id"), "left_semi")
     wide = wide.groupBy("ts", "turbine_id").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
     text = wide.withColumns({"TimeStamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "StationId": F.col("turbine_id"), "wtc_ActRegSt_endvalue": F.lit("NotActive")})
-    for m in MONTHS:
-        raw_files.write_monthly_csv(log.where(month_of("TimeOn", m)).select(*LOG_COLUMNS), folder, "tblAlarmLog", YEAR, m)
-        rows = text.where(month_of("TimeStamp", m))
-        raw_files.write_monthly_csv(rows.select("TimeStamp", "StationId", "l_quantity", "l_tax"), folder, "tblSCTurTemp", YEAR, m)
-        raw_files.write_monthly_csv(rows.select("TimeStamp", "StationId", "l_extendedprice", "l_discount", "wtc_ActRegSt_endvalue"), folder, "tblSCTurGrid", YEAR, m)
-    return folder
+    month_of = lambda name: F.translate(F.substring(name, 1, 7), "-", "_")
+    raw_files.write_monthly_csv(log.select(*LOG_COLUMNS), folder, "tblAlarmLog", month_of("TimeOn"))
+    raw_files.write_monthly_csv(text.select("TimeStamp", "StationId", "l_quantity", "l_tax"), folder, "tblSCTurTemp", month_of("TimeStamp"))
+    raw_files.write_monthly_csv(text.select("TimeStamp", "StationId", "l_extendedprice", "l_discount", "wtc_ActRegSt_endvalue"), folder, "tblSCTurGrid", month_of("TimeStamp"))
+    months = log.select(F.year("TimeOn").alias("y"), F.month("TimeOn").alias("m")).distinct().orderBy("y", "m").collect()
+    return folder, [(r.y, r.m) for r in months]
+
+
+def monthly_log(spark, d):
+    folder, periods = raw_folder(spark, d)
+    return scans.monthly_csv(spark, folder, "tblAlarmLog", periods, LOG_COLUMNS)
+
+
+@query("SRC1_monthly_scan", sql("SELECT 'tblAlarmLog' AS \"table\", CAST(substr(time_on, 1, 4) AS INT) AS year, CAST(substr(time_on, 6, 2) AS INT) AS month, time_on, time_off, station, code FROM raw_log", "raw_log"))
+def _(spark, d):
+    return monthly_log(spark, d).select("table", "year", "month", F.col("TimeOn").alias("time_on"), F.col("TimeOff").alias("time_off"), F.col("StationNr").alias("station"), F.col("Alarmcode").alias("code"))
+
+
+@query("SRC1_file_rows", sql("SELECT CAST(substr(time_on, 1, 4) AS INT) AS year, CAST(substr(time_on, 6, 2) AS INT) AS month, 1::BIGINT first_row, count(*) last_row, count(*) distinct_rows FROM raw_log GROUP BY 1, 2", "raw_log"))
+def _(spark, d):
+    rows = scans.with_row_numbers(monthly_log(spark, d))
+    return rows.groupBy("year", "month").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count_distinct("row_no").alias("distinct_rows"))
+
+
+def dated_alarms(spark, d):
+    """Folder of the alarm table partitioned by date."""
+    path = scratch_path(spark, "dated")
+    sinks.write_table(A.alarms(spark, d), path)
+    return path
+
+
+@query("SRC5_dated_slice", sql("SELECT ts, turbine_id, alarm_code FROM alarms WHERE ts >= '2024-01-10 06:00:00' AND ts < '2024-01-17 18:00:00'", "alarms"))
+def _(spark, d):
+    return scans.parquet_slice(spark, dated_alarms(spark, d), ["ts", "turbine_id", "alarm_code"], "2024-01-10T06:00:00", "2024-01-17T18:00:00")
 
 
-@query("SRC1_monthly_scan", sql(f"SELECT 'tblAlarmLog' AS \"table\", 1998 AS year, CAST(substr(time_on, 6, 2) AS INT) AS month, time_on, time_off, station, code FROM raw_log WHERE {_IN_MONTHS}", "raw_log"))
+@query("SRC6_dated_bounds", sql("SELECT min(ts) first_ts, max(ts) last_ts, count(*) n, count(*) FILTER (ts IS NULL) null_ts FROM alarms", "alarms"))
 def _(spark, d):
-    rows = scans.monthly_csv(spark, raw_folder(spark, d), "tblAlarmLog", YEAR, MONTHS, LOG_COLUMNS)
-    return rows.select("table", "year", "month", F.col("TimeOn").alias("time_on"), F.col("TimeOff").alias("time_off"), F.col("StationNr").alias("station"), F.col("Alarmcode").alias("code"))
+    return scans.source_bounds(spark.read.parquet(dated_alarms(spark, d)))
 
 
-@query("SRC1_file_rows", sql(f"SELECT CAST(substr(time_on, 6, 2) AS INT) AS month, 1::BIGINT first_row, count(*) last_row, count(*) distinct_rows FROM raw_log WHERE {_IN_MONTHS} GROUP BY 1", "raw_log"))
+@query("FLT5_dated_seek", sql("SELECT seq, ts FROM alarms WHERE ts >= '2024-01-20 12:00:00'", "alarms"))
 def _(spark, d):
-    rows = scans.with_row_numbers(scans.monthly_csv(spark, raw_folder(spark, d), "tblAlarmLog", YEAR, MONTHS, LOG_COLUMNS))
-    return rows.groupBy("month").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count_distinct("row_no").alias("distinct_rows"))
+    rows = spark.read.parquet(dated_alarms(spark, d))
+    return filters.seek(rows, "2024-01-20T12:00:00", scans.source_bounds(rows)).select("seq", "ts")
 
 
 @query("SRC3_companion_scan", "SELECT doc_id, regexp_replace(text, '[^\\x20-\\x7e\\xa0-\\xff]', '?', 'g') field FROM documents")
@@ -190,14 +214,35 @@ def _(spark, d):
 # --- jobs -------------------------------------------------------------------------------
 
 
-@query("JOB1_dataset_build", sql(f"""SELECT 'alarms' AS name, (SELECT count(*) FROM raw_log WHERE {_IN_MONTHS}) n, (SELECT count(*) FROM raw_log WHERE {_IN_MONTHS} AND time_off IS NULL) nulls
-  UNION ALL SELECT 'scada', (SELECT count(*) * 4 FROM u), (SELECT CAST(count(*) * 4 - count(l_quantity) - count(l_tax) - count(l_extendedprice) - count(l_discount) AS BIGINT) FROM u)""", "raw_log", "scada_wide", "station_metadata", u=_UNIQUE_WIDE))
+def _profile_sql(table, left, right):
+    nulls = [f"count(*) - count({c})" for c in (left, right)]
+    sparse = ", ".join(f"CASE WHEN ({n}) / count(*) > 0.95 THEN '{c}' END" for n, c in zip(nulls, (left, right)))
+    return f"""SELECT 'profile', NULL, min(ts), NULL, concat('{table}_', strftime(ts, '%Y_%m'), '.csv'), concat_ws('|', count(*), 2, {nulls[0]} + {nulls[1]}, concat_ws(',', {sparse}),
+      count(*) FILTER ({left} IS NULL AND {right} IS NULL), 0, strftime(max(ts), '%Y-%m-%d %H:%M:%S'), count(*), 0, 0), NULL FROM u GROUP BY strftime(ts, '%Y_%m')"""
+
+
+_LABELLED_LOG = """SELECT CAST(time_on AS TIMESTAMP) ts, station turbine_id, CAST(code AS BIGINT) alarm_code, coalesce(description, '(undocumented)') description, coalesce(stopping, -1) stopping
+  FROM raw_log LEFT JOIN code_lookup ON alarm_code = CAST(code AS BIGINT)"""
+
+
+@query("JOB1_dataset_build", sql(f"""SELECT 'alarms' AS "table", row_number() OVER (ORDER BY ts, turbine_id, alarm_code, description, stopping) - 1 AS seq, ts, turbine_id, CAST(alarm_code AS VARCHAR) field, concat_ws('|', description, stopping) AS text, NULL::DOUBLE AS number FROM labelled
+  UNION ALL SELECT 'scada', NULL, ts, turbine_id, signal, NULL, value FROM (SELECT ts, turbine_id, unnest(['l_quantity', 'l_tax', 'l_extendedprice', 'l_discount']) signal, unnest([l_quantity, l_tax, l_extendedprice, l_discount]) AS value FROM u)
+  UNION ALL {_profile_sql('tblSCTurTemp', 'l_quantity', 'l_tax')} UNION ALL {_profile_sql('tblSCTurGrid', 'l_discount', 'l_extendedprice')}
+  UNION ALL SELECT 'manifest', NULL, NULL, NULL, NULL, concat_ws('|', count(*), count(*) - (SELECT count(*) FROM (SELECT DISTINCT time_on, time_off, station, code FROM raw_log)), count(*) - count(DISTINCT (time_on, station, code)),
+    (SELECT count(*) FROM (SELECT 1 FROM (SELECT DISTINCT time_on, time_off, station, code FROM raw_log) GROUP BY time_on, station, code HAVING count(*) > 1)), count(*) FILTER (time_off IS NULL)), NULL FROM raw_log""",
+  "raw_log", "scada_wide", "station_metadata", "code_lookup", labelled=_LABELLED_LOG, u=_UNIQUE_WIDE))
 def _(spark, d):
-    out = jobs.build_dataset(spark, raw_folder(spark, d), scratch_path(spark, "dataset"), YEAR, MONTHS, A.code_lookup(spark, d), A.station_metadata(spark, d), ["tblSCTurTemp", "tblSCTurGrid"])
-    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
-    alarms = out["manifest"].select(F.lit("alarms").alias("name"), count(out["alarms"]).alias("n"), F.col("missing_ends").alias("nulls"))
-    scada = out["profile"].agg(F.sum("null_measurements").alias("nulls")).select(F.lit("scada").alias("name"), count(out["scada"]).alias("n"), "nulls")
-    return alarms.unionByName(scada)
+    folder, periods = raw_folder(spark, d)
+    out = jobs.build_dataset(spark, folder, scratch_path(spark, "dataset"), periods, A.code_lookup(spark, d), A.station_metadata(spark, d), ["tblSCTurTemp", "tblSCTurGrid"])
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    line = lambda *names: F.concat_ws("|", *[F.col(c).cast("string") for c in names]).alias("text")
+    parts = [
+        out["alarms"].select(F.lit("alarms").alias("table"), "seq", "ts", "turbine_id", F.col("alarm_code").cast("string").alias("field"), line("description", "stopping"), none("double", "number")),
+        out["scada"].select(F.lit("scada"), none("bigint", "seq"), "ts", "turbine_id", "signal", none("string", "text"), "value"),
+        out["profile"].select(F.lit("profile"), none("bigint", "seq"), "first_ts", none("string", "turbine_id"), "member", line("included_rows", "numeric_signals", "null_measurements", "sparse_columns", "all_null_rows", "duplicate_key_rows", "last_ts", "included", "endpoint_excluded", "illegal"), none("double", "number")),
+        out["manifest"].select(F.lit("manifest"), none("bigint", "seq"), none("timestamp_ntz", "ts"), none("string", "turbine_id"), none("string", "field"), line("source_rows", "exact_duplicate_rows", "duplicate_key_rows", "conflicting_end_keys", "missing_ends"), none("double", "number")),
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 @query("JOB2_schema_profile", "SELECT 'p_name' AS \"column\", 0::BIGINT null_count, (SELECT count(DISTINCT trim(p_name)) FROM part) distinct_values UNION ALL SELECT 'p_brand', 0, (SELECT count(DISTINCT trim(p_brand)) FROM part) UNION ALL SELECT 'p_type', 0, (SELECT count(DISTINCT trim(p_type)) FROM part)")

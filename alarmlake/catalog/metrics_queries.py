@@ -218,10 +218,14 @@ def _(spark, d):
 _SIGNALS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("AGG14_sensor_profile", sql("""SELECT count(*) included_rows, CAST(count(*) * 4 - count(l_quantity) - count(l_extendedprice) - count(l_discount) - count(l_tax) AS BIGINT) null_measurements,
-  count(*) - count(DISTINCT (ts, turbine_id)) duplicate_key_rows, min(ts) first_ts, max(ts) last_ts FROM scada_wide""", "scada_wide"))
+@query("AGG14_sensor_profile", sql("""SELECT count(*) included_rows, 4 numeric_signals, CAST(count(*) * 4 - count(l_quantity) - count(l_extendedprice) - count(l_discount) - count(l_tax) AS BIGINT) null_measurements,
+  concat_ws(',', CASE WHEN 1 - count(l_quantity) / count(*) > 0.95 THEN 'l_quantity' END, CASE WHEN 1 - count(l_extendedprice) / count(*) > 0.95 THEN 'l_extendedprice' END, CASE WHEN 1 - count(l_discount) / count(*) > 0.95 THEN 'l_discount' END, CASE WHEN 1 - count(l_tax) / count(*) > 0.95 THEN 'l_tax' END) sparse_columns,
+  count(*) FILTER (coalesce(l_quantity, l_extendedprice, l_discount, l_tax) IS NULL) all_null_rows, CAST(count(*) - count(DISTINCT (ts, turbine_id)) AS BIGINT) duplicate_key_rows, min(ts) first_ts, max(ts) last_ts
+  FROM (SELECT ts, turbine_id, CASE WHEN seq % 7 <> 0 THEN l_quantity END l_quantity, CASE WHEN seq % 7 <> 0 THEN l_extendedprice END l_extendedprice, CASE WHEN seq % 7 <> 0 THEN l_discount END l_discount, CASE WHEN seq % 40 = 1 THEN l_tax END l_tax FROM scada_wide)""", "scada_wide"))
 def _(spark, d):
-    return quality.sensor_profile(A.scada_wide(spark, d), _SIGNALS).select("included_rows", "null_measurements", "duplicate_key_rows", "first_ts", "last_ts")
+    wide = A.scada_wide(spark, d)  # every seventh row is empty, and one signal is nearly so
+    holes = {c: F.when(F.col("seq") % 7 != 0, F.col(c)) for c in _SIGNALS[:3]} | {"l_tax": F.when(F.col("seq") % 40 == 1, F.col("l_tax"))}
+    return quality.sensor_profile(wide.withColumns(holes), _SIGNALS)
 
 
 @query("AGG15_grid_completeness", sql("""SELECT s.station_id turbine_id, count(*) missing FROM station_metadata s, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:50:00', INTERVAL 10 MINUTE) g(ts)
@@ -232,10 +236,9 @@ def _(spark, d):
     return quality.missing_grid_keys(rows, stations, "2024-01-01", "2024-01-31").groupBy("turbine_id").agg(F.count(F.lit(1)).alias("missing"))
 
 
-@query("AGG16_column_profile", sql("""SELECT * FROM (SELECT 'l_quantity' AS "column", count(*) - count(l_quantity) null_count FROM scada_wide UNION ALL SELECT 'l_extendedprice', count(*) - count(l_extendedprice) FROM scada_wide
-  UNION ALL SELECT 'l_discount', count(*) - count(l_discount) FROM scada_wide UNION ALL SELECT 'l_tax', count(*) - count(l_tax) FROM scada_wide)""", "scada_wide"))
+@query("AGG16_column_profile", sql(" UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS dtype, count(*) - count({c}) null_count FROM scada_wide" for i, (c, t) in enumerate([("seq", "bigint"), ("ts", "timestamp_ntz"), ("turbine_id", "string"), *[(c, "double") for c in _SIGNALS]])), "scada_wide"))
 def _(spark, d):
-    return quality.column_profile(A.scada_wide(spark, d).select(*_SIGNALS)).select("column", "null_count")
+    return quality.column_profile(A.scada_wide(spark, d))
 
 
 _TOPVALS = " UNION ALL ".join(

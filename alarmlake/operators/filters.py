@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,10 +13,19 @@ def _ts(value: str | datetime):
     return F.lit(text).cast("timestamp").cast("timestamp_ntz")
 
 
+def in_dates(rows: DataFrame, start: Column | None, end: Column | None) -> DataFrame:
+    """Drop the dates outside [start, end] from a table partitioned by date; other tables are returned as they are."""
+    if "date" in rows.columns:
+        if start is not None:
+            rows = rows.where(F.col("date") >= F.to_date(start))
+        if end is not None:
+            rows = rows.where(F.col("date") <= F.to_date(end))
+    return rows
+
+
 def month_slice(rows: DataFrame, year: int, month: int) -> DataFrame:
     """Rows in [month start, next month); pushed down to the scan."""
-    start, end = month_bounds(year, month)
-    return rows.where((F.col("ts") >= _ts(start)) & (F.col("ts") < _ts(end)))
+    return half_open(rows, *month_bounds(year, month))
 
 
 def month_bounds(year: int, month: int) -> tuple[datetime, datetime]:
@@ -25,25 +34,49 @@ def month_bounds(year: int, month: int) -> tuple[datetime, datetime]:
     return datetime(year, month, 1), datetime(year + month // 12, month % 12 + 1, 1)
 
 
+def _month_counts(start: Column, end: Column) -> list[Column]:
+    inside = (F.col("ts") >= start) & (F.col("ts") < end)
+    return [
+        F.count_if(inside).alias("included"),
+        F.count_if(F.col("ts") == end).alias("endpoint_excluded"),
+        F.count_if(~inside & (F.col("ts") != end)).alias("illegal"),
+    ]
+
+
 def month_profile(rows: DataFrame, year: int, month: int) -> DataFrame:
     """One row: kept rows, rows on the next month's first instant, other outside rows."""
-    start, end = month_bounds(year, month)
-    inside = (F.col("ts") >= _ts(start)) & (F.col("ts") < _ts(end))
-    return rows.agg(
-        F.count_if(inside).alias("included"),
-        F.count_if(F.col("ts") == _ts(end)).alias("endpoint_excluded"),
-        F.count_if(~inside & (F.col("ts") != _ts(end))).alias("illegal"),
-    )
+    return rows.agg(*_month_counts(*map(_ts, month_bounds(year, month))))
+
+
+def own_month() -> tuple[Column, Column]:
+    """Bounds of the month that the row's ``year`` and ``month`` name."""
+    start = F.make_timestamp_ntz("year", "month", F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return start, start + F.make_ym_interval(F.lit(0), F.lit(1))
+
+
+def month_profiles(rows: DataFrame) -> DataFrame:
+    """``month_profile`` of every (year, month) in one pass."""
+    return rows.groupBy("year", "month").agg(*_month_counts(*own_month()))
+
+
+def own_month_rows(rows: DataFrame) -> DataFrame:
+    """Rows inside the month that their file names."""
+    start, end = own_month()
+    return rows.where((F.col("ts") >= start) & (F.col("ts") < end))
 
 
 def trailing_window(rows: DataFrame, start: str | datetime, end: str | datetime) -> DataFrame:
     """Rows in (start, end]."""
-    return rows.where((F.col("ts") > _ts(start)) & (F.col("ts") <= _ts(end)))
+    return in_dates(rows, _ts(start), _ts(end)).where((F.col("ts") > _ts(start)) & (F.col("ts") <= _ts(end)))
 
 
-def half_open(rows: DataFrame, start: str | datetime, end: str | datetime) -> DataFrame:
-    """Rows in [start, end)."""
-    return rows.where((F.col("ts") >= _ts(start)) & (F.col("ts") < _ts(end)))
+def half_open(rows: DataFrame, start: str | datetime | None, end: str | datetime | None) -> DataFrame:
+    """Rows in [start, end); None leaves a side open."""
+    lo, hi = (None if x is None else _ts(x) for x in (start, end))
+    rows = in_dates(rows, lo, hi)
+    if lo is not None:
+        rows = rows.where(F.col("ts") >= lo)
+    return rows if hi is None else rows.where(F.col("ts") < hi)
 
 
 def seek(rows: DataFrame, at: str | datetime, bounds: DataFrame) -> DataFrame:
@@ -53,7 +86,7 @@ def seek(rows: DataFrame, at: str | datetime, bounds: DataFrame) -> DataFrame:
     ok = F.when((target < lo) | (target > hi), F.raise_error(F.lit("seek target is outside the recording")).cast("boolean")).otherwise(
         F.lit(True)
     )
-    return rows.where((F.col("ts") >= target) & ok)
+    return in_dates(rows, target, None).where((F.col("ts") >= target) & ok)
 
 
 def point_lookup(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

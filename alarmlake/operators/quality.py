@@ -36,32 +36,35 @@ def alarm_quality(raw: DataFrame, time: str = "TimeOn", end: str = "TimeOff", st
     )
 
 
-def sensor_profile(wide: DataFrame, signals: Sequence[str], keys: Sequence[str] = ("ts", "turbine_id")) -> DataFrame:
-    """One row: rows, null cells, columns over 95 % null, all-null rows, repeated keys, bounds."""
-    nulls = {s: F.count_if(F.col(s).isNull()) for s in signals}
+def sensor_profile(wide: DataFrame, signals: Sequence[str], keys: Sequence[str] = ("ts", "turbine_id"), by: Sequence[str] = ()) -> DataFrame:
+    """One row per group of ``by`` (else one): rows, null cells, columns over 95 % null, all-null rows, repeated keys, bounds.
+
+    Cells are counted where they are read; only the keys are shuffled, to find repeats.
+    """
     all_null = F.lit(True)
     for s in signals:
         all_null = all_null & F.col(s).isNull()
-    per_key = wide.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(all_null).alias("all_null"),
-        *[c.alias(f"null_{i}") for i, c in enumerate(nulls.values())],
-    )
-    total = [F.sum(f"null_{i}") for i in range(len(signals))]
-    rows = F.sum("n")
-    null_cells = total[0]
-    for t in total[1:]:
-        null_cells = null_cells + t
-    sparse = F.array_compact(F.array(*[F.when(t / rows > 0.95, F.lit(s)) for t, s in zip(total, signals)]))
-    return per_key.agg(
-        rows.alias("included_rows"),
-        F.lit(len(signals)).alias("numeric_signals"),
-        null_cells.alias("null_measurements"),
-        F.array_join(sparse, ",").alias("sparse_columns"),
-        F.sum("all_null").alias("all_null_rows"),
-        F.sum(F.col("n") - 1).alias("duplicate_key_rows"),
+    cells = wide.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("included_rows"),
+        F.count_if(all_null).alias("all_null_rows"),
         F.min(keys[0]).alias("first_ts"),
         F.max(keys[0]).alias("last_ts"),
+        F.array(*[F.count_if(F.col(s).isNull()) for s in signals]).alias("_nulls"),
+    )
+    named = F.arrays_zip(F.array(*map(F.lit, signals)).alias("name"), F.col("_nulls").alias("nulls"))
+    sparse = F.filter(named, lambda c: c["nulls"] / F.nullif("included_rows", F.lit(0)) > 0.95)
+    repeats = wide.groupBy(*by, *keys).agg((F.count(F.lit(1)) - 1).alias("_again")).groupBy(*by).agg(F.sum("_again").alias("duplicate_key_rows"))
+    met = cells.join(repeats, list(by)) if by else cells.withColumn("duplicate_key_rows", repeats.scalar())
+    return met.select(
+        *by,
+        "included_rows",
+        F.lit(len(signals)).alias("numeric_signals"),
+        F.aggregate("_nulls", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("null_measurements"),
+        F.array_join(F.transform(sparse, lambda c: c["name"]), ",").alias("sparse_columns"),
+        "all_null_rows",
+        "duplicate_key_rows",
+        "first_ts",
+        "last_ts",
     )
 
 

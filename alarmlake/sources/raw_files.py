@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_monthly_csv(df: DataFrame, folder: str, prefix: str, year: int, month: int) -> str:
-    """One month of a raw table as ``{prefix}_{year}_{month}.csv``. The layout demands a single
-    file per month, so one task writes it."""
+def write_monthly_csv(df: DataFrame, folder: str, prefix: str, month: Column) -> None:
+    """Rows as ``{prefix}_{month}.csv``, one file per month (text ``yyyy_MM``).
+
+    One job writes every month. The layout demands a single file per month, so a month's rows meet in one task.
+    """
     spark = df.sparkSession
-    staging = f"{folder}/_{prefix}_{year}_{month:02d}"
-    df.coalesce(1).write.option("header", True).csv(staging)
-    jvm = spark.sparkContext._jvm
-    source = jvm.org.apache.hadoop.fs.Path(staging)
-    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
-    target = f"{folder}/{prefix}_{year}_{month:02d}.csv"
-    if not fs.rename(part, jvm.org.apache.hadoop.fs.Path(target)):
-        raise OSError(f"could not place {target}")
-    return target
+    staging = f"{folder}/_{prefix}"
+    df.withColumn("_month", month).repartition("_month").write.partitionBy("_month").option("header", True).csv(staging)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for home in fs.listStatus(path(staging)):
+        if home.isDirectory():
+            (part,) = [f.getPath() for f in fs.listStatus(home.getPath()) if f.getPath().getName().startswith("part-")]
+            target = f"{folder}/{prefix}_{home.getPath().getName().removeprefix('_month=')}.csv"
+            if not fs.rename(part, path(target)):
+                raise OSError(f"could not place {target}")
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:

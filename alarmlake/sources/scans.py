@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 
 from alarmlake.functions.jsontext import has_duplicate_keys, has_nonfinite, one_value
 from alarmlake.functions.text import file_month, file_year, strip, table_prefix
-from alarmlake.operators.validate import iso_or_null, raise_unless, require_columns, strict_integer, strict_timestamp
+from alarmlake.operators.filters import half_open
+from alarmlake.operators.validate import iso_or_null, raise_unless, require_columns, same_signals, strict_integer, strict_timestamp
 from alarmlake.schemas import ALARM_COLUMNS, CONDITION_DDL, EXAMPLE_DDL
 
 # windows-1252 is latin-1 with printable characters in place of the C1 controls.
@@ -42,34 +43,51 @@ def with_row_numbers(rows: DataFrame, path: str = "_path", start: str = "_start"
     )
 
 
-def monthly_csv(spark: SparkSession, folder: str, prefix: str, year: int, months: Sequence[int], columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Raw text columns of ``{prefix}_{year}_{month}.csv`` for the selected months.
+def months_of(year: int, months: Sequence[int]) -> list[tuple[int, int]]:
+    return [(year, m) for m in months]
+
+
+def _first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Files by their first line; one short read per file on the driver, as for a listing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found: dict[str, list[str]] = {}
+    for path in paths:
+        source = jvm.org.apache.hadoop.fs.Path(path)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source.getFileSystem(conf).open(source), "UTF-8"))
+        found.setdefault(reader.readLine() or "", []).append(path)
+        reader.close()
+    return found
+
+
+def monthly_csv(spark: SparkSession, folder: str, prefix: str, periods: Sequence[tuple[int, int]], columns: Sequence[str], exact: bool = True) -> DataFrame:
+    """Raw text columns of ``{prefix}_{year}_{month}.csv`` for the selected (year, month) pairs.
 
     Exactly one file per month must exist (the folder may be nested). Columns stay text, so
     nothing is inferred; the reader skips a byte-order mark. With ``exact`` off all columns of
-    the files are kept.
+    the files are kept, and they must be the same in every month. Files with equal headers are one
+    read, so the plan does not widen with the months; column order may change between them.
     """
-    chosen = list(months)
-    if not chosen or len(set(chosen)) != len(chosen) or any(not 1 <= m <= 12 for m in chosen):
+    chosen = list(periods)
+    if not chosen or len(set(chosen)) != len(chosen) or any(not 1 <= m <= 12 for _, m in chosen):
         raise ValueError("months must be distinct numbers from 1 through 12")
-    names = {f"{prefix}_{year}_{m:02d}.csv" for m in chosen}
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{prefix}_{year}_*.csv").load(folder).select("path")
-    )
-    found = [r.path for r in listing.where(F.element_at(F.split("path", "/"), -1).isin(*names)).collect()]  # one short path per month
+    names = {f"{prefix}_{y}_{m:02d}.csv" for y, m in chosen}
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{prefix}_*.csv").load(folder).select("path")
+    hits: dict[str, list[str]] = {name: [] for name in names}
+    for row in listing.where(F.element_at(F.split("path", "/"), -1).isin(*names)).collect():  # one short path per month
+        hits[row.path.rsplit("/", 1)[-1]].append(row.path)
     for name in sorted(names):
-        hits = sum(p.endswith("/" + name) for p in found)
-        if hits != 1:
-            raise ValueError(f"expected exactly one {name}, found {hits}")
+        if len(hits[name]) != 1:
+            raise ValueError(f"expected exactly one {name}, found {len(hits[name])}")
     meta = F.col("_metadata")
-    parts = []
-    for path in sorted(found):
-        # Files are read by their own header and joined by name: column order may change by month.
-        month = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
-        require_columns(month, columns, path.rsplit("/", 1)[-1])
+    parts, fields = [], {}
+    for paths in _first_lines(spark, sorted(p for found in hits.values() for p in found)).values():
+        rows = spark.read.option("header", True).option("mode", "FAILFAST").csv(paths)
+        member = paths[0].rsplit("/", 1)[-1]
+        require_columns(rows, columns, member)
+        fields[member] = rows.columns
         parts.append(
-            month.select(
-                *(columns if exact else month.columns),
+            rows.select(
+                *(columns if exact else rows.columns),
                 meta.file_path.alias("_path"),
                 meta.file_block_start.alias("_start"),
                 table_prefix(meta.file_name).alias("table"),
@@ -77,6 +95,8 @@ def monthly_csv(spark: SparkSession, folder: str, prefix: str, year: int, months
                 file_month(meta.file_name).alias("month"),
             )
         )
+    if not exact:
+        same_signals(fields)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -112,20 +132,23 @@ def alarm_log(raw: DataFrame, time: str = "TimeOn", station: str = "StationNr",
 
 
 def parquet_slice(spark: SparkSession, path: str, columns: Sequence[str] = ALARM_COLUMNS, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Selected columns of rows with start <= ts < end; both reach the Parquet scan."""
-    df = spark.read.parquet(path).select(*columns)
-    if start is not None:
-        df = df.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
-    if end is not None:
-        df = df.where(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
-    return df
+    """Selected columns of rows with start <= ts < end; both reach the Parquet scan, and its partitions if it has dates."""
+    return half_open(spark.read.parquet(path), start, end).select(*columns)
 
 
 def source_bounds(rows: DataFrame, strict: bool = True) -> DataFrame:
-    """One row: first and last ts and row count; null timestamps raise."""
-    out = rows.agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts").isNull()).alias("null_ts")
-    )
+    """One row: first and last ts and row count; null timestamps raise.
+
+    A table partitioned by date reads ``ts`` in its first and last partition only; the counts come from footers.
+    """
+    if "date" in rows.columns:
+        edge = lambda pick: rows.where(F.col("date") == rows.agg(pick("date")).scalar()).agg(pick("ts")).scalar()
+        counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("date").isNull()).alias("null_ts"))
+        out = counts.select(edge(F.min).alias("first_ts"), edge(F.max).alias("last_ts"), "n", "null_ts")
+    else:
+        out = rows.agg(
+            F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts").isNull()).alias("null_ts")
+        )
     if strict:
         out = out.where(raise_unless(F.col("null_ts") == 0, "source contains missing timestamps"))
     return out

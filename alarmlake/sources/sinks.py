@@ -19,7 +19,9 @@ def write_table(df: DataFrame, path: str, sort: tuple[str, ...] = ("turbine_id",
     whatever share of the rows one date or station holds.
     """
     dated = df.withColumn("date", F.to_date("ts"))
-    spread = dated.repartitionByRange("date", *sort, F.xxhash64(*df.columns))
+    # A number of partitions keeps them from being merged: many dates mean many files, whatever their size.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = dated.repartitionByRange(parts, "date", *sort, F.xxhash64(*df.columns))
     (
         spread.sortWithinPartitions("date", *sort)
         .write.partitionBy("date")
@@ -55,9 +57,13 @@ def _flip_pointer(spark: SparkSession, root: str, run: str) -> None:
     )
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, validate: Callable[[dict[str, DataFrame]], None] | None = None) -> str:
+def publish(
+    spark: SparkSession, tables: dict[str, DataFrame], root: str, validate: Callable[[dict[str, DataFrame]], None] | None = None, dated: dict[str, tuple[str, ...]] | None = None
+) -> str:
     """Write all tables to a staging folder, validate what was written, then flip the pointer.
 
+    Tables in ``dated`` are partitioned by date and sorted by the columns named there.
+
     Readers follow the pointer table, so they see either the previous run or the new one; a
     failure leaves the pointer as it was.
     """
@@ -65,8 +71,11 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, valida
     base = f"{root.rstrip('/')}/runs/{run}"
     written = {}
     for name, df in tables.items():
-        df.write.parquet(f"{base}/{name}")
-        written[name] = spark.read.parquet(f"{base}/{name}")
+        if name in (dated or {}):
+            written[name] = write_table(df, f"{base}/{name}", dated[name])
+        else:
+            df.write.parquet(f"{base}/{name}")
+            written[name] = spark.read.parquet(f"{base}/{name}")
     if validate is not None:
         validate(written)
     _flip_pointer(spark, root.rstrip("/"), run)

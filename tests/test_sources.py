@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from alarmlake import session
 from alarmlake.functions import text
-from alarmlake.operators import validate
+from alarmlake.operators import filters, validate
 from alarmlake.session import scratch_path
 from alarmlake.sources import adapters, raw_files, scans, sinks
 
@@ -13,17 +13,17 @@ from alarmlake.sources import adapters, raw_files, scans, sinks
 def test_month_must_have_exactly_one_file(spark):
     folder = scratch_path(spark, "months")
     df = spark.createDataFrame([("2024-01-01", "1")], "TimeOn string, Alarmcode string")
-    raw_files.write_monthly_csv(df, folder, "tblAlarmLog", 2024, 1)
-    assert scans.monthly_csv(spark, folder, "tblAlarmLog", 2024, [1], ["TimeOn"]).count() == 1
+    raw_files.write_monthly_csv(df, folder, "tblAlarmLog", F.lit("2024_01"))
+    assert scans.monthly_csv(spark, folder, "tblAlarmLog", scans.months_of(2024, [1]), ["TimeOn"]).count() == 1
     with pytest.raises(ValueError, match="found 0"):
-        scans.monthly_csv(spark, folder, "tblAlarmLog", 2024, [1, 2], ["TimeOn"])
-    raw_files.write_monthly_csv(df, folder + "/again", "tblAlarmLog", 2024, 1)
+        scans.monthly_csv(spark, folder, "tblAlarmLog", scans.months_of(2024, [1, 2]), ["TimeOn"])
+    raw_files.write_monthly_csv(df, folder + "/again", "tblAlarmLog", F.lit("2024_01"))
     with pytest.raises(ValueError, match="found 2"):
-        scans.monthly_csv(spark, folder, "tblAlarmLog", 2024, [1], ["TimeOn"])
+        scans.monthly_csv(spark, folder, "tblAlarmLog", scans.months_of(2024, [1]), ["TimeOn"])
     with pytest.raises(ValueError, match="distinct numbers"):
-        scans.monthly_csv(spark, folder, "tblAlarmLog", 2024, [1, 1], ["TimeOn"])
+        scans.monthly_csv(spark, folder, "tblAlarmLog", scans.months_of(2024, [1, 1]), ["TimeOn"])
     with pytest.raises(ValueError, match="missing required columns"):
-        scans.monthly_csv(spark, folder + "/again", "tblAlarmLog", 2024, [1], ["Nope"])
+        scans.monthly_csv(spark, folder + "/again", "tblAlarmLog", scans.months_of(2024, [1]), ["Nope"])
 
 
 @pytest.mark.parametrize("encoding", ["utf-8-sig", "utf-8", "cp1252"])
@@ -37,7 +37,7 @@ def test_byte_order_mark_and_row_numbers(spark):
     folder = scratch_path(spark, "bom")
     body = "TimeOn,Alarmcode\n" + "".join(f"2024-01-01,{i}\n" for i in range(50))
     raw_files.write_bytes(spark, f"{folder}/tblAlarmLog_2024_01.csv", body.encode("utf-8-sig"))
-    rows = scans.with_row_numbers(scans.monthly_csv(spark, folder, "tblAlarmLog", 2024, [1], ["TimeOn", "Alarmcode"]))
+    rows = scans.with_row_numbers(scans.monthly_csv(spark, folder, "tblAlarmLog", scans.months_of(2024, [1]), ["TimeOn", "Alarmcode"]))
     assert all(r.row_no == int(r.Alarmcode) + 1 for r in rows.collect())
 
 
@@ -107,6 +107,37 @@ def test_written_table_prunes_dates(spark, sf_dir):
     assert "PartitionFilters: [isnotnull(date" in plan
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_time_filters_prune_dates(spark, sf_dir):
+    path = scratch_path(spark, "dated")
+    rows = sinks.write_table(adapters.alarms(spark, sf_dir), path)
+    found = [
+        scans.parquet_slice(spark, path, ["ts"], "2024-01-10", "2024-01-17"),
+        filters.month_slice(rows, 2024, 1),
+        filters.trailing_window(rows, "2024-01-05T10:00:00", "2024-01-06T10:00:00"),
+        filters.seek(rows, "2024-01-20T12:00:00", scans.source_bounds(rows)),
+    ]
+    for df in found:
+        assert "PartitionFilters: [isnotnull(date" in plan_of(df) and ">= " in plan_of(df)
+    bounds = scans.source_bounds(rows)
+    assert bounds.select("first_ts", "last_ts", "n").first() == rows.agg(F.min("ts"), F.max("ts"), F.count("ts")).first()
+    assert "PartitionFilters: [isnotnull(date" in plan_of(bounds)
+
+
+def test_months_in_another_column_order(spark):
+    folder = scratch_path(spark, "order")
+    raw_files.write_monthly_csv(spark.createDataFrame([("2024-01-01", "1")], "TimeOn string, Alarmcode string"), folder, "tblAlarmLog", F.lit("2024_01"))
+    raw_files.write_monthly_csv(spark.createDataFrame([("2", "2024-02-01")], "Alarmcode string, TimeOn string"), folder + "/b", "tblAlarmLog", F.lit("2024_02"))
+    raw_files.write_monthly_csv(spark.createDataFrame([("3", "2024-03-01")], "Other string, TimeOn string"), folder + "/c", "tblAlarmLog", F.lit("2024_03"))
+    rows = scans.monthly_csv(spark, folder, "tblAlarmLog", scans.months_of(2024, [1, 2]), ["TimeOn", "Alarmcode"], exact=False)
+    assert sorted((r.month, r.TimeOn, r.Alarmcode) for r in rows.collect()) == [(1, "2024-01-01", "1"), (2, "2024-02-01", "2")]
+    with pytest.raises(ValueError, match="signal schema changed"):
+        scans.monthly_csv(spark, folder, "tblAlarmLog", scans.months_of(2024, [1, 2, 3]), ["TimeOn"], exact=False)
+
+
 def column(spark, values, make):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
     return [r[0] for r in df.orderBy("i").select(make(F.col("t"))).collect()]
