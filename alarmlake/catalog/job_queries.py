@@ -5,10 +5,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alarmlake.catalog.base import query, sql
+from alarmlake.catalog.base import ORACLES, query, sql
+from alarmlake.catalog.event_queries import stored_metrics
 from alarmlake.catalog.metrics_queries import _GROUPS, PAIR_S, SUPPORT
 from alarmlake.catalog.rule_queries import _STEP, _one_rule, _throttle_sql
-from alarmlake.operators import audit, filters, lookup, rules
+from alarmlake.operators import filters, lookup, rules
 from alarmlake.plans import jobs
 from alarmlake.session import scratch_path
 from alarmlake.sources import adapters as A
@@ -270,22 +271,36 @@ def _(spark, d):
     return out
 
 
-@query("JOB5_vocabulary_build", sql("SELECT 'codes' AS name, count(DISTINCT alarm_code) n FROM alarms UNION ALL SELECT 'turbines', count(DISTINCT turbine_id) FROM alarms UNION ALL SELECT 'unmapped', count(DISTINCT turbine_id) FROM alarms WHERE turbine_id NOT IN (SELECT station_id FROM station_metadata)", "alarms", "station_metadata"))
+@query("JOB5_vocabulary_build", sql(f"""SELECT 'codes' AS name, CAST(alarm_code AS VARCHAR) AS key, min(description) AS value FROM alarms GROUP BY alarm_code UNION ALL SELECT DISTINCT 'turbines', turbine_id, NULL FROM alarms
+  UNION ALL SELECT DISTINCT 'unmapped', turbine_id, NULL FROM alarms WHERE turbine_id NOT IN (SELECT station_id FROM station_metadata)
+  UNION ALL SELECT 'labels', station_id, turbine_name FROM station_metadata WHERE station_id IN (SELECT turbine_id FROM alarms) UNION ALL SELECT 'aliases', alias, turbine_id FROM ({ORACLES['FUN9_aliases']})""", "alarms", "station_metadata"))
 def _(spark, d):
     tables = jobs.build_vocabulary(A.alarms(spark, d), A.code_lookup(spark, d), A.station_metadata(spark, d))
     root = scratch_path(spark, "vocabulary")
     jobs.publish_vocabulary(spark, tables, root)
-    counts = [sinks.published(spark, root, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in ("codes", "turbines", "unmapped")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    fields = {"conflicts": ("kind", "subject"), "codes": ("alarm_code", "description"), "turbines": ("turbine_id", None), "unmapped": ("turbine_id", None), "labels": ("turbine_id", "label"), "aliases": ("alias", "turbine_id")}
+    text = lambda c, name: (F.lit(None) if c is None else F.col(c)).cast("string").alias(name)
+    return reduce(DataFrame.union, [sinks.published(spark, root, n).select(F.lit(n).alias("name"), text(k, "key"), text(v, "value")) for n, (k, v) in fields.items()])
 
 
-@query("JOB6_source_audit", sql("SELECT 'verified' status, count(*) records, (SELECT count(*) FROM station_metadata) stations, 0::BIGINT key_differences, 0::BIGINT label_differences, CAST(count(*) - count(DISTINCT (ts, turbine_id, alarm_code)) AS BIGINT) duplicates_retained, true verified FROM alarms_dup", "alarms_dup", "station_metadata"))
+_AUDITS = ["as_it_is", "metric_off", "rows_lost", "label_changed"]
+
+
+@query("JOB6_source_audit", sql("""SELECT variant, CASE WHEN variant IN ('metric_off', 'rows_lost') THEN 'mismatch' ELSE 'verified' END status, records, (SELECT count(*) FROM station_metadata) stations, site_rate, round(top / records * 100, 6) top10_share_pct,
+  CASE WHEN variant = 'rows_lost' THEN (SELECT count(DISTINCT (ts, turbine_id, alarm_code)) FROM alarms WHERE seq % 50 = 7) ELSE 0 END key_differences,
+  CASE WHEN variant = 'label_changed' THEN (SELECT count(*) FROM alarms WHERE seq % 90 = 4) ELSE 0 END label_differences, CAST(records - keys AS BIGINT) duplicates_retained, variant = 'as_it_is' verified FROM measured JOIN tops USING (variant)""",
+  "alarms", "station_metadata", audited=f"SELECT variant, alarms.* FROM alarms, (SELECT unnest({_AUDITS}) variant) WHERE variant <> 'rows_lost' OR seq % 50 <> 7",
+  measured="SELECT variant, count(*) records, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0), 6) site_rate, count(DISTINCT (ts, turbine_id, alarm_code)) keys FROM audited GROUP BY variant",
+  tops="SELECT variant, sum(n) top FROM (SELECT variant, count(*) n, row_number() OVER (PARTITION BY variant ORDER BY count(*) DESC) r FROM audited GROUP BY variant, alarm_code) WHERE r <= 10 GROUP BY variant"))
 def _(spark, d):
-    processed, stations = A.alarms_dup(spark, d), A.station_metadata(spark, d)
-    raw = A.raw_alarms(spark, d)
-    raw = raw.unionByName(raw.where("seq % 29 = 0"))
-    report = jobs.source_audit(raw, processed, A.code_lookup(spark, d), stations, audit.published_metrics(processed, stations))
-    return report.drop("site_rate", "top10_share_pct")
+    whole, raw, codes, stations = A.alarms(spark, d), A.raw_alarms(spark, d), A.code_lookup(spark, d), A.station_metadata(spark, d)
+    other = F.when(F.col("seq") % 90 == 4, F.lit("another label")).otherwise(F.col("description"))
+    processed = {"rows_lost": whole.where("seq % 50 <> 7"), "label_changed": whole.withColumn("description", other)}
+    parts = [
+        jobs.source_audit(raw, processed.get(v, whole), codes, stations, stored_metrics(spark, d, "site_rate" if v == "metric_off" else "")).withColumn("variant", F.lit(v))
+        for v in _AUDITS
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumns({"site_rate": r6("site_rate"), "top10_share_pct": r6("top10_share_pct")})
 
 
 @query("JOB7_backfill", sql("""SELECT s.seq, s.is_alarm, NOT coalesce(s.is_alarm AND EXISTS (SELECT 1 FROM rules r WHERE r.kind IN (0, 1) AND r.code = s.alarm_code AND (r.kind = 0 OR r.station = s.turbine_id)), false) AS show, round(coalesce(a.score, 0.0), 4) anomaly_score
@@ -308,18 +323,28 @@ _TEACH = {
 
 @query("JOB8_teach_and_measure", sql("""SELECT first_seq, end_seq, (SELECT count(*) FROM recent) examples, (SELECT count(*) FROM recent) before_shown, 0::BIGINT before_suppressed,
   (SELECT count(*) FILTER (alarm_code <> (SELECT code FROM teach) OR is_critical) FROM recent) after_shown, (SELECT count(*) FILTER (alarm_code = (SELECT code FROM teach) AND NOT is_critical) FROM recent) after_suppressed,
-  (SELECT count(*) FILTER (alarm_code = (SELECT code FROM teach) AND NOT is_critical) FROM recent) newly_suppressed, (SELECT min(seq) FROM hit WHERE seq >= end_seq) later_seq, (SELECT first(is_critical ORDER BY seq) FROM hit WHERE seq >= end_seq) later_show FROM span""", "scored", "rules", **_TEACH))
+  (SELECT count(*) FILTER (alarm_code = (SELECT code FROM teach) AND NOT is_critical) FROM recent) newly_suppressed, (SELECT min(seq) FROM hit WHERE seq >= end_seq) later_seq, (SELECT first(is_critical ORDER BY seq) FROM hit WHERE seq >= end_seq) later_show, NULL::BIGINT other_seq, NULL::BOOLEAN other_show,
+  (SELECT CASE WHEN (SELECT reversible FROM rules WHERE code = (SELECT code FROM teach)) THEN count(*) ELSE count(*) FILTER (alarm_code <> (SELECT code FROM teach) OR is_critical) END FROM recent) undo_shown,
+  (SELECT CASE WHEN (SELECT reversible FROM rules WHERE code = (SELECT code FROM teach)) THEN 0 ELSE count(*) FILTER (alarm_code = (SELECT code FROM teach) AND NOT is_critical) END FROM recent) undo_suppressed FROM span""", "scored", "rules", **_TEACH))
 def _(spark, d):
     r = A.sample_rules(spark, d)
     rule = r.where("pattern.kind = 'code_match' AND action = 'suppress' AND scope.turbine_id IS NULL").orderBy("rule_order").limit(1)
-    out = jobs.teach_and_measure(A.scored_events(spark, d), rule)
-    return out.select("first_seq", "end_seq", "examples", "before_shown", "before_suppressed", "after_shown", "after_suppressed", "newly_suppressed", "later_seq", "later_show")
+    return jobs.teach_and_measure(A.scored_events(spark, d), rule)
 
 
-@query("JOB9_scenario_checks", sql("""SELECT ts, turbine_id, alarm_code, stopping, 1::BIGINT matches, seq % 300 <> 0 ok, (SELECT count(*) FROM alarms WHERE ts > '2024-01-05 10:00:00' AND ts <= '2024-01-05 22:00:00') window_rows, false window_ok
-  FROM (SELECT * REPLACE (CASE WHEN seq % 300 = 0 THEN 9 ELSE stopping END AS stopping) FROM alarms WHERE seq % 100 = 0)""", "alarms"))
+_DECLARED = """SELECT ts, turbine_id, alarm_code, CASE WHEN seq % 300 = 0 THEN 9 ELSE stopping END AS stopping FROM alarms WHERE seq % 100 = 0
+  UNION ALL SELECT DISTINCT ts, turbine_id, -1, 0 FROM alarms WHERE seq % 97 = 0"""
+
+
+@query("JOB9_scenario_checks", sql("""SELECT d.*, count(a.seq) matches, coalesce(count(a.seq) = 1 AND min(a.stopping) = d.stopping, false) ok, w.n window_rows, off, off = 0 window_ok
+  FROM (SELECT unnest([0, 1]) off) CROSS JOIN declared d CROSS JOIN (SELECT count(*) n FROM alarms_dup WHERE ts > '2024-01-05 10:00:00' AND ts <= '2024-01-05 22:00:00') w
+  LEFT JOIN alarms_dup a ON a.ts = d.ts AND a.turbine_id = d.turbine_id AND a.alarm_code = d.alarm_code GROUP BY d.ts, d.turbine_id, d.alarm_code, d.stopping, w.n, off""", "alarms_dup", declared=_DECLARED))
 def _(spark, d):
     a = A.alarms(spark, d)
     declared = a.where("seq % 100 = 0").select("ts", "turbine_id", "alarm_code", F.when(F.col("seq") % 300 == 0, 9).otherwise(F.col("stopping")).alias("stopping"))
-    return jobs.scenario_checks(a, declared, "2024-01-05T10:00:00", "2024-01-05T22:00:00", -1)
-
+    absent = a.where("seq % 97 = 0").select("ts", "turbine_id", F.lit(-1).cast("bigint").alias("alarm_code"), F.lit(0).alias("stopping")).distinct()
+    raw = A.table(spark, d, "events").where("ts > TIMESTAMP_NTZ'2024-01-05 10:00:00' AND ts <= TIMESTAMP_NTZ'2024-01-05 22:00:00'")
+    want = raw.agg(F.count(F.lit(1)) + F.count_if(F.col("event_id") % 29 == 0)).scalar()
+    start, end = "2024-01-05T10:00:00", "2024-01-05T22:00:00"
+    parts = [jobs.scenario_checks(A.alarms_dup(spark, d), declared.union(absent), start, end, want - off).withColumn("off", F.lit(off)) for off in (0, 1)]
+    return parts[0].unionByName(parts[1])

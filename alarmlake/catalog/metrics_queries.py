@@ -191,11 +191,11 @@ def _(spark, d):
     return metrics.coverage_counts(A.alarms_dup(spark, d), A.station_metadata(spark, d))
 
 
-@query("AGG12_duplicate_sensitivity", sql(f"""SELECT 'all_rows' variant, count(*) records, round(count(*) / {_HOURS}, 6) alarms_per_hour, (SELECT count(*) FROM (SELECT 1 FROM alarms_dup GROUP BY time_bucket(INTERVAL 1 HOUR, ts) HAVING count(*) > 16)) flood_windows FROM alarms_dup
-  UNION ALL SELECT 'distinct_keys', count(*), round(count(*) / {_HOURS}, 6), (SELECT count(*) FROM bursts) FROM alarms""", "alarms_dup", "bursts"))
+@query("AGG12_duplicate_sensitivity", sql(f"""SELECT 'all_rows' variant, count(*) records, round(count(*) / {_HOURS}, 6) alarms_per_hour, round((SELECT sum(n) FROM (SELECT count(*) n FROM alarms_dup GROUP BY alarm_code ORDER BY n DESC LIMIT 10)) / count(*) * 100, 6) top10_share_pct, (SELECT count(*) FROM (SELECT 1 FROM alarms_dup GROUP BY time_bucket(INTERVAL 1 HOUR, ts) HAVING count(*) > 16)) flood_windows FROM alarms_dup
+  UNION ALL SELECT 'distinct_keys', count(*), round(count(*) / {_HOURS}, 6), round((SELECT sum(n) FROM (SELECT count(*) n FROM alarms GROUP BY alarm_code ORDER BY n DESC LIMIT 10)) / count(*) * 100, 6), (SELECT count(*) FROM bursts) FROM alarms""", "alarms_dup", "bursts"))
 def _(spark, d):
     o = jobs.BaselineOptions(window=HOUR, threshold=OVER, pair_window_s=60, min_support=0.8)
-    return jobs.duplicate_sensitivity(A.alarms_dup(spark, d), o).select("variant", "records", r6("alarms_per_hour").alias("alarms_per_hour"), "flood_windows")
+    return jobs.duplicate_sensitivity(A.alarms_dup(spark, d), o).select("variant", "records", r6("alarms_per_hour").alias("alarms_per_hour"), r6("top10_share_pct").alias("top10_share_pct"), "flood_windows")
 
 
 _RAW_DUP = "SELECT * FROM raw_log UNION ALL SELECT * FROM raw_log WHERE seq % 29 = 0 UNION ALL SELECT seq, time_on, NULL, station, code FROM raw_log WHERE seq % 31 = 0"

@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alarmlake.operators import audit, cliques, cooccur, learn, lookup, metrics, quality, rules, validate, vocabulary
 from alarmlake.operators.detect import with_anomaly
 from alarmlake.operators.events import merged_events
 from alarmlake.operators.filters import month_profiles, own_month_rows, point_lookup, trailing_window
+from alarmlake.operators.journal import active_rules
 from alarmlake.plans.segments import dense_sequence
 from alarmlake.schemas import ALARM_KEY
 from alarmlake.session import materialize
@@ -229,7 +230,11 @@ def teach_and_measure(events: DataFrame, rule: DataFrame, settings: PolicySettin
     changed = before.where("show").select("seq").join(after.where("NOT show"), "seq", "left_semi")
     batch = learn.mint_examples(events, nothing, rule, at=end, settings=s)
     single = lambda at: rules.score(events.where(F.col("seq") == F.lit(at)), rule).agg(F.max("show")).scalar()
-    b, a = rules.counters(before), rules.counters(after)
+    empty = spark.createDataFrame([], scans.JOURNAL_LINE)
+    learned = learn.learn_lines(empty, rule, batch, s)
+    undo = learn.undo_lines(learned, rule.select("rule_id").first()[0])
+    undone = rules.score(recent, active_rules(learned.unionByName(undo, allowMissingColumns=True)))
+    b, a, u = (rules.counters(v) for v in (before, after, undone))
     return b.select(
         F.lit(first).cast("bigint").alias("first_seq"),
         F.lit(end).cast("bigint").alias("end_seq"),
@@ -243,12 +248,12 @@ def teach_and_measure(events: DataFrame, rule: DataFrame, settings: PolicySettin
         single(later).alias("later_show"),
         F.lit(other).cast("bigint").alias("other_seq"),
         single(other).alias("other_show"),
-        F.col("shown").alias("undo_shown"),
-        F.col("suppressed").alias("undo_suppressed"),
+        u.select("shown").scalar().alias("undo_shown"),
+        u.select("suppressed").scalar().alias("undo_suppressed"),
     ).where(F.lit(not none))
 
 
-def scenario_checks(alarms: DataFrame, declared: DataFrame, start: str, end: str, expected_rows: int) -> DataFrame:
+def scenario_checks(alarms: DataFrame, declared: DataFrame, start: str, end: str, expected_rows: int | Column) -> DataFrame:
     """Declared rows with their match count and flag agreement, plus the trailing-window count."""
     looked = point_lookup(alarms, declared, ALARM_KEY)
     flags = alarms.join(declared.select(*ALARM_KEY), ALARM_KEY, "left_semi").groupBy(*ALARM_KEY).agg(F.min("stopping").alias("actual_stopping"))
