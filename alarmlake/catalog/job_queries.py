@@ -167,16 +167,18 @@ def _(spark, d):
 # --- streams ----------------------------------------------------------------------------
 
 
-def _staged(spark, df, label):
-    path = scratch_path(spark, label)
-    last = df.agg(F.max("seq")).first()[0]
-    return raw_files.stage_stream(df, path, [last // 3, 2 * last // 3])
+FILES, FILES_A_BATCH = 24, 8
+
+
+def _stream(spark, df, label):
+    path = raw_files.stage_stream(df, scratch_path(spark, label), FILES)
+    return live.event_stream(spark, path, df.schema, FILES_A_BATCH)
 
 
 @query("STR3_flood_stream", sql("SELECT start, n FROM bursts WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM alarms)", "bursts"))
 def _(spark, d):
     a = A.alarms(spark, d)
-    stream = live.event_stream(spark, _staged(spark, a, "alarms-in"), a.schema)
+    stream = _stream(spark, a, "alarms-in")
     out = live.flood_windows(stream, "1 hour", 16)
     return live.run_available(out, scratch_path(spark, "floods"), scratch_path(spark, "ckpt")).select("start", "n")
 
@@ -184,14 +186,14 @@ def _(spark, d):
 @query("STR4_collapse_stream", sql("SELECT seq, hidden FROM fold", "alarms", **_throttle_sql(14400000000, _STEP, ["turbine_id"])))
 def _(spark, d):
     rows = _one_rule(spark, d).drop("generation")
-    stream = live.event_stream(spark, _staged(spark, rows, "collapse-in"), rows.schema)
+    stream = _stream(spark, rows, "collapse-in")
     return live.run_available(live.collapse(stream), scratch_path(spark, "collapsed"), scratch_path(spark, "ckpt")).select("seq", "hidden")
 
 
 @query("STR5_detector_stream", sql("SELECT r.seq, round(coalesce(z.score, 0.0), 4) score FROM scada_long r LEFT JOIN zscores z ON z.seq = r.seq", "scada_long", "zscores"))
 def _(spark, d):
     rows = A.scada_long(spark, d).select("seq", "turbine_id", "signal", "value")
-    stream = live.event_stream(spark, _staged(spark, rows, "readings-in"), rows.schema)
+    stream = _stream(spark, rows, "readings-in")
     out = live.run_available(live.rolling_scores(stream, 12), scratch_path(spark, "scores"), scratch_path(spark, "ckpt"))
     return out.select("seq", F.round("score", 4).alias("score"))
 
@@ -199,7 +201,7 @@ def _(spark, d):
 @query("STR7_verdict_stream", sql('SELECT seq, "show", suppressed_by FROM verdict', "verdict"))
 def _(spark, d):
     e = A.scored_events(spark, d)
-    stream = live.event_stream(spark, _staged(spark, e, "events-in"), e.schema)
+    stream = _stream(spark, e, "events-in")
     out = live.scored(stream, A.sample_rules(spark, d))
     return live.run_available(out, scratch_path(spark, "verdicts"), scratch_path(spark, "ckpt")).select("seq", "show", "suppressed_by")
 
@@ -208,7 +210,7 @@ def _(spark, d):
 def _(spark, d):
     generation = F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"), 0).otherwise(1)
     v = rules.score(A.scored_events(spark, d), A.sample_rules(spark, d)).select("seq", "alarm_code", "show", generation.alias("generation"))
-    stream = live.event_stream(spark, _staged(spark, v, "verdicts-in"), v.schema)
+    stream = _stream(spark, v, "verdicts-in")
     return live.run_counters(live.live_counters(stream), scratch_path(spark, "counters"), scratch_path(spark, "ckpt"))
 
 
