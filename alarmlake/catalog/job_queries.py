@@ -248,10 +248,15 @@ def _(spark, d):
     return reduce(DataFrame.union, parts)
 
 
-@query("JOB2_schema_profile", "SELECT 'p_name' AS \"column\", 0::BIGINT null_count, (SELECT count(DISTINCT trim(p_name)) FROM part) distinct_values UNION ALL SELECT 'p_brand', 0, (SELECT count(DISTINCT trim(p_brand)) FROM part) UNION ALL SELECT 'p_type', 0, (SELECT count(DISTINCT trim(p_type)) FROM part)")
+_PART = [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")]
+_PART_SQL = " UNION ALL ".join(f"""SELECT 'columns' AS "table", '{c}' AS "column", {i}::BIGINT AS place, '{t}' AS value, count(*) - count({c}) n, NULL::BIGINT distinct_values FROM part""" for i, (c, t) in enumerate(_PART))
+
+
+@query("JOB2_schema_profile", f"""{_PART_SQL} UNION ALL SELECT 'values', "column", rank, value, n, distinct_values FROM ({ORACLES['AGG16_top_values']})""")
 def _(spark, d):
     columns, values = jobs.schema_profile(A.table(spark, d, "part"))
-    return columns.join(values.where("rank = 1"), "column").select("column", "null_count", "distinct_values")
+    fields = columns.select(F.lit("columns").alias("table"), "column", F.col("position").cast("bigint").alias("place"), F.col("dtype").alias("value"), F.col("null_count").alias("n"), F.lit(None).cast("bigint").alias("distinct_values"))
+    return fields.union(values.select(F.lit("values"), "column", F.col("rank").cast("bigint"), "value", "n", "distinct_values"))
 
 
 def _labelled(spark, d):
