@@ -210,10 +210,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     return prints.join(placed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents with one of each near-duplicate group: that with the least identifier (nulls last)."""
-    placed = near_duplicates(docs, key, text)
-    stay = placed.groupBy("class_fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.mark").alias("_mark"))
+def one_each(docs: DataFrame, placed: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """Documents with one of each ``group`` of ``placed`` (id, mark): that with the least identifier (nulls last)."""
+    stay = placed.groupBy(group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.mark").alias("_mark"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_i"), F.xxhash64(text).alias("_m"))
     met = rows.join(stay, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")))
     return met.dropDuplicates(["_i", "_m"]).select("_row.*")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents with one of each near-duplicate group: that with the least identifier (nulls last)."""
+    return one_each(docs, near_duplicates(docs, key, text), "class_fp", key, text)
