@@ -41,6 +41,7 @@ def fold_stream(spark: SparkSession, path: str, checkpoint: str, key: str = "doc
     own = spark.newSession()  # the state store setting stays out of the caller's session
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else every store sets megabytes of disk aside
     own.conf.set("spark.sql.session.timeZone", "UTC")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([f for f in spark.read.parquet(path).schema if f.name in (key, text)])
