@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlake.llm import best_fit, host_rules, line_index, log_bloom, mixing, ppm, pu_quality, stream_dedup, trie_join, warc
+from alarmlake.llm import best_fit, host_rules, line_index, log_bloom, mixing, ppm, pu_quality, spelling, stream_dedup, trie_join, warc
 from alarmlake.llm.common import held_out, table
 from alarmlake.session import scratch_path
 
@@ -146,3 +146,26 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = pu_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 5, 0))
     return scored.withColumnRenamed("key", "doc_id")
+
+
+SPELL_SQL = r"""WITH crc AS (SELECT list(v ORDER BY i) t FROM (SELECT i, list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) v FROM (SELECT CAST(unnest(range(256)) AS BIGINT) i))),
+  runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run FROM documents),
+  held AS (SELECT doc_id, run, count(*) c, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) hx FROM runs GROUP BY ALL),
+  hashed AS (SELECT run, c, xor(list_reduce(list_transform(range(length(hx) // 2), lambda i: CAST('0x' || substr(hx, CAST(2 * i + 1 AS INT), 2) AS BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) h FROM held, crc),
+  made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END word, c FROM hashed),
+  v AS (SELECT word, CAST(sum(c) AS BIGINT) n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+  cut AS (SELECT word, n, unnest(range(length(word))) p FROM v),
+  less AS (SELECT DISTINCT word, n, substr(word, 1, CAST(p AS INT)) || substr(word, CAST(p AS INT) + 2) s FROM cut),
+  hole AS (SELECT word, n, p, substr(word, 1, CAST(p AS INT)) || '_' || substr(word, CAST(p AS INT) + 2) s FROM cut),
+  near AS (SELECT a.word, b.word other, b.n m FROM hole a JOIN hole b ON a.s = b.s AND a.p = b.p AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word, b.n FROM less a JOIN v b ON b.word = a.s UNION ALL SELECT b.word, a.word, a.n FROM less a JOIN v b ON b.word = a.s),
+  best AS (SELECT word, count(*) n_near, max(m) m FROM near GROUP BY word),
+  first AS (SELECT best.word, best.m, min(other) other FROM best JOIN near ON near.word = best.word AND near.m = best.m GROUP BY ALL),
+  j AS (SELECT v.word, CASE WHEN m >= 2 * n THEN other END form, n, coalesce(n_near, 0) n_near, CASE WHEN m >= 2 * n THEN m END form_n FROM v LEFT JOIN best USING (word) LEFT JOIN (SELECT word, other FROM first) f USING (word)),
+  steps AS (WITH RECURSIVE r AS (SELECT word, word at, 0 k FROM j UNION ALL SELECT r.word, j.form, k + 1 FROM r JOIN j ON j.word = r.at WHERE j.form IS NOT NULL) SELECT word, arg_max(at, k) root FROM r GROUP BY word)
+  SELECT word, form, root, n, n_near, form_n FROM j JOIN steps USING (word)"""
+
+
+@_query("op11_spelling", SPELL_SQL)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
