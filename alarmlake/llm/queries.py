@@ -162,7 +162,7 @@ SPELL_SQL = r"""WITH crc AS (SELECT list(v ORDER BY i) t FROM (SELECT i, list_re
   best AS (SELECT word, count(*) n_near, max(m) m FROM near GROUP BY word),
   first AS (SELECT best.word, best.m, min(other) other FROM best JOIN near ON near.word = best.word AND near.m = best.m GROUP BY ALL),
   j AS (SELECT v.word, CASE WHEN m >= 2 * n THEN other END form, n, coalesce(n_near, 0) n_near, CASE WHEN m >= 2 * n THEN m END form_n FROM v LEFT JOIN best USING (word) LEFT JOIN (SELECT word, other FROM first) f USING (word)),
-  steps AS (WITH RECURSIVE r AS (SELECT word, word at, 0 k FROM j UNION ALL SELECT r.word, j.form, k + 1 FROM r JOIN j ON j.word = r.at WHERE j.form IS NOT NULL) SELECT word, arg_max(at, k) root FROM r GROUP BY word)
+  steps AS (WITH RECURSIVE r AS (SELECT word, word AS spot, 0 AS k FROM j UNION ALL SELECT r.word, j.form, k + 1 FROM r JOIN j ON j.word = r.spot WHERE j.form IS NOT NULL) SELECT word, arg_max(spot, k) root FROM r GROUP BY word)
   SELECT word, form, root, n, n_near, form_n FROM j JOIN steps USING (word)"""
 
 
