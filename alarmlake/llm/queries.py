@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlake.llm import best_fit, host_rules, line_index, log_bloom, mixing, ppm, pu_quality, spelling, stream_dedup, trie_join, warc
+from alarmlake.llm import best_fit, fp_search, host_rules, line_index, log_bloom, mixing, ppm, pu_quality, spelling, stream_dedup, trie_join, warc
 from alarmlake.llm.common import held_out, table
 from alarmlake.session import scratch_path
 
@@ -169,3 +169,18 @@ SPELL_SQL = r"""WITH crc AS (SELECT list(v ORDER BY i) t FROM (SELECT i, list_re
 @_query("op11_spelling", SPELL_SQL)
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+SEARCH_SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () u, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') t FROM documents),
+  i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) term FROM benchmark),
+  c AS (SELECT count(*) docs, CAST(sum(len(t)) AS BIGINT) total FROM d WHERE len(t) > 0),
+  f AS (SELECT u, doc_id, CAST(n AS BIGINT) n, term, count(*) tf FROM (SELECT u, doc_id, len(t) n, unnest(t) term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+  w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) w FROM f, c GROUP BY term, docs),
+  g AS (SELECT u, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)) v FROM f, c),
+  s AS (SELECT item_id, u, doc_id, CAST(sum(w * v) AS BIGINT) score FROM i JOIN g USING (term) JOIN w USING (term) GROUP BY ALL)
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+
+@_query("op12_fp_search", SEARCH_SQL)
+def op12_fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
