@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alarmlake.llm import best_fit, fp_search, host_rules, line_index, log_bloom, mixing, ppm, pu_quality, spelling, stream_dedup, trie_join, warc
+from alarmlake.llm import best_fit, fp_search, host_rules, line_index, log_bloom, mixing, ppm, pu_quality, spelling, stream_dedup, toxicity, trie_join, warc
 from alarmlake.llm.common import held_out, table
 from alarmlake.session import scratch_path
 
@@ -184,3 +184,9 @@ SEARCH_SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () u, regexp_extrac
 @_query("op12_fp_search", SEARCH_SQL)
 def op12_fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 5, 0))
+    return scored.withColumnRenamed("key", "doc_id")
