@@ -1,11 +1,11 @@
 """Spelling variants by one-edit neighbourhoods over a reduced alphabet.
 
-Each letter is hashed to one of a few symbols, which turns a word into a shorter-lettered reduced word. The full one-edit
-neighbourhood of every reduced word (itself, each deletion, each replacement and each insertion of a symbol) is
-generated and joined with the reduced words of the vocabulary. Two words one edit apart have reduced words at most one edit
-apart, so every near pair meets exactly once in each direction; the words that only meet because letters
-share a symbol are dropped by comparing the original strings. The neighbourhood grows with the number of symbols, the
-false meetings shrink with it: the least number is taken at which a word shares its reduced word with few others.
+Each letter is hashed to one of a few symbols, which turns a word into a reduced word. The one-edit neighbourhood of every
+reduced word (itself, deletions, replacements; insertions are the deletions of the other word) is generated and joined
+with the reduced words of the vocabulary. Two words one edit apart have reduced words at most one edit apart, so every
+near pair meets, and meets once; the words that only meet because letters share a symbol are dropped by comparing the
+original strings. The neighbourhood grows with the number of symbols, the false meetings shrink with it: the least
+number is taken at which a word shares its reduced word with few others.
 
 A word's form is its most frequent near word, if that is at least ``ratio`` times as frequent; forms are followed to
 their root by pointer jumping. Frequencies at least double on the way, so a chain is short and the rounds are few.
@@ -99,14 +99,25 @@ def reduced(word: Column, size: int) -> Column:
     return F.translate(word, LETTERS, "".join(SYMBOLS[ord(c) % size] for c in LETTERS))
 
 
-def neighbourhood(word: Column, size: int) -> Column:
-    """All strings of the reduced alphabet at most one edit away from a reduced word."""
-    symbols = F.array(*map(F.lit, SYMBOLS[:size]))
-    places, gaps = F.sequence(F.lit(1), F.length(word)), F.sequence(F.lit(0), F.length(word))
-    gone = F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    swapped = F.flatten(F.transform(places, lambda i: F.transform(symbols, lambda s: F.concat(F.substring(word, F.lit(1), i - 1), s, F.substring(word, i + 1, F.length(word))))))
-    longer = F.flatten(F.transform(gaps, lambda i: F.transform(symbols, lambda s: F.concat(F.substring(word, F.lit(1), i), s, F.substring(word, i + 1, F.length(word))))))
-    return F.array_distinct(F.concat(F.array(word), gone, swapped, longer))
+def neighbours(words: DataFrame, size: int) -> DataFrame:
+    """word, n, own, r: the edits of every reduced word that stand for its whole neighbourhood, and itself (``own``).
+
+    An insertion undoes a deletion and a replacement undoes another, so of two words that are neighbours one
+    reaches the other by a deletion or by a replacement with a later symbol. Only those are written; the rest of the
+    neighbourhood is the same meetings seen from the other word.
+    """
+    spread = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    r, i, j = F.col("of"), F.col("i"), F.col("j")
+    here, before = F.substring(r, i, F.lit(1)), F.substring(r, i - 1, F.lit(1))
+    symbol = F.substring(F.lit(SYMBOLS), j, F.lit(1))
+    edits = (
+        spread.select("word", "n", reduced(F.col("word"), size).alias("of"))
+        .withColumn("i", F.explode(F.sequence(F.lit(1), F.length("of"))))
+        .withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(size))))
+        .filter(F.when(j == -1, i == 1).when(j == 0, (i == 1) | (here != before)).otherwise(symbol > here))
+    )
+    left, right = F.substring(r, F.lit(1), i - 1), F.substring(r, i + 1, F.length(r))
+    return edits.select("word", "n", (j == -1).alias("own"), F.when(j == -1, r).when(j == 0, F.concat(left, right)).otherwise(F.concat(left, symbol, right)).alias("r"))
 
 
 def alphabet_size(words: DataFrame) -> int:
@@ -121,9 +132,10 @@ def alphabet_size(words: DataFrame) -> int:
 
 def near_pairs(words: DataFrame, size: int) -> DataFrame:
     """word, near, near_n: both directions of every pair that is one inserted, deleted or replaced code point apart."""
-    probes = words.select("word", F.explode(neighbourhood(reduced(F.col("word"), size), size)).alias("r"))
     held = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"), reduced(F.col("word"), size).alias("r"))
-    return probes.join(held, "r").filter(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
+    met = neighbours(words, size).join(held, "r").filter((~F.col("own") | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1))
+    ways = F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    return met.select(F.inline(ways))
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -65,11 +65,18 @@ def test_every_size_gives_the_same_variants(spark, size):
     assert result(spelling.variants(held, size=size)) == plain_variants(words)
 
 
-def test_neighbourhoods_are_whole(spark):
-    row = spark.createDataFrame([("abca",)], "w string").select(spelling.neighbourhood(spelling.reduced(spelling.F.col("w"), 4), 4).alias("r"), spelling.reduced(spelling.F.col("w"), 4).alias("w")).first()
-    symbols, w = spelling.SYMBOLS[:4], row.w
-    want = {w} | {w[:i] + w[i + 1 :] for i in range(4)} | {w[:i] + s + w[i + 1 :] for i in range(4) for s in symbols} | {w[:i] + s + w[i:] for i in range(5) for s in symbols}
-    assert len(row.r) == len(want) and set(row.r) == want
+def test_neighbours_meet_once(spark):
+    draw = random.Random(8)
+    words = sorted({"".join(draw.choice("abc") for _ in range(draw.randint(1, 4))) for _ in range(200)})
+    found = spelling.neighbours(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), 4).collect()
+    code = {w: "".join(spelling.SYMBOLS[ord(c) % 4] for c in w) for w in words}
+    reach = Counter((r.word, r.r) for r in found)
+    assert max(reach.values()) == 1 and len(set(code.values())) == len(words)
+    for a in words:
+        assert reach[a, code[a]] == 1
+        for b in words:
+            if a < b:
+                assert reach[a, code[b]] + reach[b, code[a]] == one_edit(a, b)
 
 
 def test_alphabet_grows_with_the_crowd(spark):
