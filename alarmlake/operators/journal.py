@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from alarmlake.operators.rules import KEEP, decide, match_rules, verdicts
 from alarmlake.plans.segments import RUN_BITS, run_of, running_total
+from alarmlake.session import materialize
 from alarmlake.settings import PolicySettings
 
 FIRST_REVISION = 1
@@ -108,40 +110,38 @@ def journal_violations(journal: DataFrame) -> DataFrame:
     return rows.select("line", F.explode(problems).alias("problem"))
 
 
-def revision_ranges(revisions: DataFrame, ring_size: int, last_seq: Column) -> DataFrame:
-    """[lo, hi) ranges of ``seq`` whose final verdict belongs to each revision.
+def revision_starts(revisions: DataFrame, ring_size: int) -> DataFrame:
+    """lo, version: from which ``seq`` on a revision gives the final verdict; one row per position.
 
     A revision applied after n observations rescores the last B of them, so it reaches back to
-    seq n - B; older verdicts stay frozen. Revisions are numbered without gaps, so the end of
-    each range is the start of the next (an equi-join, not an ordered window).
+    seq n - B; older verdicts stay frozen.
     """
-    base = revisions.sparkSession.range(1).select(F.lit(FIRST_REVISION).cast("bigint").alias("version"), F.col("id").alias("lo"))
-    starts = base.unionByName(
-        revisions.select("version", F.greatest(F.col("applied_at") - ring_size, F.lit(0)).cast("bigint").alias("lo"))
-    )
-    following = starts.select((F.col("version") - 1).alias("version"), F.col("lo").alias("hi"))
-    return (
-        starts.join(following, "version", "left")
-        .withColumn("hi", F.coalesce("hi", last_seq + 1))
-        .where(F.col("lo") < F.col("hi"))
-        .select(F.col("version").alias("revision"), "lo", "hi")
-    )
+    base = revisions.sparkSession.range(1).select(F.col("id").alias("lo"), F.lit(FIRST_REVISION).cast("bigint").alias("version"))
+    reach = F.greatest(F.col("applied_at") - ring_size, F.lit(0)).cast("bigint")
+    return base.unionByName(revisions.select(reach.alias("lo"), F.col("version").cast("bigint").alias("version"))).groupBy("lo").agg(F.max("version").alias("version"))
 
 
 def with_revision(events: DataFrame, revisions: DataFrame, ring_size: int, bits: int = RUN_BITS) -> DataFrame:
     """Add ``revision``: the newest revision that could still rescore the event.
 
-    Ranges are cut at runs of 2**bits arrivals, so the interval join is an equi-join on the run.
+    An as-of merge: events and revision starts are united and ordered inside runs of 2**bits arrivals, where each event
+    takes the newest start so far. The newest start of all earlier runs is carried on as one row per run, so no event meets
+    a range that does not cover it.
     """
-    last_seq = events.agg(F.coalesce(F.max("seq"), F.lit(-1))).scalar()
-    ranges = revision_ranges(revisions, ring_size, last_seq)
-    pieces = ranges.withColumn("_run", F.explode(F.sequence(run_of("lo", bits), run_of(F.col("hi") - 1, bits))))
-    return (
-        events.withColumn("_run", run_of("seq", bits))
-        .join(pieces, "_run")
-        .where((F.col("seq") >= F.col("lo")) & (F.col("seq") < F.col("hi")))
-        .drop("_run", "lo", "hi")
-    )
+    starts = revision_starts(revisions, ring_size).withColumn("_run", run_of("lo", bits))
+    newest = starts.groupBy("_run").agg(F.max("version").alias("version"))
+    inside = W.orderBy("_run")  # one row per run that has a start
+    upto = F.max("version").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    last_run = events.agg(F.coalesce(run_of(F.max("seq"), bits), F.lit(0))).scalar()
+    until = F.coalesce(F.lead("_run").over(inside), F.greatest(last_run, F.col("_run") + 1))
+    spans = newest.select((F.col("_run") + 1).alias("first"), until.alias("last"), upto.alias("_carried"))
+    carried = spans.select(F.explode(F.sequence("first", "last", F.lit(1).cast("bigint"))).alias("_run"), "_carried")
+    rows = events.select("seq", F.struct(*events.columns).alias("_event"), F.lit(None).cast("bigint").alias("version"))
+    marks = starts.select(F.col("lo").alias("seq"), F.lit(None).cast(rows.schema["_event"].dataType).alias("_event"), "version")
+    merged = rows.unionByName(marks).withColumn("_run", run_of("seq", bits))
+    order = W.partitionBy("_run").orderBy("seq", F.col("_event").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    placed = merged.withColumn("_here", F.max("version").over(order)).where("_event IS NOT NULL")
+    return placed.join(carried, "_run", "left").select("_event.*", F.greatest(F.coalesce("_here", F.lit(0)), F.coalesce("_carried", F.lit(0))).cast("bigint").alias("revision"))
 
 
 def rescored(
@@ -161,6 +161,7 @@ def rescored(
     """
     s = settings or PolicySettings()
     placed = with_revision(events, revisions, s.ring_size, bits)
+    placed = materialize(placed, "revised")  # matching reads it several times
     matched = match_rules(placed, rule_lifetimes(journal), active=F.col("revision"), interval=("v_from", "v_to"))
     return verdicts(
         decide(matched),
