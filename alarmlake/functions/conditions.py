@@ -56,47 +56,48 @@ def _number_kind(value: Column) -> Column:
     return F.when(value.isNull(), F.lit(_NULL)).when(finite, F.lit(_NUMBER)).otherwise(F.lit(_MISSING))
 
 
-def _from_map(column: str, key: Column) -> tuple[Column, Column, Column]:
-    """(has the key, kind, number) of one map entry."""
-    value = F.try_element_at(F.col(column), key)
-    return _false_if_null(F.map_contains_key(column, key)), _number_kind(value), value
+def _seen(kind: Column, number: Column | None = None, text: Column | None = None, flag: Column | None = None) -> Column:
+    """An observation: its kind and the one value of that kind."""
+    parts = (("number", number, "double"), ("text", text, "string"), ("flag", flag, "boolean"))
+    return F.struct(kind.alias("kind"), *[(F.lit(None) if value is None else value).cast(form).alias(name) for name, value, form in parts])
+
+
+def _direct(field: Column) -> Column:
+    """Observation of a field of the event itself; null where the field is no such field or is absent."""
+    found = F.when(field.isin(*NOT_SCALAR), _seen(F.lit(_MISSING)))
+    for name in ALWAYS_TEXT:
+        found = found.when(field == name, _seen(F.when(F.col(name).isNull(), _NULL).otherwise(_TEXT), text=F.col(name)))
+    for name in ALWAYS_NUMBER:
+        found = found.when(field == name, _seen(F.when(F.col(name).isNull(), _NULL).otherwise(_NUMBER), number=F.col(name)))
+    for name in OPTIONAL_FLAG:
+        found = found.when((field == name) & F.col(name).isNotNull(), _seen(F.lit(_FLAG), flag=F.col(name)))
+    for name in OPTIONAL_TEXT:
+        found = found.when((field == name) & F.col(name).isNotNull(), _seen(F.lit(_TEXT), text=F.col(name)))
+    for name in OPTIONAL_NUMBER:
+        found = found.when((field == name) & F.col(name).isNotNull(), _seen(_number_kind(F.col(name)), number=F.col(name)))
+    return found
+
+
+def _mapped(field: Column) -> Column:
+    """Observation from the signals or the features; missing where neither has the key."""
+    inner = F.substring_index(field, ".", -1)
+    found = []
+    for column in ("signals", "features"):
+        named = (inner == field) | (F.substring_index(field, ".", 1) == column)
+        value = F.try_element_at(F.col(column), inner)
+        found.append(F.when(named & _false_if_null(F.map_contains_key(column, inner)), _seen(_number_kind(value), number=value)))
+    return F.coalesce(*found, _seen(F.lit(_MISSING)))
 
 
 def condition_holds(condition: Column) -> Column:
     """One declared condition: direct fields first, then signals, then features; an explicit
-    ``signals.x`` or ``features.x`` selects just that map. Booleans never equal numbers."""
+    ``signals.x`` or ``features.x`` selects just that map. Booleans never equal numbers.
+
+    Branches are lazy, so a condition on a map never tests the fields one by one for their values. A one-element
+    array binds the observation to a name, so it is resolved once per condition.
+    """
     field = condition["field"]
-    dotted = F.contains(field, F.lit("."))
-    space = F.substring_index(field, ".", 1)
-    inner = F.when(dotted, F.substring_index(field, ".", -1)).otherwise(field)
-    has_signal, signal_kind, signal_value = _from_map("signals", inner)
-    has_feature, feature_kind, feature_value = _from_map("features", inner)
-    use_signal = has_signal & (~dotted | (space == "signals"))
-    use_feature = has_feature & ((~dotted & ~has_signal) | (dotted & (space == "features")))
-    kind = F.when(use_signal, signal_kind).when(use_feature, feature_kind).otherwise(F.lit(_MISSING))
-    number = F.when(use_signal, signal_value).when(use_feature, feature_value)
-    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    for name in OPTIONAL_NUMBER:
-        here = (field == name) & F.col(name).isNotNull()
-        kind, number = F.when(here, _number_kind(F.col(name))).otherwise(kind), F.when(here, F.col(name)).otherwise(number)
-    for name in OPTIONAL_TEXT:
-        here = (field == name) & F.col(name).isNotNull()
-        kind, text = F.when(here, F.lit(_TEXT)).otherwise(kind), F.when(here, F.col(name)).otherwise(text)
-    for name in OPTIONAL_FLAG:
-        here = (field == name) & F.col(name).isNotNull()
-        kind, flag = F.when(here, F.lit(_FLAG)).otherwise(kind), F.when(here, F.col(name)).otherwise(flag)
-    for name in ALWAYS_NUMBER:
-        here = field == name
-        kind = F.when(here, F.when(F.col(name).isNull(), F.lit(_NULL)).otherwise(F.lit(_NUMBER))).otherwise(kind)
-        number = F.when(here, F.col(name).cast("double")).otherwise(number)
-    for name in ALWAYS_TEXT:
-        here = field == name
-        kind = F.when(here, F.when(F.col(name).isNull(), F.lit(_NULL)).otherwise(F.lit(_TEXT))).otherwise(kind)
-        text = F.when(here, F.col(name)).otherwise(text)
-    kind = F.when(field.isin(*NOT_SCALAR), F.lit(_MISSING)).otherwise(kind)
-    # A one-element array binds the observation to a name, so it is resolved once per condition.
-    actual = F.array(F.struct(kind.alias("kind"), number.alias("number"), text.alias("text"), flag.alias("flag")))
-    return F.exists(actual, lambda a: _compare(a, condition))
+    return F.exists(F.array(F.coalesce(_direct(field), _mapped(field))), lambda a: _compare(a, condition))
 
 
 def _compare(actual: Column, condition: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from alarmlake.operators.rules import KEEP, decide, match_rules, verdicts
+from alarmlake.operators.rules import KEEP, decide, match_rules, shapes_of, verdicts
 from alarmlake.plans.segments import RUN_BITS, run_of, running_total
 from alarmlake.session import materialize
 from alarmlake.settings import PolicySettings
@@ -162,7 +162,8 @@ def rescored(
     s = settings or PolicySettings()
     placed = with_revision(events, revisions, s.ring_size, bits)
     placed = materialize(placed, "revised")  # matching reads it several times
-    matched = match_rules(placed, rule_lifetimes(journal), active=F.col("revision"), interval=("v_from", "v_to"))
+    lifetimes = materialize(rule_lifetimes(journal), "lifetimes")
+    matched = match_rules(placed, lifetimes, active=F.col("revision"), interval=("v_from", "v_to"), shapes=shapes_of(lifetimes))
     return verdicts(
         decide(matched),
         [*(keep or KEEP), "revision"],

@@ -31,41 +31,57 @@ def _key(shape: str, value: Column) -> Column:
     return F.concat(F.lit(f"{shape}:"), value.cast("string"))
 
 
-def matching_pairs(events: DataFrame, rules: DataFrame, active: Column | None = None, interval: tuple[str, str] | None = None) -> DataFrame:
+SHAPES = ("code", "station", "signal", "any")
+
+
+def rule_shape() -> Column:
+    """What a rule is filed under: the first of code, station, signal that its scope names, or nothing."""
+    shape = F.lit("any")
+    for name, field in (("signal", "signal"), ("station", "turbine_id"), ("code", "alarm_code")):
+        shape = F.when(F.col(f"scope.{field}").isNotNull(), F.lit(name)).otherwise(shape)
+    return shape
+
+
+def shapes_of(rules: DataFrame) -> frozenset[str]:
+    """The shapes that occur, so that matching leaves out the joins no rule needs. Runs a job over the rule table."""
+    return frozenset(r["shape"] for r in rules.select(rule_shape().alias("shape")).distinct().collect())
+
+
+def matching_pairs(events: DataFrame, rules: DataFrame, active: Column | None = None, interval: tuple[str, str] | None = None, shapes: frozenset[str] = frozenset(SHAPES)) -> DataFrame:
     """seq and rule of every match.
 
-    A rule is filed under the first of code, station, signal that its scope names; events meet the rules filed under
-    their own values by equi-joins, and the rest of the scope is tested on those pairs only. Rules that name nothing are
-    filed under 64 salts, so the events that all meet them are spread.
+    A rule is filed under its shape; events meet the rules filed under their own values by equi-joins, and the rest of the
+    scope is tested on those pairs only. Rules that name nothing are filed under 64 salts, so the events that all meet them
+    are spread. ``shapes`` may name the only shapes that occur.
     """
     extra = list(interval) if interval else []
-    filed = rules.select(F.struct(*RULE_FIELDS, *extra).alias("_rule"))
+    filed = rules.select(F.struct(*RULE_FIELDS, *extra).alias("_rule"), rule_shape().alias("_shape"))
     code, station, signal = (F.col(f"_rule.scope.{f}") for f in ("alarm_code", "turbine_id", "signal"))
     salts = F.transform(F.sequence(F.lit(0), F.lit(WILDCARD_SALTS - 1)), lambda i: _key("any", i))
-    keys = (
-        F.when(code.isNotNull(), F.array(_key("code", code)))
-        .when(station.isNotNull(), F.array(_key("station", station)))
-        .when(signal.isNotNull(), F.array(_key("signal", signal)))
-        .otherwise(salts)
-    )
+    shape = F.col("_shape")
+    keys = F.when(shape == "code", F.array(_key("code", code))).when(shape == "station", F.array(_key("station", station))).when(shape == "signal", F.array(_key("signal", signal))).otherwise(salts)
     filed = filed.select("_rule", F.explode(keys).alias("_key"))
-    own = F.array_compact(F.array(_key("code", F.col("alarm_code")), _key("station", F.col("turbine_id")), _key("any", F.pmod(F.xxhash64("seq"), F.lit(WILDCARD_SALTS)))))
+    values = {"code": F.col("alarm_code"), "station": F.col("turbine_id"), "any": F.pmod(F.xxhash64("seq"), F.lit(WILDCARD_SALTS))}
+    own = F.array_compact(F.array(*[_key(name, value) for name, value in values.items() if name in shapes]))
     test = rule_matches(F.col("_rule"))
     if interval:
         test = (F.col(f"_rule.{interval[0]}") <= active) & (active < F.col(f"_rule.{interval[1]}")) & test
-    direct = events.withColumn("_key", F.explode(own)).join(filed, "_key").where(test).select("seq", "_rule")
-    # Signals can be many per event: only their names travel to the rules filed under a signal.
-    names = F.array_union(F.array_compact(F.array("signal")), F.array_union(_names("signals"), _names("features")))
-    named = events.select("seq", F.explode(F.array_distinct(names)).alias("_name")).select("seq", _key("signal", F.col("_name")).alias("_key")).join(filed, "_key").drop("_key")
-    by_signal = events.join(named, "seq").where(test).select("seq", "_rule")
-    return direct.unionByName(by_signal)
+    found = []
+    if shapes - {"signal"} or not shapes:
+        found.append(events.withColumn("_key", F.explode(own)).join(filed, "_key").where(test).select("seq", "_rule"))
+    if "signal" in shapes:
+        # Signals can be many per event: only their names travel to the rules filed under a signal.
+        names = F.array_union(F.array_compact(F.array("signal")), F.array_union(_names("signals"), _names("features")))
+        named = events.select("seq", F.explode(F.array_distinct(names)).alias("_name")).select("seq", _key("signal", F.col("_name")).alias("_key")).join(filed, "_key").drop("_key")
+        found.append(events.join(named, "seq").where(test).select("seq", "_rule"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def _names(column: str) -> Column:
     return F.coalesce(F.map_keys(column), F.array().cast("array<string>"))
 
 
-def match_rules(events: DataFrame, rules: DataFrame, active: Column | None = None, interval: tuple[str, str] | None = None) -> DataFrame:
+def match_rules(events: DataFrame, rules: DataFrame, active: Column | None = None, interval: tuple[str, str] | None = None, shapes: frozenset[str] = frozenset(SHAPES)) -> DataFrame:
     """Add ``matches``: the matching rules of each event in learn order.
 
     ``interval`` names rule columns bounding a revision range and ``active`` is the event's revision. No job runs
@@ -73,7 +89,7 @@ def match_rules(events: DataFrame, rules: DataFrame, active: Column | None = Non
     """
     if events.isStreaming:
         return match_in_place(events, rules)
-    found = matching_pairs(events, rules, active, interval).groupBy("seq").agg(F.array_sort(F.collect_list(_brief(F.col("_rule")))).alias("_found"))
+    found = matching_pairs(events, rules, active, interval, shapes).groupBy("seq").agg(F.array_sort(F.collect_list(_brief(F.col("_rule")))).alias("_found"))
     joined = events.join(found, "seq", "left")
     kind = joined.schema["_found"].dataType
     return joined.select(*events.columns, F.coalesce("_found", F.array().cast(kind)).alias("matches"))
@@ -201,8 +217,9 @@ KEEP = ["seq", "ts", "turbine_id", "alarm_code"]
 
 
 def score(events: DataFrame, rules: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
-    """Match, decide and give a verdict for every event."""
-    return verdicts(decide(match_rules(events, rules)), keep or KEEP, **options)
+    """Match, decide and give a verdict for every event. Events are written once, since matching reads them several times."""
+    stored = materialize(events, "events")
+    return verdicts(decide(match_rules(stored, rules, shapes=shapes_of(rules))), keep or KEEP, **options)
 
 
 # Allowed names and shapes of rule fields.
