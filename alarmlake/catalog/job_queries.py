@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alarmlake.catalog.base import ORACLES, query, sql
-from alarmlake.catalog.event_queries import stored_metrics
+from alarmlake.catalog.event_queries import readings_text, stored_metrics
 from alarmlake.catalog.metrics_queries import _GROUPS, PAIR_S, SUPPORT
 from alarmlake.catalog.rule_queries import _STEP, _one_rule, _throttle_sql
+from alarmlake.functions import features
 from alarmlake.operators import filters, lookup, rules
 from alarmlake.plans import jobs
 from alarmlake.session import scratch_path
 from alarmlake.sources import adapters as A
 from alarmlake.sources import raw_files, scans, sinks
-from alarmlake.streaming import live
+from alarmlake.streaming import folds, live
 
 r6 = lambda c: F.round(c, 6)
 LOG_COLUMNS = ["TimeOn", "TimeOff", "StationNr", "Alarmcode"]
@@ -167,51 +168,84 @@ def _(spark, d):
 # --- streams ----------------------------------------------------------------------------
 
 
-FILES, FILES_A_BATCH = 24, 8
+ROWS_A_FILE, FILES_A_BATCH = 1000, 4  # so a micro-batch has a fixed size and their number grows with the table
 
 
-def _stream(spark, df, label):
-    path = raw_files.stage_stream(df, scratch_path(spark, label), FILES)
+def _stream(spark, df, label, by="seq"):
+    files = 1 + df.count() // ROWS_A_FILE
+    path = raw_files.stage_stream(df, scratch_path(spark, label), files, by)
     return live.event_stream(spark, path, df.schema, FILES_A_BATCH)
 
 
-@query("STR3_flood_stream", sql("SELECT start, n FROM bursts WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM alarms)", "bursts"))
+@query("STR3_flood_stream", sql("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", count(*) n,
+  array_to_string(list_sort(list(DISTINCT alarm_code)), ',') codes FROM alarms GROUP BY 1, 2 HAVING count(*) > 16""", "alarms"))
 def _(spark, d):
     a = A.alarms(spark, d)
-    stream = _stream(spark, a, "alarms-in")
-    out = live.flood_windows(stream, "1 hour", 16)
-    return live.run_available(out, scratch_path(spark, "floods"), scratch_path(spark, "ckpt")).select("start", "n")
+    stream = _stream(spark, a.unionByName(live.closing_row(a, "1 hour")), "alarms-in")
+    out = live.run_available(live.flood_windows(stream, "1 hour", 16), scratch_path(spark, "floods"), scratch_path(spark, "ckpt"))
+    return out.withColumn("codes", F.array_join(out.codes.cast("array<string>"), ","))
 
 
 @query("STR4_collapse_stream", sql("SELECT seq, hidden FROM fold", "alarms", **_throttle_sql(14400000000, _STEP, ["turbine_id"])))
 def _(spark, d):
-    rows = _one_rule(spark, d).drop("generation")
-    stream = _stream(spark, rows, "collapse-in")
-    return live.run_available(live.collapse(stream), scratch_path(spark, "collapsed"), scratch_path(spark, "ckpt")).select("seq", "hidden")
+    stream = _stream(spark, _one_rule(spark, d).drop("generation"), "collapse-in")
+    return folds.collapse(stream, scratch_path(spark, "collapsed")).select("seq", "hidden")
+
+
+@query("STR9_reset_stream", sql("SELECT seq, hidden FROM fold", "alarms", **_throttle_sql(14400000000, _STEP, ["turbine_id", "generation"])))
+def _(spark, d):
+    stream = _stream(spark, _one_rule(spark, d), "reset-in")
+    return folds.collapse(stream, scratch_path(spark, "reset"), "generation").select("seq", "hidden")
 
 
 @query("STR5_detector_stream", sql("SELECT r.seq, round(coalesce(z.score, 0.0), 4) score FROM scada_long r LEFT JOIN zscores z ON z.seq = r.seq", "scada_long", "zscores"))
 def _(spark, d):
     rows = A.scada_long(spark, d).select("seq", "turbine_id", "signal", "value")
-    stream = _stream(spark, rows, "readings-in")
-    out = live.run_available(live.rolling_scores(stream, 12), scratch_path(spark, "scores"), scratch_path(spark, "ckpt"))
+    out = folds.rolling_scores(_stream(spark, rows, "readings-in"), scratch_path(spark, "scores"), 12)
     return out.select("seq", F.round("score", 4).alias("score"))
 
 
-@query("STR7_verdict_stream", sql('SELECT seq, "show", suppressed_by FROM verdict', "verdict"))
+_LIVE = {
+    "z": """SELECT seq, CASE WHEN n < 2 THEN 0.0 WHEN lo = hi THEN abs(val - lo) / 1e-9 ELSE abs(val - mean) / greatest(std, 1e-9) END score FROM
+      (SELECT seq, val, count(val) OVER w n, avg(val) OVER w mean, stddev_pop(val) OVER w std, min(val) OVER w lo, max(val) OVER w hi FROM scored
+       WINDOW w AS (PARTITION BY turbine_id, sig ORDER BY seq ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))""",
+    "chance": "SELECT d.*, 1 / (1 + exp(-(val / 10 - 3))) p FROM decided d",
+    "hid": """SELECT c.*, c.stage = 'classify' AND c.rule_code IS NOT NULL AND c.p >= 0.9 AS cls, c.stage = 'suppress' OR coalesce(f.hidden, false) OR (c.stage = 'classify' AND c.rule_code IS NOT NULL AND c.p >= 0.9) AS gone
+      FROM chance c LEFT JOIN folded f ON f.seq = c.seq""",
+}
+
+
+@query("STR7_verdict_stream", sql("""SELECT h.seq, h.stage, NOT gone AS "show", CASE WHEN cls THEN 'classifier:' || r.rule_id WHEN gone THEN r.rule_id END suppressed_by,
+  round(CASE WHEN h.stage = 'critical' THEN 1.0 WHEN h.stage = 'escalate' THEN CAST(h.esc AS DOUBLE) WHEN h.stage = 'classify' THEN CASE WHEN gone THEN p ELSE 1 - p END ELSE CAST(r.confidence AS DOUBLE) END, 6) confidence,
+  round(z.score, 4) anomaly_score FROM hid h JOIN z ON z.seq = h.seq LEFT JOIN rules r ON r.code = h.rule_code""", "decided", "folded", "rules", **_LIVE))
 def _(spark, d):
-    e = A.scored_events(spark, d)
-    stream = _stream(spark, e, "events-in")
-    out = live.scored(stream, A.sample_rules(spark, d))
-    return live.run_available(out, scratch_path(spark, "verdicts"), scratch_path(spark, "ckpt")).select("seq", "show", "suppressed_by")
+    stream = _stream(spark, A.scored_events(spark, d), "events-in")
+    chance = features.sigmoid(F.element_at(F.map_values("signals"), 1) / 10 - 3)
+    out = folds.verdict_stream(stream, A.sample_rules(spark, d), scratch_path(spark, "verdicts"), ["seq", "ts", "turbine_id"], chance, window=12)
+    return out.select("seq", "stage", "show", "suppressed_by", r6("confidence").alias("confidence"), F.round("anomaly_score", 4).alias("anomaly_score"))
 
 
-@query("STR10_live_counters", sql('SELECT CASE WHEN ts < \'2024-01-15\' THEN 0 ELSE 1 END generation, count(*) FILTER (alarm_code IS NOT NULL AND "show") shown, count(*) FILTER (alarm_code IS NOT NULL AND NOT "show") suppressed, max(seq) last_seq FROM verdict GROUP BY 1', "verdict"))
+_COUNTED = {
+    "v": "SELECT *, CASE WHEN ts < '2024-01-15' THEN 0 ELSE 1 END generation, epoch_us(ts) us, alarm_code IS NOT NULL AND \"show\" visible, alarm_code IS NOT NULL AND NOT \"show\" gone FROM verdict",
+    "last": "SELECT *, max(us) OVER (PARTITION BY generation) newest FROM (SELECT *, row_number() OVER (PARTITION BY generation ORDER BY seq DESC) r FROM v) WHERE r <= 2000",
+    "rate": "SELECT generation, count(*) FILTER (visible AND us > newest - 3600000000) visible_per_hour FROM last GROUP BY 1",
+}
+
+
+@query("STR10_live_counters", sql("""SELECT v.generation, count(*) FILTER (visible) shown, count(*) FILTER (gone) suppressed, round(count(*) FILTER (gone) / nullif(count(*) FILTER (visible OR gone), 0), 6) suppression_rate,
+  any_value(visible_per_hour) visible_per_hour, max(seq) last_seq FROM v JOIN rate ON rate.generation = v.generation GROUP BY 1""", "verdict", **_COUNTED))
 def _(spark, d):
     generation = F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"), 0).otherwise(1)
-    v = rules.score(A.scored_events(spark, d), A.sample_rules(spark, d)).select("seq", "alarm_code", "show", generation.alias("generation"))
-    stream = _stream(spark, v, "verdicts-in")
-    return live.run_counters(live.live_counters(stream), scratch_path(spark, "counters"), scratch_path(spark, "ckpt"))
+    v = rules.score(A.scored_events(spark, d), A.sample_rules(spark, d)).select("seq", "ts", "alarm_code", "show", generation.alias("generation"))
+    rows = folds.live_counters(_stream(spark, v, "verdicts-in"), scratch_path(spark, "counters"), ring_size=2000)
+    return folds.newest_counters(rows).withColumn("suppression_rate", r6("suppression_rate"))
+
+
+@query("STR1_two_source_stream", sql("SELECT seq, ts, turbine_id, alarm_code, is_alarm, readings FROM stream", "stream"))
+def _(spark, d):
+    alarms, readings = _stream(spark, A.alarms(spark, d), "alarms-in", "ts"), _stream(spark, A.scada_grid(spark, d), "grid-in", "ts")
+    out = folds.merged_stream(alarms, readings, scratch_path(spark, "merged"))
+    return out.select("seq", "ts", "turbine_id", "alarm_code", "is_alarm", readings_text().alias("readings"))
 
 
 # --- jobs -------------------------------------------------------------------------------

@@ -29,9 +29,9 @@ def _z(value: Column, n: Column, mean: Column, std: Column, previous: Column) ->
     return F.when(n < 2, F.lit(0.0)).otherwise(finite)
 
 
-def zscores(readings: DataFrame, window: int = DETECTOR_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def zscores(readings: DataFrame, window: int = DETECTOR_WINDOW, block_rows: int = BLOCK_ROWS, keys: list[str] | None = None) -> DataFrame:
     """Add ``score``: absolute population z-score of each reading against the previous
-    ``window`` non-null readings of its (station, signal); null readings score 0.
+    ``window`` non-null readings of its key, (station, signal) by default; null readings score 0.
 
     Keys are cut into blocks of ``block_rows`` rows that repeat the ``window`` rows before them, so
     every frame stays whole and a long key is spread.
@@ -39,7 +39,7 @@ def zscores(readings: DataFrame, window: int = DETECTOR_WINDOW, block_rows: int
     if window < 2:
         raise ValueError("window must be at least 2")
     seen = readings.withColumn("_seen", F.col("value").isNotNull() & ~F.isnan("value"))
-    keys = [*ASSET_SIGNAL, "_seen"]
+    keys = [*(keys or ASSET_SIGNAL), "_seen"]
     seen = blocks_with_halo(row_numbers(seen, keys), "_rn", max(block_rows, window), window)
     part = W.partitionBy(*keys, "_block").orderBy("_rn")
     frame = part.rowsBetween(-window, -1)

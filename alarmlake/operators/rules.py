@@ -62,7 +62,7 @@ def matching_pairs(events: DataFrame, rules: DataFrame, active: Column | None =
     keys = F.when(shape == "code", F.array(_key("code", code))).when(shape == "station", F.array(_key("station", station))).when(shape == "signal", F.array(_key("signal", signal))).otherwise(salts)
     filed = filed.select("_rule", F.explode(keys).alias("_key"))
     values = {"code": F.col("alarm_code"), "station": F.col("turbine_id"), "any": F.pmod(F.xxhash64("seq"), F.lit(WILDCARD_SALTS))}
-    own = F.array_compact(F.array(*[_key(name, value) for name, value in values.items() if name in shapes]))
+    own = F.array_compact(F.array(*[_key(name, value) for name, value in values.items() if name in shapes])).cast("array<string>")
     test = rule_matches(F.col("_rule"))
     if interval:
         test = (F.col(f"_rule.{interval[0]}") <= active) & (active < F.col(f"_rule.{interval[1]}")) & test
@@ -85,29 +85,14 @@ def match_rules(events: DataFrame, rules: DataFrame, active: Column | None = Non
     """Add ``matches``: the matching rules of each event in learn order.
 
     ``interval`` names rule columns bounding a revision range and ``active`` is the event's revision. No job runs
-    before the action. A stream takes the in-place form, since it cannot be regrouped.
+    before the action. Streams are matched batch by batch.
     """
-    if events.isStreaming:
-        return match_in_place(events, rules)
     found = matching_pairs(events, rules, active, interval, shapes).groupBy("seq").agg(F.array_sort(F.collect_list(_brief(F.col("_rule")))).alias("_found"))
     joined = events.join(found, "seq", "left")
     kind = joined.schema["_found"].dataType
     return joined.select(*events.columns, F.coalesce("_found", F.array().cast(kind)).alias("matches"))
 
 
-def match_in_place(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matches of a stream: the rules of an event's code and those without a code, tested on the event itself.
-
-    The rule table of a stream is static; its rules travel with the events as arrays.
-    """
-    packed = F.array_sort(F.collect_list(F.struct(*RULE_FIELDS)))
-    by_code = rules.where("scope.alarm_code IS NOT NULL").groupBy(F.col("scope.alarm_code").alias("_code")).agg(packed.alias("_coded"))
-    joined = events.join(by_code, events.alarm_code == F.col("_code"), "left").withColumn("_open", rules.where("scope.alarm_code IS NULL").agg(packed).scalar())
-    none = F.array().cast(joined.schema["_coded"].dataType)
-    found = F.concat(*[F.filter(F.coalesce(c, none), rule_matches) for c in ("_coded", "_open")])
-    return joined.withColumn("matches", F.transform(F.array_sort(found), _brief)).drop("_coded", "_open", "_code")
-
-
 def _with_action(*tests) -> Column:
     return F.filter("matches", lambda r: _all([t(r) for t in tests]))
 
@@ -166,21 +151,8 @@ def decide(matched: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(
-    decided: DataFrame,
-    keep: list[str],
-    probability: Column | None = None,
-    threshold: float = NUISANCE_THRESHOLD,
-    collapse_window_s: int = COLLAPSE_WINDOW_S,
-    bits: int = RUN_BITS,
-    generation: str | None = None,
-) -> DataFrame:
-    """show / suppressed_by / confidence for decided events.
-
-    Only events whose deciding rule is a collapse take the stateful branch. ``generation``
-    restarts collapse state after a stream reset. Without a trained classifier the nuisance
-    probability is one half.
-    """
+def _flat(decided: DataFrame, keep: list[str], probability: Column | None, collapse_window_s: int) -> DataFrame:
+    """What a verdict needs of a decided event, written once: matching is the costly step and is read several times."""
     p = F.lit(0.5) if probability is None else probability
     window = F.coalesce(F.nullif("window_s", F.lit(0)), F.lit(collapse_window_s))
     flat = decided.select(
@@ -192,16 +164,15 @@ def verdicts(
         micros("ts").alias("us"),
         (window * 1_000_000).cast("bigint").alias("width_us"),
     )
-    # Matching is the costly step and the branches below read its result several times.
-    flat = materialize(flat, "decided")
-    keys = ["rule_id", "turbine_id", *([generation] if generation else [])]
-    collapse = F.col("stage") == "collapse"
-    repeats = throttle(flat.where(collapse), keys, bits=bits)
-    rest = flat.where(~collapse).withColumn("hidden", F.lit(None).cast("boolean"))
+    return materialize(flat, "decided")
+
+
+def _judged(rest: DataFrame, repeats: DataFrame, keep: list[str], threshold: float) -> DataFrame:
+    """show, suppressed_by, confidence; ``repeats`` are the events of collapse rules with ``hidden``."""
     stage, rule = F.col("stage"), F.col("rule_id")
     by_classifier = (stage == "classify") & (rule != "") & (F.col("probability") >= threshold)
-    hidden = F.when(stage == "suppress", F.lit(True)).when(collapse, F.col("hidden")).otherwise(by_classifier)
-    return rest.unionByName(repeats).select(
+    hidden = F.when(stage == "suppress", F.lit(True)).when(stage == "collapse", F.col("hidden")).otherwise(by_classifier)
+    return rest.withColumn("hidden", F.lit(None).cast("boolean")).unionByName(repeats).select(
         *keep,
         "stage",
         (~hidden).alias("show"),
@@ -213,6 +184,36 @@ def verdicts(
     )
 
 
+def verdicts(
+    decided: DataFrame,
+    keep: list[str],
+    probability: Column | None = None,
+    threshold: float = NUISANCE_THRESHOLD,
+    collapse_window_s: int = COLLAPSE_WINDOW_S,
+    bits: int = RUN_BITS,
+    generation: str | None = None,
+) -> DataFrame:
+    """show / suppressed_by / confidence for decided events.
+
+    Only events whose deciding rule is a collapse take the stateful branch. ``generation``
+    restarts collapse state after a stream reset. Without a trained classifier the nuisance
+    probability is one half.
+    """
+    flat = _flat(decided, keep, probability, collapse_window_s)
+    keys = ["rule_id", "turbine_id", *([generation] if generation else [])]
+    collapse = F.col("stage") == "collapse"
+    return _judged(flat.where(~collapse), throttle(flat.where(collapse), keys, bits=bits), keep, threshold)
+
+
+def verdicts_from(decided: DataFrame, keep: list[str], anchors: DataFrame, probability: Column | None, threshold: float, collapse_window_s: int, generation: str | None, fold) -> tuple[DataFrame, DataFrame]:
+    """``verdicts`` of one batch of a stream by ``fold`` (rows, keys, anchors before), and the anchors it leaves."""
+    flat = _flat(decided, keep, probability, collapse_window_s)
+    keys = ["rule_id", "turbine_id", *([generation] if generation else [])]
+    collapse = F.col("stage") == "collapse"
+    repeats, after = fold(flat.where(collapse), keys, anchors)
+    return _judged(flat.where(~collapse), repeats, keep, threshold), after
+
+
 KEEP = ["seq", "ts", "turbine_id", "alarm_code"]
 
 

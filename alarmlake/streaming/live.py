@@ -1,27 +1,11 @@
-"""Structured Streaming forms of the window, collapse, detector and counter operators."""
+"""File streams, watermarked windows and bounded runs; stateful operators are in ``folds``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from alarmlake.operators.rules import decide, match_rules
-from alarmlake.operators.throttle import hide_repeats
-from alarmlake.plans.segments import micros
-from alarmlake.settings import (
-    COLLAPSE_WINDOW_S,
-    DETECTOR_WINDOW,
-    FLOOD_THRESHOLD,
-    FLOOD_WINDOW,
-    MAX_DOUBLE,
-    STD_FLOOR,
-)
+from alarmlake.settings import FLOOD_THRESHOLD, FLOOD_WINDOW
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -42,85 +26,12 @@ def flood_windows(events: DataFrame, window: str = FLOOD_WINDOW, threshold: int
     )
 
 
-def collapse(rows: DataFrame) -> DataFrame:
-    """Collapse on a stream of (rule_id, turbine_id, seq, us, width_us): state is one anchor.
-
-    Arrivals of one micro-batch are folded in ``seq`` order.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        anchor = state.get[0] if state.exists else None
-        hidden, anchor = hide_repeats(pdf["us"].to_numpy(), int(pdf["width_us"].iat[0]), anchor)
-        state.update((anchor,))
-        yield pd.DataFrame({"seq": pdf["seq"], "rule_id": key[0], "turbine_id": key[1], "hidden": hidden})
-
-    return rows.groupBy("rule_id", "turbine_id").applyInPandasWithState(
-        step, "seq bigint, rule_id string, turbine_id string, hidden boolean", "anchor bigint", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _score_ring(values: np.ndarray, ring: list[float], window: int) -> tuple[list[float], list[float]]:
-    """Score each value against the ring before it, then add it."""
-    history = np.concatenate([np.asarray(ring, dtype=float), values])
-    scores = []
-    for i in range(len(ring), len(history)):
-        past = history[max(0, i - window) : i]
-        if len(past) < 2:
-            scores.append(0.0)
-            continue
-        center = past[0] if past.min() == past.max() else past.mean()
-        spread = max(0.0 if past.min() == past.max() else past.std(), STD_FLOOR)
-        with np.errstate(over="ignore"):
-            score = abs(history[i] - center) / spread
-        scores.append(float(min(score, MAX_DOUBLE)))
-    return scores, history[-window:].tolist()
-
-
-def rolling_scores(readings: DataFrame, window: int = DETECTOR_WINDOW) -> DataFrame:
-    """z-scores on a stream of (seq, turbine_id, signal, value): state is the last readings."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("seq").reset_index(drop=True)
-        ring = list(state.get[0]) if state.exists else []
-        seen = pdf["value"].notna().to_numpy()
-        scores = np.zeros(len(pdf))
-        scores[seen], ring = _score_ring(pdf.loc[seen, "value"].to_numpy(), ring, window)
-        state.update((ring,))
-        yield pd.DataFrame({"seq": pdf["seq"], "turbine_id": key[0], "signal": key[1], "score": scores})
-
-    return readings.groupBy("turbine_id", "signal").applyInPandasWithState(
-        step, "seq bigint, turbine_id string, signal string, score double", "ring array<double>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def scored(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Verdict stream without a trained classifier: matching is stateless, only collapse keeps state."""
-    window = F.coalesce(F.nullif("window_s", F.lit(0)), F.lit(COLLAPSE_WINDOW_S))
-    flat = decide(match_rules(events, rules)).select(
-        "seq", "turbine_id", "stage", "rule_id", micros("ts").alias("us"), (window * 1_000_000).cast("bigint").alias("width_us")
-    )
-    repeats = collapse(flat.where("stage = 'collapse'").select("rule_id", "turbine_id", "seq", "us", "width_us"))
-    rest = flat.where("stage <> 'collapse'").select(
-        "seq", F.coalesce("rule_id", F.lit("")).alias("rule_id"), "turbine_id", (F.col("stage") == "suppress").alias("hidden")
-    )
-    return rest.union(repeats).select(
-        "seq", "turbine_id", (~F.col("hidden")).alias("show"), F.when(F.col("hidden"), F.col("rule_id")).alias("suppressed_by")
-    )
-
-
-def live_counters(verdicts: DataFrame) -> DataFrame:
-    """Running shown / suppressed counts per stream generation."""
-    alarm = F.col("alarm_code").isNotNull()
-    return verdicts.groupBy("generation").agg(
-        F.count_if(alarm & F.col("show")).alias("shown"),
-        F.count_if(alarm & ~F.col("show")).alias("suppressed"),
-        F.max("seq").alias("last_seq"),
-    )
-
-
-def every_two_seconds(writer: DataStreamWriter) -> DataStreamWriter:
-    return writer.trigger(processingTime="2 seconds")
+def closing_row(rows: DataFrame, window: str = FLOOD_WINDOW, delay: str = FLOOD_WINDOW) -> DataFrame:
+    """One more row after the end of a bounded stream: its time moves the watermark past every open window."""
+    last = rows.agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+    late = F.col("ts") + F.expr(f"INTERVAL {window}") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 SECOND")
+    made = last.where("ts IS NOT NULL").select((F.col("seq") + 1).alias("seq"), late.cast(rows.schema["ts"].dataType).alias("ts"))
+    return made.select(*[F.col(f.name) if f.name in ("seq", "ts") else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -135,18 +46,3 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
-
-
-def run_counters(counters: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Update-mode counters into one table per micro-batch; returns the newest row per generation."""
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    query = (
-        counters.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    spark = counters.sparkSession
-    latest = spark.read.parquet(path).groupBy("generation").agg(F.max_by(F.struct("shown", "suppressed", "last_seq"), "batch_id").alias("s"))
-    return latest.select("generation", "s.shown", "s.suppressed", "s.last_seq")

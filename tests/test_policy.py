@@ -65,7 +65,7 @@ def test_scope_matches_signals_and_wildcards(spark):
     assert got == {0: ["r1", "r2", "r4"], 1: ["r4"], 2: ["r3", "r4"], 3: ["r3", "r4"], 4: ["r3", "r4"]}
 
 
-def test_join_and_in_place_forms_agree_and_run_no_job_early(spark):
+def test_every_shape_matches_and_no_job_runs_early(spark):
     shapes = [(c, st, sg) for c in (5, None) for st in ("a", None) for sg in ("t", None)]
     table = [rule(i, "suppress", code=c, station=st, signal=sg) for i, (c, st, sg) in enumerate(shapes)] + [rule(20 + i, "suppress", station="a") for i in range(7)]
     evs = [event(i, c, st, signals={"t": 1.0} if i % 2 else None, signal="t" if i % 3 == 0 else None) for i, (c, st) in enumerate([(5, "a"), (5, "b"), (6, "a"), (None, "a"), (6, "b")] * 3)]
@@ -76,7 +76,15 @@ def test_join_and_in_place_forms_agree_and_run_no_job_early(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     ids = lambda df: {x.seq: [m.rule_id for m in x.matches] for x in df.collect()}
     got = ids(joined)
-    assert got == ids(rules.match_in_place(e, r)) and len(got) == len(evs)
+    assert rules.shapes_of(r) == {"code", "station", "signal", "any"}
+    want = {x[0]: [] for x in evs}
+    assert set(got) == set(want)
+    for i, shape in enumerate(("code", "station", "signal", "any")):
+        some = r.where(rules.rule_shape() == shape)
+        part = ids(rules.match_rules(e, some, shapes=frozenset({shape})))
+        assert part == ids(rules.match_rules(e, some)) and any(part.values())
+        want = {k: v + part[k] for k, v in want.items()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert got[1] == ["r2", "r3", "r6", "r7"]  # code 5 on another station, with the signal
 
 

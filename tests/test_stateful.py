@@ -12,7 +12,6 @@ from alarmlake.operators import detect, events
 from alarmlake.operators.throttle import throttle
 from alarmlake.plans import segments
 from alarmlake.sources import adapters
-from alarmlake.streaming.live import _score_ring
 
 
 def readings(spark, values, key=("a", "s")):
@@ -51,13 +50,6 @@ def test_hot_key_blocks_match_statistics(spark, limit):
     assert scores(readings(spark, values), 12, limit) == pytest.approx(want, rel=1e-9)
 
 
-def test_stream_ring_equals_batch(spark):
-    values = np.random.default_rng(1).normal(size=200)
-    first, ring = _score_ring(values[:70], [], 12)
-    second, _ = _score_ring(values[70:], ring, 12)
-    assert scores(readings(spark, values), 12) == pytest.approx(first + second, rel=1e-9)
-
-
 @pytest.mark.parametrize("bits", [2, 5, 20])
 def test_row_numbers_and_running_scale(spark, sf_dir, bits):
     r = adapters.scada_long(spark, sf_dir)
