@@ -224,21 +224,25 @@ def _(spark, d):
 
 # --- learning ---------------------------------------------------------------------------
 
-_RECENT = {
-    "ring": "SELECT * FROM scored ORDER BY seq DESC LIMIT 2000",
-    "new_rule": "SELECT min(code) code FROM rules WHERE kind = 0",
-    "flags": """SELECT e.seq, e.alarm_code = (SELECT code FROM new_rule) mine, e.is_critical OR coalesce(p.esc, 0) > 0 protected, coalesce(p.anysup, 0) > 0 covered
-      FROM ring e LEFT JOIN (SELECT seq, max(confidence) FILTER (action = 'escalate') esc, count(*) FILTER (action = 'suppress') anysup FROM matched GROUP BY seq) p ON p.seq = e.seq WHERE e.alarm_code IS NOT NULL""",
-    "labelled": "SELECT seq, CASE WHEN mine AND NOT protected THEN 1 ELSE 0 END AS label FROM flags WHERE mine OR protected OR NOT covered",
+_RING = "SELECT * FROM scored ORDER BY seq DESC LIMIT 2000"
+_FLAGS = "SELECT e.seq, e.turbine_id, e.us, e.alarm_code, e.is_critical OR coalesce(p.esc, false) prot, coalesce(p.sup, false) sup FROM ring e LEFT JOIN (SELECT seq, bool_or(action = 'escalate') esc, bool_or(action = 'suppress') sup FROM matched GROUP BY seq) p ON p.seq = e.seq"
+_CAUGHT = "SELECT m.rule_id, f.turbine_id, f.seq, f.us FROM flags f JOIN matched m ON m.seq = f.seq WHERE m.action = 'collapse' AND NOT f.prot"
+_MINTED = {
+    "ring": _RING,
+    "flags": _FLAGS,
+    **_throttle_sql(14400000000, _CAUGHT, ["rule_id", "turbine_id"]),
+    "labelled": """SELECT r.rule_id, r.code, f.seq, CAST(m.seq IS NOT NULL AND NOT f.prot AND (r.action = 'suppress' OR (r.action = 'collapse' AND coalesce(d.hidden, false))) AS INT) AS label
+      FROM flags f CROSS JOIN taught r LEFT JOIN matched m ON m.seq = f.seq AND m.rule_id = r.rule_id LEFT JOIN fold d ON d.seq = f.seq AND d.rule_id = r.rule_id
+      WHERE (r.kind = 6 OR f.alarm_code IS NOT NULL) AND (m.seq IS NOT NULL OR f.prot OR NOT f.sup)""",
+    "classes": "SELECT rule_id, code, label, count(*) n, CAST(sum(seq) AS BIGINT) seqs, sum(count(*)) OVER (PARTITION BY rule_id) total, count(*) OVER (PARTITION BY rule_id) kinds FROM labelled GROUP BY 1, 2, 3",
 }
 
 
-@query("RUL4_example_minting", sql("SELECT seq, label, round(CASE WHEN (SELECT count(DISTINCT label) FROM labelled) = 2 THEN (SELECT count(*) FROM labelled) / (2 * (count(*) OVER (PARTITION BY label))) ELSE 1.0 END, 6) weight FROM labelled", "matched", "rules", **_RECENT))
+@query("RUL4_example_minting", sql("SELECT rule_id, label, n, seqs, round(CASE WHEN kinds = 2 THEN total / (2 * n) ELSE 1.0 END, 6) weight FROM classes", "matched", "rules", **{"taught": "SELECT * FROM rules", **_MINTED}))
 def _(spark, d):
-    r = A.sample_rules(spark, d)
-    new = r.where("action = 'suppress' AND pattern.kind = 'code_match' AND scope.turbine_id IS NULL").orderBy("rule_order").limit(1)
-    others = r.join(new.select("rule_id"), "rule_id", "left_anti").select(*r.columns)
-    return learn.mint_examples(A.scored_events(spark, d), others, new).select("seq", "label", r6("weight").alias("weight"))
+    r = A.sample_rules(spark, d)  # every rule is taught while all others are active
+    batches = learn.mint_batches(A.scored_events(spark, d), r, r)
+    return batches.groupBy("rule_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"), r6(F.max("weight")).alias("weight"))
 
 
 def _taught(spark, d):
@@ -247,13 +251,16 @@ def _taught(spark, d):
     return r.limit(0), new, learn.mint_examples(A.scored_events(spark, d), r.limit(0), new)
 
 
-@query("RUL5_learn_lines")
+@query("RUL5_learn_lines", sql("""SELECT (SELECT count(*) FROM rules) * 2 + (SELECT count(*) FROM lifetimes WHERE v_to < 4611686018427387904) + 2 * i - 1 AS line, 'learn' AS op, NULL::BIGINT model_version, rule_id, NULL::BIGINT examples, NULL::DOUBLE weight FROM new
+  UNION ALL SELECT (SELECT count(*) FROM rules) * 2 + (SELECT count(*) FROM lifetimes WHERE v_to < 4611686018427387904) + 2 * i, 'commit', (SELECT count(*) FROM rules) + (SELECT count(*) FROM lifetimes WHERE v_to < 4611686018427387904) + 1 + i, n.rule_id,
+    CAST(any_value(total) AS BIGINT), round(sum(CASE WHEN kinds = 2 THEN total / 2 ELSE total END), 4) FROM new n JOIN classes c ON 'fresh-' || c.rule_id = n.rule_id GROUP BY n.rule_id, i""",
+  "matched", "rules", "lifetimes", **{"taught": "SELECT * FROM rules WHERE kind = 5", **_MINTED, "new": "SELECT 'fresh-' || rule_id rule_id, row_number() OVER (ORDER BY code) i FROM taught"}))
 def _(spark, d):
     r = A.sample_rules(spark, d)
-    new = r.where("pattern.kind = 'learned'").orderBy("rule_order").limit(1).withColumn("rule_id", F.lit("fresh"))
-    batch = learn.mint_examples(A.scored_events(spark, d), r, new)
-    lines = learn.learn_lines(A.sample_journal(spark, d), new, batch)
-    return lines.select("line", "op", "model_version", F.coalesce("rule.rule_id", "rule_id").alias("rule_id"), F.size("examples").alias("examples"))
+    new = r.where("pattern.kind = 'learned'").withColumn("rule_id", F.concat(F.lit("fresh-"), "rule_id"))
+    lines = learn.learn_lines(A.sample_journal(spark, d), new, learn.mint_examples(A.scored_events(spark, d), r, new))
+    weight = F.round(F.aggregate("examples", F.lit(0.0), lambda a, e: a + e["weight"]), 4)
+    return lines.select("line", "op", "model_version", F.coalesce("rule.rule_id", "rule_id").alias("rule_id"), F.size("examples").cast("bigint").alias("examples"), weight.alias("weight"))
 
 
 @query("RUL5_unused_ids", sql("SELECT concat('r', CAST(p_partkey * 2 AS VARCHAR)) rule_id FROM part WHERE concat('r', CAST(p_partkey * 2 AS VARCHAR)) NOT IN (SELECT rule_id FROM lifetimes)", "lifetimes"))

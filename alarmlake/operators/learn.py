@@ -12,66 +12,67 @@ from alarmlake.functions.conditions import is_critical
 from alarmlake.functions.features import encoded_features, numeric_features, sigmoid
 from alarmlake.operators.events import ring
 from alarmlake.operators.journal import active_batches, active_rules
-from alarmlake.operators.rules import RULE_FIELDS, match_rules
+from alarmlake.operators.rules import RULE_FIELDS, matching_pairs, rule_violations, shapes_of
 from alarmlake.operators.throttle import throttle
 from alarmlake.plans.segments import dense_sequence, micros
 from alarmlake.session import materialize
 from alarmlake.settings import PolicySettings
 
 
-def mint_examples(events: DataFrame, active: DataFrame, new_rule: DataFrame, at: int | None = None, settings: PolicySettings | None = None) -> DataFrame:
-    """Training batch of one new rule from the ring: seq, features, label, weight.
+def mint_batches(events: DataFrame, active: DataFrame, new_rules: DataFrame, at: int | None = None, settings: PolicySettings | None = None) -> DataFrame:
+    """rule_id, seq, label, weight: the training batch of every new rule from the ring.
 
-    ``new_rule`` holds a single rule. Protected events and the shown representative of a
-    collapse are negatives; events another suppress rule already covers are left out.
-    Weights give both classes the same total.
+    Protected events and the shown representative of a collapse are negatives; events another suppress rule already
+    covers are left out. Weights give both classes of a batch the same total. The ring (at most ``ring_size`` rows) is matched
+    once for all rules. What a rule does not match is the same for all rules, so it is packed as one array of the ring's
+    rows and only the events a rule does match are handled per rule; class sizes follow from counts.
     """
     s = settings or PolicySettings()
-    rule = new_rule.select(
-        F.col("rule_id").alias("new_id"),
-        F.col("action").alias("new_action"),
-        F.col("scope.alarm_code").alias("new_code"),
-        F.coalesce(F.nullif("pattern.window_s", F.lit(0)), F.lit(s.collapse_window_s)).alias("new_window"),
+    recent = materialize(ring(events, s.ring_size, at), "ring")
+    table = active.select(*RULE_FIELDS).unionByName(new_rules.select(*RULE_FIELDS)).dropDuplicates(["rule_id"])
+    hits = matching_pairs(recent, table, shapes=shapes_of(table)).select("seq", F.col("_rule.rule_id").alias("rule_id"), F.col("_rule.action").alias("_action"))
+    hits = materialize(hits, "ring-matches")
+    flags = hits.join(active.select("rule_id"), "rule_id", "left_semi").groupBy("seq").agg(F.max(F.col("_action") == "escalate").alias("_esc"), F.max(F.col("_action") == "suppress").alias("_sup"))
+    protected = is_critical() | F.coalesce("_esc", F.lit(False))
+    flagged = recent.join(flags, "seq", "left").select(
+        "seq", "turbine_id", micros("ts").alias("us"), F.col("alarm_code").isNotNull().alias("coded"), protected.alias("protected"), (protected | ~F.coalesce("_sup", F.lit(False))).alias("common")
     )
-    recent = ring(events, s.ring_size, at)
-    one = recent.select("*", *[rule.select(c).scalar().alias(c) for c in rule.columns])
-    both = active.select(*RULE_FIELDS).unionByName(new_rule.select(*RULE_FIELDS))
-    matched = match_rules(one.where(F.col("new_code").isNull() | F.col("alarm_code").isNotNull()), both)
-    mine = F.exists("matches", lambda r: r["rule_id"] == F.col("new_id"))
-    protected = is_critical() | F.exists("matches", lambda r: r["action"] == "escalate")
-    covered = F.exists("matches", lambda r: r["action"] == "suppress")
-    base = matched.select(
-        "seq",
-        "turbine_id",
-        micros("ts").alias("us"),
-        (F.col("new_window") * 1_000_000).cast("bigint").alias("width_us"),
-        "new_action",
-        mine.alias("mine"),
-        protected.alias("protected"),
-        (mine & (F.col("new_action") != "escalate") & ~protected).alias("candidate"),
-        (~mine & ~protected & covered).alias("elsewhere"),
-        encoded_features(numeric_features()).alias("features"),
-    ).where(~F.col("elsewhere"))
-    base = materialize(base, "ring")  # at most ring-size rows, read by each step below
-    repeats = throttle(
-        base.where(F.col("candidate") & (F.col("new_action") == "collapse")).select("seq", "turbine_id", "us", "width_us"), ["turbine_id"]
-    ).select("seq", "hidden")
-    labelled = base.join(repeats, "seq", "left").select(
-        "seq",
-        "features",
-        F.when(F.col("new_action") == "collapse", F.coalesce("hidden", F.lit(False))).otherwise(F.col("candidate")).cast("int").alias("label"),
-    )
-    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("_size"))
-    total = labelled.agg(F.count(F.lit(1))).scalar()
-    classes = labelled.agg(F.count_distinct("label")).scalar()
-    return labelled.join(sizes, "label").select(
-        "seq",
-        "features",
-        "label",
-        F.when(classes == 2, total / (F.lit(2) * F.col("_size"))).otherwise(F.lit(1.0)).alias("weight"),
+    flagged = materialize(flagged, "ring-flags")
+    width = F.coalesce(F.nullif("pattern.window_s", F.lit(0)), F.lit(s.collapse_window_s)) * 1_000_000
+    new = new_rules.select("rule_id", "action", F.col("scope.alarm_code").isNotNull().alias("coded_only"), width.cast("bigint").alias("width_us"))
+    fits = ~F.col("coded_only") | F.col("coded")
+    candidate = (F.col("action") != "escalate") & ~F.col("protected")
+    mine = hits.select("rule_id", "seq").join(new, "rule_id").join(flagged, "seq").where(fits).withColumn("candidate", candidate)
+    mine = materialize(mine, "ring-own")  # the rows that new rules match
+    repeats = throttle(mine.where("candidate AND action = 'collapse'").select("rule_id", "turbine_id", "seq", "us", "width_us"), ["rule_id", "turbine_id"]).select("rule_id", "seq", "hidden")
+    label = F.when(F.col("action") == "collapse", F.coalesce("hidden", F.lit(False))).otherwise(F.col("candidate")).cast("int")
+    own = mine.join(repeats, ["rule_id", "seq"], "left").select("rule_id", "seq", label.alias("label"), "common")
+    own = materialize(own, "ring-labels")
+    # At most ring_size entries each: the ring's rows, and the rows of one rule.
+    shared = flagged.where("common").agg(F.collect_list(F.struct("seq", "coded"))).scalar()
+    per_rule = own.groupBy("rule_id").agg(F.collect_list("seq").alias("_own"), F.sum("label").alias("_ones"), F.count_if("common").alias("_twice"))
+    batch = new.select("rule_id", "coded_only").join(per_rule, "rule_id", "left").withColumn("_shared", shared)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    usable = F.size(F.filter("_shared", lambda e: ~F.col("coded_only") | e["coded"]))
+    total = usable - zero("_twice") + F.when(F.col("_own").isNull(), 0).otherwise(F.size("_own"))
+    ones = zero("_ones")
+    both = (ones > 0) & (ones < total)
+    sizes = batch.select("*", F.when(both, total / (2 * ones)).otherwise(F.lit(1.0)).alias("_one"), F.when(both, total / (2 * (total - ones))).otherwise(F.lit(1.0)).alias("_zero"))
+    none = F.array().cast("array<bigint>")
+    others = sizes.select("rule_id", "coded_only", "_own", "_zero", F.inline("_shared")).where(fits & ~F.array_contains(F.coalesce("_own", none), F.col("seq")))
+    matched = own.join(sizes.select("rule_id", "_one", "_zero"), "rule_id")
+    return others.select("rule_id", "seq", F.lit(0).alias("label"), F.col("_zero").alias("weight")).unionByName(
+        matched.select("rule_id", "seq", "label", F.when(F.col("label") == 1, F.col("_one")).otherwise(F.col("_zero")).alias("weight"))
     )
 
 
+def mint_examples(events: DataFrame, active: DataFrame, new_rules: DataFrame, at: int | None = None, settings: PolicySettings | None = None) -> DataFrame:
+    """``mint_batches`` with the encoded features of every event."""
+    s = settings or PolicySettings()
+    known = ring(events, s.ring_size, at).select("seq", encoded_features(numeric_features()).alias("features"))
+    return mint_batches(events, active, new_rules, at, s).join(known, "seq").select("rule_id", "seq", "features", "label", "weight")
+
+
 def unused_ids(journal: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules whose id was never committed, undone ones included: an id is used once."""
     used = journal.where("op = 'commit'").select("rule_id").distinct()
@@ -88,37 +89,39 @@ def _line(op: str, version: Column, **fields: Column) -> list[Column]:
     return [c.alias(n) for n, c in typed.items()]
 
 
-def learn_lines(journal: DataFrame, new_rule: DataFrame, examples: DataFrame, settings: PolicySettings | None = None) -> DataFrame:
-    """The learn and commit lines one new rule adds to the journal; a used id raises."""
+def learn_lines(journal: DataFrame, new_rules: DataFrame, examples: DataFrame, settings: PolicySettings | None = None) -> DataFrame:
+    """The learn and commit lines that new rules add to the journal, in rule order; a used id or an invalid rule raises.
+
+    ``examples`` are rows of ``mint_examples``; a rule's batch (at most ring_size examples) goes into its commit line.
+    """
     s = settings or PolicySettings()
-    version = journal.agg(F.coalesce(F.max("model_version"), F.lit(1)) + 1).scalar()
+    version = journal.agg(F.coalesce(F.max("model_version"), F.lit(1))).scalar()
     line = journal.agg(F.coalesce(F.max("line"), F.lit(0))).scalar()
     used = journal.where("op = 'commit'").select("rule_id", F.lit(True).alias("_used")).distinct()
-    rule = F.struct(*[c for c in new_rule.columns if c not in ("rule_order",)])
-    checked = new_rule.join(used, "rule_id", "left").withColumn(
+    problems = rule_violations(new_rules).groupBy("rule_id").agg(F.array_join(F.first("problems"), ", ").alias("_problems"))
+    refused = lambda text, *more: F.raise_error(F.concat(F.lit(text), F.col("rule_id"), *more)).cast("string")
+    checked = dense_sequence(new_rules, [F.col("rule_order")], "_i").join(used, "rule_id", "left").join(problems, "rule_id", "left").withColumn(
         "rule_id",
-        F.when(F.col("_used"), F.raise_error(F.concat(F.lit("rule id already used: "), F.col("rule_id"))).cast("string")).otherwise(F.col("rule_id")),
-    )
-    learned = checked.select((line + 1).alias("line"), *_line("learn", F.lit(None)), rule.alias("rule"))
-    batch = examples.agg(F.array_sort(F.collect_list(F.struct("seq", F.to_json("features").alias("f"), "label", "weight"))).alias("b")).select(
-        F.transform(
-            "b",
-            lambda e: F.struct(
-                F.from_json(e["f"], "map<string,double>").alias("features"), e["label"].alias("label"), e["weight"].alias("weight")
-            ),
-        ).alias("examples")
+        F.when(F.col("_used"), refused("rule id already used: "))
+        .when(F.col("_problems") != "", refused("invalid rule ", F.lit(": "), F.col("_problems")))
+        .otherwise(F.col("rule_id")),
     )
-    commit = checked.select(
-        (line + 2).alias("line"),
+    rule = F.struct(*[c for c in new_rules.columns if c not in ("rule_order",)])
+    learned = checked.select((line + 2 * F.col("_i") + 1).alias("line"), *_line("learn", F.lit(None)), rule.alias("rule"))
+    entry = F.struct("seq", F.to_json("features").alias("f"), "label", "weight")
+    batches = examples.groupBy(F.col("rule_id").alias("_of")).agg(F.array_sort(F.collect_list(entry)).alias("_b"))
+    read = F.transform("_b", lambda e: F.struct(F.from_json(e["f"], "map<string,double>").alias("features"), e["label"].alias("label"), e["weight"].alias("weight")))
+    commit = checked.join(batches, F.col("rule_id") == F.col("_of"), "left").select(
+        (line + 2 * F.col("_i") + 2).alias("line"),
         *_line(
             "commit",
-            version,
+            version + F.col("_i") + 1,
             rule_id=F.col("rule_id"),
             learning_rate=F.lit(s.learning_rate),
             nuisance_threshold=F.lit(s.nuisance_threshold),
             collapse_window_s=F.lit(s.collapse_window_s).cast("bigint"),
             feature_encoding_version=F.lit(1),
-            examples=batch.scalar(),
+            examples=read,
         ),
     )
     return materialize(learned.unionByName(commit, allowMissingColumns=True), "learned")
