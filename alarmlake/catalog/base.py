@@ -41,7 +41,7 @@ TABLES = {
         l_quantity, l_extendedprice, nullif(l_discount, 0.0) l_discount, l_tax FROM lineitem""",
     "raw_log": """SELECT l_orderkey * 10 + l_linenumber seq, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') time_on,
         CASE WHEN l_returnflag <> 'N' THEN strftime(l_shipdate + to_minutes(CAST(l_quantity AS INT)), '%Y-%m-%dT%H:%M:%S') END time_off,
-        CAST(l_suppkey % 27 AS VARCHAR) station, CAST(l_partkey % 100 AS VARCHAR) code FROM lineitem""",
+        CAST(l_suppkey % 27 AS VARCHAR) station, CAST(l_partkey AS VARCHAR) code FROM lineitem""",
     "bins": """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) n FROM alarms GROUP BY 1""",
     "bursts": "SELECT * FROM bins WHERE n > 16",
     "runs": """SELECT min(start) AS start, max(start) + INTERVAL 1 HOUR AS stop, count(*) bins, CAST(sum(n) AS BIGINT) records, max(n) peak

@@ -328,9 +328,9 @@ def _(spark, d):
 # --- text -------------------------------------------------------------------------------
 
 
-@query("FUN3_fold_spaces", r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) folded FROM documents")
+@query("FUN3_fold_spaces", r"SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) folded FROM documents")
 def _(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", text.collapse_spaces(F.lower("text")).alias("folded"))
+    return A.table(spark, d, "documents").select("doc_id", text.collapse_spaces(text.casefolded(F.col("text"))).alias("folded"))
 
 
 @query("FUN4_normalize", r"""SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), 'don''t', 'do not'), 'that''s', 'that is'), 'it''s', 'it is'), 'can''t', 'cannot'), '[^a-z0-9]+', ' ', 'g')) normal FROM documents""")
@@ -393,10 +393,11 @@ def _(spark, d):
     return A.sample_rules(spark, d).select("rule_id", F.sha2(jsontext.rule_json(), 256).alias("digest"))
 
 
-@query("FUN15_strict_json", """SELECT event_id, event_id % 3 = 0 duplicate_keys, event_id % 5 = 0 nonfinite FROM events""")
+@query("FUN15_strict_json", """SELECT event_id, event_id % 3 = 0 OR event_id % 4 = 0 duplicate_keys, event_id % 5 = 0 nonfinite FROM events""")
 def _(spark, d):
     e = A.table(spark, d, "events")
-    tail = F.when(F.col("event_id") % 3 == 0, ', "k": 1').otherwise("")
+    deep = F.when(F.col("event_id") % 4 == 0, ', "x": [{"k": {"a": 1, "\\u0061": 2}}]').otherwise(', "x": [{"k": {"a": "}"}}, {"k": "a\\": {"}]')
+    tail = F.concat(deep, F.when(F.col("event_id") % 3 == 0, ', "k": 1').otherwise(""))
     odd = F.when(F.col("event_id") % 5 == 0, ', "x": NaN').otherwise(', "x": "NaN, Infinity"')
     j = F.concat(F.rtrim(F.col("props"), F.lit("}")), tail, F.lit("}"))
     full = F.concat(F.rtrim(F.col("props"), F.lit("}")), odd, F.lit("}"))

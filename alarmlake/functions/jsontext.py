@@ -16,10 +16,27 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: A string with the colon that makes it a key, or a brace; braces and colons inside strings are part of the string.
+KEY_OR_BRACE = r'"(?:\\.|[^"\\])*"\s*:?|[{}]'
+
+
 def has_duplicate_keys(json: Column) -> Column:
-    """True when a JSON object repeats a top-level key; null when it is no object."""
-    keys = F.json_object_keys(json)
-    return F.size(keys) != F.size(F.array_distinct(keys))
+    """True when any object of a JSON text repeats a key, at whatever depth; null when the text is no object.
+
+    One walk over the keys and braces numbers the objects and keeps the open ones on a stack; a key belongs to the
+    innermost. Keys are compared as the text they stand for, so an escaped spelling is the same key.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("count"), F.array().cast("array<struct<of:int,key:string>>").alias("keys"))
+
+    def step(state: Column, token: Column) -> Column:
+        opens, closes, key = token == "{", token == "}", F.endswith(token, F.lit(":"))
+        inner = F.when(opens, F.array_append(state["open"], state["count"])).when(closes & (F.size(state["open"]) > 0), F.slice(state["open"], 1, F.size(state["open"]) - 1)).otherwise(state["open"])
+        name = F.try_element_at(F.from_json(F.concat(F.lit("["), F.regexp_replace(token, r"\s*:$", ""), F.lit("]")), "array<string>"), F.lit(1))
+        found = F.struct(F.try_element_at(state["open"], F.lit(-1)).alias("of"), name.alias("key"))
+        return F.struct(inner.alias("open"), F.when(opens, state["count"] + 1).otherwise(state["count"]).alias("count"), F.when(key, F.array_append(state["keys"], found)).otherwise(state["keys"]).alias("keys"))
+
+    repeated = F.aggregate(F.regexp_extract_all(json, F.lit(KEY_OR_BRACE), F.lit(0)), start, step, lambda s: F.size(s["keys"]) != F.size(F.array_distinct(s["keys"])))
+    return F.when(json.rlike(r"^\s*\{"), repeated)
 
 
 # Fixed value: bare tokens that strict JSON does not allow as values.

@@ -37,9 +37,16 @@ def rule_lifetimes(journal: DataFrame) -> DataFrame:
     )
 
 
+def checked(journal: DataFrame) -> DataFrame:
+    """The journal, refused as a whole: reading it raises with the line and the problem of its first broken constraint."""
+    first = journal_violations(journal).agg(F.min(F.struct("line", "problem")).alias("f")).select(F.concat(F.lit("broken journal, line "), F.col("f.line").cast("string"), F.lit(": "), F.col("f.problem")))
+    fault = first.scalar()
+    return journal.withColumn("op", F.when(fault.isNull(), F.col("op")).otherwise(F.raise_error(fault).cast("string")))
+
+
 def active_rules(journal: DataFrame, version: int | None = None) -> DataFrame:
-    """Rules active at a revision (the latest by default)."""
-    rules = rule_lifetimes(journal)
+    """Rules active at a revision (the latest by default); a broken journal is refused."""
+    rules = rule_lifetimes(checked(journal))
     at = F.lit(version) if version is not None else F.lit(OPEN_END - 1)
     return rules.where((F.col("v_from") <= at) & (at < F.col("v_to")))
 
@@ -162,7 +169,7 @@ def rescored(
     s = settings or PolicySettings()
     placed = with_revision(events, revisions, s.ring_size, bits)
     placed = materialize(placed, "revised")  # matching reads it several times
-    lifetimes = materialize(rule_lifetimes(journal), "lifetimes")
+    lifetimes = materialize(rule_lifetimes(checked(journal)), "lifetimes")
     matched = match_rules(placed, lifetimes, active=F.col("revision"), interval=("v_from", "v_to"), shapes=shapes_of(lifetimes))
     return verdicts(
         decide(matched),

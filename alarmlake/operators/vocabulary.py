@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alarmlake.functions.text import collapse_spaces, label_aliases, strip
+from alarmlake.functions.text import casefolded, collapse_spaces, label_aliases, strip
 from alarmlake.settings import UNDOCUMENTED
 
 
@@ -53,7 +53,7 @@ def conflicts(alarms: DataFrame, lookup: DataFrame, metadata: DataFrame) -> Data
     )
     ambiguous = (
         codes.where(F.col("description") != UNDOCUMENTED)
-        .groupBy(collapse_spaces(F.lower("description")).alias("d"))
+        .groupBy(collapse_spaces(casefolded(F.col("description"))).alias("d"))
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select(kind("ambiguous_description"), text("d"))

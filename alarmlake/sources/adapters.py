@@ -95,7 +95,7 @@ def raw_alarm_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("TimeOn"),
         F.when(F.col("l_returnflag") != "N", end).alias("TimeOff"),
         (F.col("l_suppkey") % 27).cast("string").alias("StationNr"),
-        (F.col("l_partkey") % 100).cast("string").alias("Alarmcode"),
+        F.col("l_partkey").cast("string").alias("Alarmcode"),
     )
 
 

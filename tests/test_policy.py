@@ -214,6 +214,52 @@ def test_learned_rule_stays_inside_its_scope(spark, sf_dir):
     assert all(r.alarm_code == code and r.suppressed_by == f"classifier:r{code}" and r.confidence >= 0.9 for r in hidden)
 
 
+BROKEN = {
+    "nonsequential_version": ("model_version", "line = 6", "model_version + 1"),
+    "unknown_op": ("op", "line = 5", "'forget'"),
+    "commit_without_learn": ("op", "line = 9", "'commit'"),
+    "changed_settings": ("collapse_window_s", "line = 8", "collapse_window_s + 1"),
+    "invalid_settings": ("nuisance_threshold", "op = 'commit'", "0.4D"),
+    "encoding_version": ("feature_encoding_version", "line = 4", "2"),
+    "schema_version": ("schema_version", "line = 3", "7"),
+    "invalid_example": ("examples", "line = 10", "transform(examples, e -> named_struct('features', e.features, 'label', 3, 'weight', e.weight))"),
+}
+
+
+@pytest.mark.parametrize("problem", BROKEN)
+def test_broken_journals_are_refused(spark, sf_dir, problem):
+    column, where, value = BROKEN[problem]
+    whole = spark.createDataFrame(adapters.sample_journal(spark, sf_dir).where("line <= 12").collect(), adapters.sample_journal(spark, sf_dir).schema)
+    kind = dict(whole.dtypes)[column]
+    j = whole.withColumn(column, F.expr(f"CASE WHEN {where} THEN CAST({value} AS {kind}) ELSE {column} END"))
+    assert journal.active_rules(whole).count() == 6
+    with pytest.raises(Exception, match="broken journal, line [0-9]+: "):
+        journal.active_rules(j).collect()
+    if problem == "nonsequential_version":
+        with pytest.raises(Exception, match="broken journal, line 6: nonsequential_version"):
+            journal.rescored(adapters.scored_events(spark, sf_dir), j, adapters.sample_revisions(spark, sf_dir)).collect()
+
+
+def test_many_rules_are_minted_as_one_by_one(spark, sf_dir):
+    e, r = adapters.scored_events(spark, sf_dir).where("seq < 400"), adapters.sample_rules(spark, sf_dir).where("rule_order < 14")
+    together = {(x.rule_id, x.seq): (x.label, round(x.weight, 9)) for x in learn.mint_batches(e, r, r).collect()}
+    for name in ("r2", "r4", "r7", "r13"):
+        new = r.where(F.col("rule_id") == name)
+        alone = {(x.rule_id, x.seq): (x.label, round(x.weight, 9)) for x in learn.mint_batches(e, r.where(F.col("rule_id") != name), new).collect()}
+        assert alone == {k: v for k, v in together.items() if k[0] == name}
+
+
+def test_lines_of_many_rules_and_invalid_ones(spark, sf_dir):
+    e, r = adapters.scored_events(spark, sf_dir), adapters.sample_rules(spark, sf_dir)
+    j = adapters.sample_journal(spark, sf_dir)
+    new = r.where("rule_order IN (3, 8, 5)").withColumn("rule_id", F.concat(F.lit("new-"), "rule_id"))
+    lines = learn.learn_lines(j, new, learn.mint_examples(e, r, new))
+    assert [(x.op, x.rule_id or x.rule.rule_id) for x in lines.orderBy("line").collect()] == [(op, f"new-r{k}") for k in (3, 5, 8) for op in ("learn", "commit")]
+    assert journal.journal_violations(j.unionByName(lines, allowMissingColumns=True)).count() == 0
+    with pytest.raises(Exception, match="invalid rule new-r.: confidence"):
+        learn.learn_lines(j, new.withColumn("confidence", F.lit(2.0)), learn.mint_examples(e, r, new)).collect()
+
+
 def test_settings_bounds():
     for bad in ({"learning_rate": 0}, {"nuisance_threshold": 0.5}, {"nuisance_threshold": 1.1}, {"collapse_window_s": 0}):
         with pytest.raises(ValueError):

@@ -56,7 +56,7 @@ def test_row_numbers_over_many_splits(spark):
 
 GOOD = '{"receipt_id":"a","checked_at":"2024-01-01T00:00:00+00:00","operation":"learn"}'
 LINES = [
-    (GOOD, None), (GOOD[:-1], "not_an_object"), (GOOD[:-1] + ',"operation":"x"}', "duplicate_key"), (GOOD[:-1] + ',"v":NaN}', "nonfinite_number"),
+    (GOOD, None), (GOOD[:-1], "not_an_object"), (GOOD[:-1] + ',"operation":"x"}', "duplicate_key"), (GOOD[:-1] + ',"v":[{"a":{"b":1,"\\u0062":2}}]}', "duplicate_key"), (GOOD[:-1] + ',"v":[{"a":"}{"},{"a":"x\\":"}]}', None), (GOOD[:-1] + ',"v":NaN}', "nonfinite_number"),
     (GOOD.replace('"a"', '" "'), "missing_identity"), (GOOD.replace('"a"', "7"), "missing_identity"), (GOOD.replace("+00:00", ""), "naive_timestamp"),
     (GOOD.replace("2024-01-01T", "someday "), "bad_timestamp"), ("[]", "not_an_object"), ("", None), (GOOD.replace("+00:00", "Z"), None), (GOOD[:-1] + ',"v":[{"a":1}]}', None),
 ]
