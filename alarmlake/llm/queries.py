@@ -132,7 +132,8 @@ def op2_log_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_best_fit")
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    packed = best_fit.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    return packed.withColumn("piece", F.col("piece").cast("int"))
 
 
 @_query("op3_ppm")

@@ -6,8 +6,9 @@ import pytest
 
 import corpus_pipeline
 from alarmlake.llm.queries import MIX_SQL
-from tests.llm.brute import groups, kept_lines, simhash
+from tests.llm.brute import kept_lines
 from tests.llm.test_best_fit import check
+from tests.llm.test_set_join import kept
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +46,7 @@ def test_lines(steps):
 def test_near_duplicates(steps):
     _, before, after = steps[2]
     rows = rows_of(before)
-    root = groups([simhash(t) for _, t in rows])
-    assert rows_of(after) == [r for i, r in enumerate(rows) if root[i] == i]
+    assert sorted((str(d), str(t)) for d, t in rows_of(after)) == kept(rows)
 
 
 def test_mixture(steps, tmp_path):
