@@ -217,9 +217,17 @@ def _(spark, d):
     return v.select("seq", "stage", "show", "suppressed_by", "revision")
 
 
-@query("RUL3_newly_suppressed")
+_LATEST = "SELECT max(code) c FROM rules WHERE kind = 0 AND code < 100"
+
+
+@query("RUL3_newly_suppressed", sql("""SELECT concat('r', c) suppressed_by, count(*) n FROM scored e, latest, (SELECT applied_at FROM revisions WHERE version = (SELECT c + 2 FROM latest))
+  WHERE e.alarm_code = c AND e.seq >= applied_at - 500 AND e.seq < applied_at AND NOT e.is_critical AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.seq = e.seq AND m.kind = 6 AND m.code < c) GROUP BY c""", "matched", "revisions", "rules", latest=_LATEST))
 def _(spark, d):
-    return journal.newly_suppressed(A.scored_events(spark, d), A.sample_journal(spark, d), A.sample_revisions(spark, d), 37, RING).groupBy("suppressed_by").agg(F.count(F.lit(1)).alias("n"))
+    # The last rule, among those of the codes that events carry, that suppresses a code at every station.
+    plain = A.sample_rules(spark, d).where("action = 'suppress' AND pattern.kind = 'code_match' AND scope.turbine_id IS NULL AND rule_order < 100")
+    version = plain.agg(F.max("rule_order") + 2).first()[0]
+    hidden = journal.newly_suppressed(A.scored_events(spark, d), A.sample_journal(spark, d), A.sample_revisions(spark, d), version, RING)
+    return hidden.groupBy("suppressed_by").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- learning ---------------------------------------------------------------------------
