@@ -260,10 +260,35 @@ def _(spark, d):
     return detect.running_scale(A.scada_long(spark, d)).select("seq", r6("scaled_before").alias("scaled_before"), r6("scaled_after").alias("scaled_after"))
 
 
-@query("STR6_half_space_trees")
+HST_WINDOW = 32
+_HST = {
+    "forest": "SELECT * FROM (VALUES {}) f (tree, node, signal, split)".format(
+        ", ".join(f"({t}, {i}, '{SIGNALS[f]}', {split!r}e0)" for t, i, f, split in detect.forest_rows(len(SIGNALS)))
+    ),
+    "scaled": """SELECT seq, turbine_id, signal, (row_number() OVER (PARTITION BY turbine_id ORDER BY seq) - 1) // {} AS win,
+        CASE WHEN plo IS NULL OR phi = plo THEN 0.0 ELSE least(1.0, greatest(0.0, (value - plo) / (phi - plo))) END AS before,
+        CASE WHEN uhi = ulo THEN 0.0 ELSE (value - ulo) / (uhi - ulo) END AS after
+      FROM (SELECT *, min(value) OVER p plo, max(value) OVER p phi, min(value) OVER u ulo, max(value) OVER u uhi FROM scada_long WHERE value IS NOT NULL
+        WINDOW p AS (PARTITION BY turbine_id, signal ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY turbine_id, signal ORDER BY seq ROWS UNBOUNDED PRECEDING))""".format(HST_WINDOW),
+    "walk": """SELECT s.seq, s.turbine_id, s.win, s.signal, side.learn, CASE WHEN side.learn THEN s.after ELSE s.before END x, tree, 0 AS node, 0 AS depth
+        FROM scaled s, (VALUES (true), (false)) side (learn), (SELECT DISTINCT tree FROM forest)
+      UNION ALL SELECT w.seq, w.turbine_id, w.win, w.signal, w.learn, w.x, w.tree,
+        2 * w.node + 1 + CASE WHEN (CASE WHEN w.signal = f.signal THEN w.x ELSE 0.0 END) >= f.split THEN 1 ELSE 0 END, w.depth + 1
+        FROM walk w JOIN forest f ON f.tree = w.tree AND f.node = w.node""",
+    "mass": "SELECT turbine_id, win, tree, node, count(*) n FROM walk WHERE learn GROUP BY ALL",
+    "visits": """SELECT w.seq, w.tree, w.depth, w.win, coalesce(m.n, 0) n FROM walk w
+        LEFT JOIN mass m ON m.turbine_id = w.turbine_id AND m.win = w.win - 1 AND m.tree = w.tree AND m.node = w.node WHERE NOT w.learn""",
+    "kept": """SELECT *, count(*) FILTER (n < {}) OVER (PARTITION BY seq, tree ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) light
+        FROM visits""".format(detect.HST_MIN_SHARE * HST_WINDOW),
+}
+_HST_TOP = detect.HST_TREES * HST_WINDOW * (2 ** (detect.HST_DEPTH + 1) - 1)
+
+
+@query("STR6_half_space_trees", sql(f"""SELECT seq, CASE WHEN max(win) = 0 THEN 0.0 ELSE
+  round(1 - sum(CASE WHEN light = 0 THEN n * (1 << depth) ELSE 0 END) / {_HST_TOP}, 9) END anomaly_score FROM kept GROUP BY seq""", "scada_long", **_HST))
 def _(spark, d):
     e = A.scada_long(spark, d).select("seq", "ts", "turbine_id", F.create_map("signal", "value").alias("signals"))
-    return detect.half_space_scores(e, SIGNALS, window=32)
+    return detect.half_space_scores(e, SIGNALS, window=HST_WINDOW).withColumn("anomaly_score", F.round("anomaly_score", 9))
 
 
 # --- time functions ---------------------------------------------------------------------

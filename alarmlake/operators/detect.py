@@ -137,6 +137,12 @@ def _forest(features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return which, split
 
 
+def forest_rows(features: int, seed: int = HST_SEED) -> list[tuple[int, int, int, float]]:
+    """(tree, node, feature, split) of every inner node; the children of node i are 2i + 1 (below the split) and 2i + 2."""
+    which, split = _forest(features, seed)
+    return [(t, i, int(which[t, i]), float(split[t, i])) for t in range(HST_TREES) for i in range(which.shape[1])]
+
+
 def _paths(points: np.ndarray, which: np.ndarray, split: np.ndarray) -> np.ndarray:
     """Node index per (row, tree, depth)."""
     rows = np.arange(len(points))

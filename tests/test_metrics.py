@@ -68,18 +68,44 @@ def test_matches_pairwise_count(spark, window):
     assert got == want
 
 
-@pytest.mark.parametrize("seed,density", [(1, 0.3), (2, 0.6), (3, 0.9)])
-def test_cliques_match_brute_force(spark, seed, density):
+@pytest.mark.parametrize("seed,density,slice_size", [(1, 0.3, 64), (2, 0.6, 2), (3, 0.9, 1), (4, 0.75, 3)])
+def test_cliques_match_brute_force(spark, seed, density, slice_size):
     rng = random.Random(seed)
     n = 11
     pairs = [p for p in itertools.combinations(range(n), 2) if rng.random() < density]
     joined = set(pairs)
     full = [c for k in range(2, n + 1) for c in itertools.combinations(range(n), k) if all(p in joined for p in itertools.combinations(c, 2))]
     want = sorted(c for c in full if not any(set(c) < set(o) for o in full))
-    got = cliques.maximal_cliques(spark.createDataFrame(pairs, "code_a bigint, code_b bigint")).collect()
+    rows = [p[::-1] if rng.random() < 0.5 else p for p in pairs]
+    rows += rows[:3] + [(4, 4), (None, 2)]  # repeated pairs, a loop and a null are no further edges
+    got = cliques.maximal_cliques(spark.createDataFrame(rows, "code_a bigint, code_b bigint"), slice_size).collect()
     assert sorted(tuple(r.codes) for r in got) == want
 
 
+def test_no_search_holds_a_hub(spark):
+    hubs, n = [10_001, 10_002], 2000
+    pairs = [(h, c) for h in hubs for c in range(n)] + [tuple(hubs)] + [(c, c + 1) for c in range(0, n, 2)]
+    e = spark.createDataFrame(pairs, "code_a bigint, code_b bigint")
+    sizes = cliques.search_parts(e).select(F.greatest(F.size("names"), F.size("edges"), F.size("bars")).alias("n")).agg(F.max("n"), F.count("n")).first()
+    assert sizes[0] <= 6 and sizes[1] == n + 1
+    got = sorted(tuple(r.codes) for r in cliques.maximal_cliques(e).collect())
+    assert got == [(c, c + 1, *hubs) for c in range(0, n, 2)]
+
+
+def test_a_wide_search_is_dealt_out(spark):
+    """Even codes meet odd codes only: every pair is a clique, and a code has up to 100 later neighbours."""
+    pairs = [(a, b) for a, b in itertools.combinations(range(200), 2) if a % 2 != b % 2 or a // 2 == b // 2]
+    e = spark.createDataFrame(pairs, "code_a bigint, code_b bigint")
+    parts = cliques.search_parts(e, slice_size=16).agg(F.max("parts"), F.max(F.size("names"))).first()
+    assert parts[0] > 1 and parts[0] == -(-parts[1] // 16)
+    got = sorted(tuple(r.codes) for r in cliques.maximal_cliques(e, slice_size=16).collect())
+    assert got == sorted(tuple(sorted(p)) for p in pairs)
+
+
+def test_no_edges_no_cliques(spark):
+    assert cliques.maximal_cliques(spark.createDataFrame([], "code_a bigint, code_b bigint")).collect() == []
+
+
 def test_bins_are_half_open_and_strict(spark):
     rows = [(0, "a", 1)] * 2 + [(599, "a", 3), (600, "a", 2), (601, "a", 2)]
     got = metrics.find_bursts(alarms(spark, rows), "10 minutes", 2).collect()
