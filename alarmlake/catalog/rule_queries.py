@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from alarmlake.catalog.base import query, sql
 from alarmlake.functions import conditions, features, jsontext, text
 from alarmlake.operators.lookup import with_code_labels
-from alarmlake.operators import instructions, journal, learn, rules, throttle, vocabulary
+from alarmlake.operators import instructions, journal, learn, models, rules, throttle, vocabulary
 from alarmlake.plans.segments import micros
 from alarmlake.settings import PolicySettings
 from alarmlake.sources import adapters as A
@@ -284,6 +284,26 @@ def _(spark, d):
     return journal.active_rules(extended).select("rule_id")
 
 
+# Every example of the sample journal has a feature of its own, so with k active rules all weights of a model are
+# a or -a, where 1 / (1 + exp(a)) = 2 k reg a, and its intercept is 0.
+_REFIT = {
+    "asked": "SELECT max(v_from) AS version FROM lifetimes UNION SELECT max(v_to) FROM lifetimes WHERE v_to < 4611686018427387904",
+    "newton": """SELECT q.version, count(*) k, 0 AS round, 0.0::DOUBLE a FROM asked q JOIN lifetimes l ON l.v_from <= q.version AND q.version < l.v_to GROUP BY q.version
+        UNION ALL SELECT version, k, round + 1, a - (0.02 * k * a - 1 / (1 + exp(a))) / (0.02 * k + exp(a) / ((1 + exp(a)) * (1 + exp(a)))) FROM newton WHERE round < 40""",
+}
+
+
+@query("RUL6_undo_refit", sql("""SELECT n.version, x.feature, round(x.sign * n.a, 6) weight FROM newton n JOIN lifetimes l ON l.v_from <= n.version AND n.version < l.v_to,
+  LATERAL (VALUES (concat('code=', l.i - 1), 1), (concat('entity=', l.i - 1), -1)) x (feature, sign) WHERE n.round = 40
+  UNION ALL SELECT version, '', 0.0 FROM asked""", "lifetimes", **_REFIT))
+def _(spark, d):
+    # Before the first undo and after the last one.
+    batches = journal.batch_lifetimes(A.sample_journal(spark, d))
+    ends = batches.agg(F.max("v_from").alias("a"), F.max(F.when(F.col("v_to") < journal.OPEN_END, F.col("v_to"))).alias("b"))
+    fitted = models.fit_revisions(batches, ends.select(F.explode(F.array_compact(F.array("a", "b"))).alias("version")))
+    return fitted.withColumn("weight", r6("weight") + F.lit(0.0))
+
+
 @query("RUL9_classifier")
 def _(spark, d):
     none, new, batch = _taught(spark, d)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from alarmlake.operators.models import with_revision_probability
 from alarmlake.operators.rules import KEEP, decide, match_rules, shapes_of, verdicts
 from alarmlake.plans.segments import RUN_BITS, run_of, running_total
 from alarmlake.session import materialize
@@ -62,6 +63,16 @@ def active_batches(journal: DataFrame, excluded: str | None = None) -> DataFrame
     )
 
 
+def batch_lifetimes(journal: DataFrame) -> DataFrame:
+    """Every training example with the revision range [v_from, v_to) in which its batch is active; a broken journal is refused."""
+    lines = checked(journal)
+    undone = lines.where("op = 'undo'").groupBy("rule_id").agg(F.min("model_version").alias("v_to"))
+    rows = lines.where("op = 'commit'").select("rule_id", F.col("model_version").alias("v_from"), F.posexplode("examples").alias("position", "e"))
+    return rows.join(undone, "rule_id", "left").select(
+        "rule_id", "v_from", F.coalesce("v_to", F.lit(OPEN_END)).alias("v_to"), "position", "e.features", "e.label", F.coalesce("e.weight", F.lit(1.0)).alias("weight")
+    )
+
+
 def journal_violations(journal: DataFrame) -> DataFrame:
     """(line, problem) for every broken journal constraint."""
     versioned = journal.where(F.col("op").isin("commit", "undo"))
@@ -159,15 +170,21 @@ def rescored(
     keep: list[str] | None = None,
     probability: Column | None = None,
     bits: int = RUN_BITS,
+    models: DataFrame | None = None,
 ) -> DataFrame:
     """Final verdict of every event after all learn and undo steps.
 
+    ``models`` (rows of ``models.fit_revisions``) give each event the probability of its own revision's classifier,
+    in place of one ``probability`` for the whole history.
+
     Each event is judged once, by the rules of its final revision. Final revisions never
     decrease along ``seq``, so one collapse fold over all events equals rescoring the ring
     after every step with the anchor of the last evicted event.
     """
     s = settings or PolicySettings()
     placed = with_revision(events, revisions, s.ring_size, bits)
+    if models is not None:
+        placed, probability = with_revision_probability(placed, models), F.col("probability")
     placed = materialize(placed, "revised")  # matching reads it several times
     lifetimes = materialize(rule_lifetimes(checked(journal)), "lifetimes")
     matched = match_rules(placed, lifetimes, active=F.col("revision"), interval=("v_from", "v_to"), shapes=shapes_of(lifetimes))
@@ -181,8 +198,8 @@ def rescored(
     )
 
 
-def newly_suppressed(events: DataFrame, journal: DataFrame, revisions: DataFrame, version: int, settings: PolicySettings | None = None) -> DataFrame:
-    """Ring events shown before a revision and hidden after it."""
+def newly_suppressed(events: DataFrame, journal: DataFrame, revisions: DataFrame, version: int, settings: PolicySettings | None = None, models: DataFrame | None = None) -> DataFrame:
+    """Ring events shown before a revision and hidden after it, by the rules and, with ``models``, the classifiers of both."""
     s = settings or PolicySettings()
     at = revisions.where(F.col("version") == version).select("applied_at").scalar()
     seen = events.where(F.col("seq") < at)
@@ -190,6 +207,6 @@ def newly_suppressed(events: DataFrame, journal: DataFrame, revisions: DataFrame
     for name, upto in (("before", version - 1), ("after", version)):
         lines = journal.where((F.col("op") == "learn") | (F.col("model_version") <= upto))
         steps = revisions.where(F.col("version") <= upto)
-        sides[name] = rescored(seen, lines, steps, s).where(F.col("seq") >= at - s.ring_size)
+        sides[name] = rescored(seen, lines, steps, s, models=models).where(F.col("seq") >= at - s.ring_size)
     shown = sides["before"].where("show").select("seq")
     return sides["after"].where("NOT show").join(shown, "seq", "left_semi")
