@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 # English number words.
 SMALL_NUMBERS = (
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen "
-    "fifteen sixteen seventeen eighteen nineteen"
-).split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine",
+    "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+)
+TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
 
 # Contractions written out before punctuation is dropped.
 CONTRACTIONS = (("don't", "do not"), ("that's", "that is"), ("it's", "it is"), ("can't", "cannot"))
@@ -94,7 +94,10 @@ def number_words(number: Column) -> Column:
 
 
 def label_aliases(label: Column) -> Column:
-    """Spoken and written forms of a station label; numbered labels get all number forms."""
+    """Spoken and written forms of a station label; numbered labels get all number forms.
+
+    Fixed values: the written and spoken forms.
+    """
     digits = F.regexp_extract(label, r"^[Tt](\d+)$", 1)
     number = digits.try_cast("bigint")
     n = number.cast("string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Column and field names of the tables, rules and journal lines.
 ALARM_COLUMNS = ["ts", "turbine_id", "alarm_code", "description", "stopping"]
 SCADA_COLUMNS = ["ts", "turbine_id", "signal", "value"]
 ALARM_KEY = ["ts", "turbine_id", "alarm_code"]
