@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from alarmlake.operators.models import with_revision_probability
-from alarmlake.operators.rules import KEEP, decide, match_rules, shapes_of, verdicts
+from alarmlake.operators.rules import KEEP, decide, leading_rules, match_rules, shapes_of, verdicts
 from alarmlake.plans.segments import RUN_BITS, run_of, running_total
 from alarmlake.session import materialize
 from alarmlake.settings import PolicySettings
@@ -186,7 +186,7 @@ def rescored(
     if models is not None:
         placed, probability = with_revision_probability(placed, models), F.col("probability")
     placed = materialize(placed, "revised")  # matching reads it several times
-    lifetimes = materialize(rule_lifetimes(checked(journal)), "lifetimes")
+    lifetimes = materialize(leading_rules(rule_lifetimes(checked(journal)), ("v_from", "v_to")), "lifetimes")
     matched = match_rules(placed, lifetimes, active=F.col("revision"), interval=("v_from", "v_to"), shapes=shapes_of(lifetimes))
     return verdicts(
         decide(matched),

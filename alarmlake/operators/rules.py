@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from alarmlake.functions.text import strip
 from alarmlake.functions.conditions import is_critical, rule_matches
@@ -93,6 +94,49 @@ def match_rules(events: DataFrame, rules: DataFrame, active: Column | None = Non
     return joined.select(*events.columns, F.coalesce("_found", F.array().cast(kind)).alias("matches"))
 
 
+def leading_rules(rules: DataFrame, interval: tuple[str, str] | None = None) -> DataFrame:
+    """The rules that can ever decide an event.
+
+    Rules of equal scope and conditions match the same events. Of those with one action and kind only the first in learn
+    order can be picked, and the most confident one can raise the confidence of an escalation; the others never show in
+    ``decide``. So an event meets a few rules for each different predicate, however many rules repeat it.
+
+    With ``interval`` a rule stands back only for an earlier one that is active in the whole of its revision range. Learn
+    order must then be the order of the range starts, as in ``journal.rule_lifetimes``.
+    """
+    brief = F.struct("rule_order", "rule_id", "confidence", "pattern.window_s")
+    alike = {"scope": F.col("scope"), "_conditions": F.col("pattern.conditions"), "action": F.col("action"), "_kind": F.col("pattern.kind")}
+    if interval:
+        start, end = interval
+        sure = F.when(F.col("action") == "escalate", F.col("confidence"))
+        earlier = W.partitionBy(*alike.values(), sure).orderBy(start, brief).rowsBetween(W.unboundedPreceding, -1)
+        seen = rules.select(*RULE_FIELDS, start, end, F.max(end).over(earlier).alias("_seen"))
+        return seen.where(F.col("_seen").isNull() | (F.col("_seen") < F.col(end))).drop("_seen")
+    named = rules.select(brief.alias("_brief"), *[c.alias(n) for n, c in alike.items()])
+    best = F.when(F.col("action") == "escalate", F.max_by("_brief", "_brief.confidence"))
+    kept = named.groupBy(*alike).agg(F.array_distinct(F.array_compact(F.array(F.min("_brief"), best))).alias("_kept"))
+    pattern = F.struct(F.col("_kind").alias("kind"), F.col("_brief.window_s").alias("window_s"), F.col("_conditions").alias("conditions")).alias("pattern")
+    return kept.withColumn("_brief", F.explode("_kept")).select("_brief.rule_order", "_brief.rule_id", "scope", pattern, "action", "_brief.confidence")
+
+
+def _predicate() -> Column:
+    return F.to_json(F.struct("scope", "pattern.conditions"))
+
+
+def matching_predicates(events: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seq, predicate) of every match, as often as ``match_rules`` lists it, and the rules with their ``predicate``.
+
+    Events meet each different scope with conditions once. What the rules that repeat it add is a join on ``predicate``,
+    so nothing is tested again for them and counts need no pairs at all.
+    """
+    named = materialize(rules.select(*RULE_FIELDS, _predicate().alias("predicate")), "predicates")
+    one = named.groupBy("predicate").agg(F.first(F.struct(*RULE_FIELDS)).alias("r")).select(*[f"r.{c}" for c in RULE_FIELDS if c != "rule_id"], F.col("predicate").alias("rule_id"))
+    one = materialize(one, "distinct-predicates")
+    stored = materialize(events, "events")
+    found = matching_pairs(stored, one, shapes=shapes_of(one)).select("seq", F.col("_rule.rule_id").alias("predicate"))
+    return found.join(stored.select("seq"), "seq"), named
+
+
 def _with_action(*tests) -> Column:
     return F.filter("matches", lambda r: _all([t(r) for t in tests]))
 
@@ -112,6 +156,12 @@ def _learned(r: Column) -> Column:
     return r["kind"] == "learned"
 
 
+def match_leading(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """``match_rules`` with ``leading_rules``. Events and rules are written once, since matching reads them several times."""
+    leading = materialize(leading_rules(rules), "leading")
+    return match_rules(materialize(events, "events"), leading, shapes=shapes_of(leading))
+
+
 def decide(matched: DataFrame) -> DataFrame:
     """Add ``stage`` (first applicable step of the fixed precedence), the deciding rule and
     its window. The choice is stateless; only collapse needs history afterwards."""
@@ -218,9 +268,8 @@ KEEP = ["seq", "ts", "turbine_id", "alarm_code"]
 
 
 def score(events: DataFrame, rules: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
-    """Match, decide and give a verdict for every event. Events are written once, since matching reads them several times."""
-    stored = materialize(events, "events")
-    return verdicts(decide(match_rules(stored, rules, shapes=shapes_of(rules))), keep or KEEP, **options)
+    """Match, decide and give a verdict for every event. Events meet the rules that can decide only."""
+    return verdicts(decide(match_leading(events, rules)), keep or KEEP, **options)
 
 
 # Allowed names and shapes of rule fields.
