@@ -12,7 +12,7 @@ from alarmlake.catalog.rule_queries import _STEP, _one_rule, _throttle_sql
 from alarmlake.functions import features
 from alarmlake.operators import filters, lookup, rules
 from alarmlake.plans import jobs
-from alarmlake.session import scratch_path
+from alarmlake.session import materialize, scratch_path
 from alarmlake.sources import adapters as A
 from alarmlake.sources import raw_files, scans, sinks
 from alarmlake.streaming import folds, live
@@ -168,12 +168,16 @@ def _(spark, d):
 # --- streams ----------------------------------------------------------------------------
 
 
-ROWS_A_FILE, FILES_A_BATCH = 1000, 4  # so a micro-batch has a fixed size and their number grows with the table
+ROWS_A_FILE, FILES_A_BATCH = 1000, 4
+SMALL_FILES, ROWS_A_LARGE_FILE = 12, 250_000  # small tables come in three batches, large ones in batches of a million rows
 
 
 def _stream(spark, df, label, by="seq"):
-    files = 1 + df.count() // ROWS_A_FILE
-    path = raw_files.stage_stream(df, scratch_path(spark, label), files, by)
+    """The table as a stream. What a batch costs apart from its rows is paid once for many rows."""
+    rows = materialize(df, f"{label}-rows")
+    count = rows.count()
+    files = max(min(1 + count // ROWS_A_FILE, SMALL_FILES), 1 + count // ROWS_A_LARGE_FILE)
+    path = raw_files.stage_stream(rows, scratch_path(spark, label), files, by)
     return live.event_stream(spark, path, df.schema, FILES_A_BATCH)
 
 

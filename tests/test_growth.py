@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from alarmlake.catalog import job_queries
 from alarmlake.operators import journal, rules
 from alarmlake.sources import adapters
 
@@ -73,3 +74,13 @@ def test_leading_rules_of_revisions_decide_like_all(spark, events):
     decided = lambda t: listed(rules.decide(rules.match_rules(placed, t, F.col("revision"), ("v_from", "v_to"))).select(*KEPT))
     leading = rules.leading_rules(table, ("v_from", "v_to"))
     assert decided(leading) == decided(table) and leading.count() < table.count()
+
+
+def test_batches_of_a_stream_do_not_stay_small(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(job_queries.live, "event_stream", lambda spark, path, *rest: paths.append(path))
+    for n in (3_000, 60_000):
+        job_queries._stream(spark, spark.range(n).withColumnRenamed("id", "seq"), "batches")
+    staged = [spark.read.parquet(p) for p in paths]
+    assert [p.count() for p in staged] == [3_000, 60_000]
+    assert [len(p.inputFiles()) for p in staged] == [4, 12]
