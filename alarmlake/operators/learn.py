@@ -19,13 +19,13 @@ from alarmlake.session import materialize
 from alarmlake.settings import PolicySettings
 
 
-def mint_batches(events: DataFrame, active: DataFrame, new_rules: DataFrame, at: int | None = None, settings: PolicySettings | None = None) -> DataFrame:
-    """rule_id, seq, label, weight: the training batch of every new rule from the ring.
+def batch_classes(events: DataFrame, active: DataFrame, new_rules: DataFrame, at: int | None = None, settings: PolicySettings | None = None) -> tuple[DataFrame, DataFrame]:
+    """The training batches of all new rules from the ring: (rule_id, batch) and the examples (batch, seq, label, weight).
 
     Protected events and the shown representative of a collapse are negatives; events another suppress rule already
     covers are left out. Weights give both classes of a batch the same total. The ring (at most ``ring_size`` rows) is matched
-    once for all rules. What a rule does not match is the same for all rules, so it is packed as one array of the ring's
-    rows and only the events a rule does match are handled per rule; class sizes follow from counts.
+    once for all rules. Rules that match the same rows of the ring with the same labels have equal batches, which are made
+    once: all rules that match nothing in the ring share one batch, or two if some name no code.
     """
     s = settings or PolicySettings()
     recent = materialize(ring(events, s.ring_size, at), "ring")
@@ -49,28 +49,45 @@ def mint_batches(events: DataFrame, active: DataFrame, new_rules: DataFrame, at:
     own = mine.join(repeats, ["rule_id", "seq"], "left").select("rule_id", "seq", label.alias("label"), "common")
     own = materialize(own, "ring-labels")
     # At most ring_size entries each: the ring's rows, and the rows of one rule.
-    shared = flagged.where("common").agg(F.collect_list(F.struct("seq", "coded"))).scalar()
-    per_rule = own.groupBy("rule_id").agg(F.collect_list("seq").alias("_own"), F.sum("label").alias("_ones"), F.count_if("common").alias("_twice"))
-    batch = new.select("rule_id", "coded_only").join(per_rule, "rule_id", "left").withColumn("_shared", shared)
+    common = flagged.where("common")
+    per_rule = own.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("seq", "label"))).alias("_own"), F.sum("label").alias("_ones"), F.count_if("common").alias("_twice"))
+    batch = new.select("rule_id", "coded_only").join(per_rule, "rule_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    usable = F.size(F.filter("_shared", lambda e: ~F.col("coded_only") | e["coded"]))
+    usable = F.when(F.col("coded_only"), common.agg(F.count_if("coded")).scalar()).otherwise(common.agg(F.count(F.lit(1))).scalar())
     total = usable - zero("_twice") + F.when(F.col("_own").isNull(), 0).otherwise(F.size("_own"))
     ones = zero("_ones")
     both = (ones > 0) & (ones < total)
-    sizes = batch.select("*", F.when(both, total / (2 * ones)).otherwise(F.lit(1.0)).alias("_one"), F.when(both, total / (2 * (total - ones))).otherwise(F.lit(1.0)).alias("_zero"))
+    sizes = batch.select("rule_id", "coded_only", "_own", F.when(both, total / (2 * ones)).otherwise(F.lit(1.0)).alias("_one"), F.when(both, total / (2 * (total - ones))).otherwise(F.lit(1.0)).alias("_zero"))
+    sizes = materialize(sizes.withColumn("batch", F.sha2(F.to_json(F.struct("coded_only", "_own", "_one", "_zero")), 256)), "ring-batches")
+    each = materialize(sizes.drop("rule_id").dropDuplicates(["batch"]), "ring-classes")
+    shared = common.agg(F.collect_list(F.struct("seq", "coded"))).scalar()
     none = F.array().cast("array<bigint>")
-    others = sizes.select("rule_id", "coded_only", "_own", "_zero", F.inline("_shared")).where(fits & ~F.array_contains(F.coalesce("_own", none), F.col("seq")))
-    matched = own.join(sizes.select("rule_id", "_one", "_zero"), "rule_id")
-    return others.select("rule_id", "seq", F.lit(0).alias("label"), F.col("_zero").alias("weight")).unionByName(
-        matched.select("rule_id", "seq", "label", F.when(F.col("label") == 1, F.col("_one")).otherwise(F.col("_zero")).alias("weight"))
+    others = each.withColumn("_shared", shared).select("batch", "coded_only", F.col("_own.seq").alias("_own"), "_zero", F.inline("_shared")).where(fits & ~F.array_contains(F.coalesce("_own", none), F.col("seq")))
+    matched = each.select("batch", "_one", "_zero", F.inline("_own"))
+    examples = others.select("batch", "seq", F.lit(0).alias("label"), F.col("_zero").alias("weight")).unionByName(
+        matched.select("batch", "seq", "label", F.when(F.col("label") == 1, F.col("_one")).otherwise(F.col("_zero")).alias("weight"))
     )
+    return sizes.select("rule_id", "batch"), examples
 
 
-def mint_examples(events: DataFrame, active: DataFrame, new_rules: DataFrame, at: int | None = None, settings: PolicySettings | None = None) -> DataFrame:
-    """``mint_batches`` with the encoded features of every event."""
+def mint_batches(events: DataFrame, active: DataFrame, new_rules: DataFrame, at: int | None = None, settings: PolicySettings | None = None) -> DataFrame:
+    """rule_id, seq, label, weight: the training batch of every new rule, one row per rule and example (see ``batch_classes``)."""
+    members, examples = batch_classes(events, active, new_rules, at, settings)
+    return members.join(examples, "batch").select("rule_id", "seq", "label", "weight")
+
+
+def example_classes(events: DataFrame, active: DataFrame, new_rules: DataFrame, at: int | None = None, settings: PolicySettings | None = None) -> tuple[DataFrame, DataFrame]:
+    """``batch_classes`` with the encoded features of every event."""
     s = settings or PolicySettings()
     known = ring(events, s.ring_size, at).select("seq", encoded_features(numeric_features()).alias("features"))
-    return mint_batches(events, active, new_rules, at, s).join(known, "seq").select("rule_id", "seq", "features", "label", "weight")
+    members, examples = batch_classes(events, active, new_rules, at, s)
+    return members, examples.join(known, "seq").select("batch", "seq", "features", "label", "weight")
+
+
+def mint_examples(events: DataFrame, active: DataFrame, new_rules: DataFrame, at: int | None = None, settings: PolicySettings | None = None) -> DataFrame:
+    """``mint_batches`` with the encoded features of every event."""
+    members, examples = example_classes(events, active, new_rules, at, settings)
+    return members.join(examples, "batch").select("rule_id", "seq", "features", "label", "weight")
 
 
 def unused_ids(journal: DataFrame, rules: DataFrame) -> DataFrame:
@@ -89,10 +106,11 @@ def _line(op: str, version: Column, **fields: Column) -> list[Column]:
     return [c.alias(n) for n, c in typed.items()]
 
 
-def learn_lines(journal: DataFrame, new_rules: DataFrame, examples: DataFrame, settings: PolicySettings | None = None) -> DataFrame:
+def learn_lines(journal: DataFrame, new_rules: DataFrame, examples: DataFrame, settings: PolicySettings | None = None, members: DataFrame | None = None) -> DataFrame:
     """The learn and commit lines that new rules add to the journal, in rule order; a used id or an invalid rule raises.
 
-    ``examples`` are rows of ``mint_examples``; a rule's batch (at most ring_size examples) goes into its commit line.
+    ``examples`` are rows of ``mint_examples``; a rule's batch (at most ring_size examples) goes into its commit line. With
+    ``members`` both are those of ``example_classes``. Batches are written once each, and lines take theirs when they are read.
     """
     s = settings or PolicySettings()
     version = journal.agg(F.coalesce(F.max("model_version"), F.lit(1))).scalar()
@@ -106,12 +124,15 @@ def learn_lines(journal: DataFrame, new_rules: DataFrame, examples: DataFrame, s
         .when(F.col("_problems") != "", refused("invalid rule ", F.lit(": "), F.col("_problems")))
         .otherwise(F.col("rule_id")),
     )
+    checked = materialize(checked, "checked")
     rule = F.struct(*[c for c in new_rules.columns if c not in ("rule_order",)])
     learned = checked.select((line + 2 * F.col("_i") + 1).alias("line"), *_line("learn", F.lit(None)), rule.alias("rule"))
     entry = F.struct("seq", F.to_json("features").alias("f"), "label", "weight")
-    batches = examples.groupBy(F.col("rule_id").alias("_of")).agg(F.array_sort(F.collect_list(entry)).alias("_b"))
+    batches = examples.groupBy(F.col("rule_id" if members is None else "batch").alias("_of")).agg(F.array_sort(F.collect_list(entry)).alias("_b"))
     read = F.transform("_b", lambda e: F.struct(F.from_json(e["f"], "map<string,double>").alias("features"), e["label"].alias("label"), e["weight"].alias("weight")))
-    commit = checked.join(batches, F.col("rule_id") == F.col("_of"), "left").select(
+    batches = materialize(batches.select("_of", read.alias("_read")), "batches")
+    owners = checked.withColumn("_batch", F.col("rule_id")) if members is None else checked.join(members.withColumnRenamed("batch", "_batch"), "rule_id", "left")
+    commit = owners.join(batches, F.col("_batch") == F.col("_of"), "left").select(
         (line + 2 * F.col("_i") + 2).alias("line"),
         *_line(
             "commit",
@@ -121,10 +142,10 @@ def learn_lines(journal: DataFrame, new_rules: DataFrame, examples: DataFrame, s
             nuisance_threshold=F.lit(s.nuisance_threshold),
             collapse_window_s=F.lit(s.collapse_window_s).cast("bigint"),
             feature_encoding_version=F.lit(1),
-            examples=read,
+            examples=F.col("_read"),
         ),
     )
-    return materialize(learned.unionByName(commit, allowMissingColumns=True), "learned")
+    return learned.unionByName(commit, allowMissingColumns=True)
 
 
 def undo_lines(journal: DataFrame, rule_id: str) -> DataFrame:

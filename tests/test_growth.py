@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alarmlake.catalog import job_queries
-from alarmlake.operators import journal, rules
+from alarmlake.operators import journal, learn, rules
 from alarmlake.sources import adapters
 
 KEPT = ["seq", "stage", "protected", "rule_id", "rule_confidence", "window_s"]
@@ -84,3 +84,17 @@ def test_batches_of_a_stream_do_not_stay_small(spark, monkeypatch):
     staged = [spark.read.parquet(p) for p in paths]
     assert [p.count() for p in staged] == [3_000, 60_000]
     assert [len(p.inputFiles()) for p in staged] == [4, 12]
+
+
+def test_equal_batches_are_made_once(spark, sf_dir):
+    """Rules that match nothing in the ring share a batch; the rows of every rule are those of a rule taught alone."""
+    e, r = adapters.scored_events(spark, sf_dir), adapters.sample_rules(spark, sf_dir)
+    unknown = r.where("scope.alarm_code IS NOT NULL").limit(1).withColumn("scope", F.col("scope").withField("alarm_code", F.lit(10**9).cast("bigint")))
+    idle = unknown.crossJoin(spark.range(50)).withColumns({"rule_order": 10**9 + F.col("id"), "rule_id": F.concat(F.lit("idle-"), F.col("id").cast("string"))}).drop("id")
+    members, examples = learn.example_classes(e, r, idle)
+    assert members.count() == 50 and members.select("batch").distinct().count() == 1
+    assert examples.count() * 50 == learn.mint_examples(e, r, idle).count() > 0
+    kinds = idle.withColumn("pattern", F.col("pattern").withField("kind", F.lit("code_match")))
+    lines = learn.learn_lines(adapters.sample_journal(spark, sf_dir), kinds, examples, members=members)
+    sizes = {x.n for x in lines.where("op = 'commit'").select(F.size("examples").alias("n")).collect()}
+    assert sizes == {examples.count()}
