@@ -21,7 +21,7 @@ ARMIJO = 1e-4
 
 STATE = "version bigint, total double, reg double, slots array<int>, base array<double>, value double, direction array<double>, slope double, step double, done boolean"
 PARTIAL = "version bigint, i int, j int, v double"
-GRADIENT, LOSS = -1, -2  # in place of j
+GRADIENT, LOSS = -2, -3  # in place of j, which is a slot otherwise
 
 
 def _entries(data: pd.DataFrame, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,13 +32,16 @@ def _entries(data: pd.DataFrame, slots: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _partial(data: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """Loss, gradient and curvature that one chunk of examples adds at the point its model tries."""
+    """Loss, gradient and curvature that one chunk of examples adds at the point its model tries.
+
+    ``state`` has the chunk's own slots only, so a chunk costs the same however many features its model has.
+    """
     if data.empty or state.empty:
         return pd.DataFrame({"version": [], "i": [], "j": [], "v": []})
     s = state.iloc[0]
-    size = len(s.slots)
-    point = np.asarray(s.base) + s.step * np.asarray(s.direction)
-    row, at, x = _entries(data, np.asarray(s.slots))
+    slots, point = np.asarray(s.slots), np.asarray(s.point)
+    size = len(slots)
+    row, at, x = _entries(data, slots)
     weight, label = data["weight"].to_numpy(), data["label"].to_numpy()
     margin = np.bincount(row, x * point[at], len(data))
     p = 0.5 * (1 + np.tanh(margin / 2))
@@ -59,8 +62,8 @@ def _partial(data: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     touched = np.unique(at)
     return pd.DataFrame({
         "version": int(s.version),
-        "i": np.concatenate([cell // size, touched, [0]]),
-        "j": np.concatenate([cell % size, np.full(len(touched), GRADIENT), [LOSS]]),
+        "i": np.concatenate([slots[cell // size], slots[touched], [INTERCEPT_SLOT]]),
+        "j": np.concatenate([slots[cell % size], np.full(len(touched), GRADIENT), [LOSS]]),
         "v": np.concatenate([hessian, gradient[touched], [loss]]),
     })
 
@@ -96,7 +99,9 @@ def _advance(sums: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     point = np.asarray(s["base"]) + s["step"] * np.asarray(s["direction"])
     free = np.asarray(s["slots"]) == INTERCEPT_SLOT
     ridge = np.where(free, 0.0, s["reg"])
-    i, j, v = sums["i"].to_numpy(), sums["j"].to_numpy(), sums["v"].to_numpy() / s["total"]
+    j, v = sums["j"].to_numpy(), sums["v"].to_numpy() / s["total"]
+    i = np.searchsorted(s["slots"], sums["i"].to_numpy())
+    j = np.where(j >= INTERCEPT_SLOT, np.searchsorted(s["slots"], j), j)
     value = v[j == LOSS].sum() + 0.5 * (ridge * point**2).sum()
     if value > s["value"] + ARMIJO * s["step"] * s["slope"] + 1e-15 and s["step"] > 1e-12:
         return pd.DataFrame([s | {"step": s["step"] / 2}])
@@ -126,7 +131,8 @@ def fit_revisions(batches: DataFrame, versions: DataFrame, reg: float = 0.01, ch
     reg / 2 times the squared weights (the intercept is free), to a gradient of ``TOLERANCE``. One round is two grouped
     steps for all revisions at once: chunks of about ``chunk_rows`` examples give loss, gradient and curvature as
     sums per pair of features that meet in an example, and each model then takes a Newton step, or half of the last one if it
-    went too far. A task holds one chunk, or the sums of one model: they grow with the features that meet, not with events.
+    went too far. A chunk gets the weights of its own features only. A task holds one chunk, or the sums of one model: they grow with
+    the features that meet, not with events.
 
     Undoing a rule is a revision like any other: its model is fitted without that batch. A revision without examples has no
     rows; one whose examples are all of one class has an intercept of 36 or -36 only. Versions may repeat.
@@ -151,8 +157,9 @@ def fit_revisions(batches: DataFrame, versions: DataFrame, reg: float = 0.01, ch
     )
     data = materialize(data, "model-examples")
     zeros = F.transform("slots", lambda _: F.lit(0.0))
+    chunks = materialize(data.select("version", "chunk", F.explode("slots").alias("slot")).distinct(), "model-chunks")
     state = (
-        data.select("version", F.explode("slots").alias("slot")).groupBy("version").agg(F.array_sort(F.collect_set("slot")).alias("slots"))
+        chunks.select("version", "slot").distinct().groupBy("version").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
         .join(sizes, "version")
         .select("version", "total", F.lit(float(reg)).alias("reg"), "slots", zeros.alias("base"), F.lit(float("inf")).alias("value"),
                 zeros.alias("direction"), F.lit(0.0).alias("slope"), F.lit(1.0).alias("step"), F.lit(False).alias("done"))
@@ -164,8 +171,11 @@ def fit_revisions(batches: DataFrame, versions: DataFrame, reg: float = 0.01, ch
         if rounds > MAX_ROUNDS:
             raise RuntimeError(f"models still move after {MAX_ROUNDS} rounds")
         live = data.join(going.select("version"), "version", "left_semi")
-        copies = going.join(mixed, "version").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1))).drop("_chunks")
-        sums = live.groupBy("version", "chunk").cogroup(copies.groupBy("version", "chunk")).applyInPandas(_partial, PARTIAL)
+        tried = F.zip_with("base", "direction", lambda b, d: b + F.col("step") * d).alias("point")
+        points = going.select("version", F.col("slots").alias("slot"), tried).select("version", F.inline(F.arrays_zip("slot", "point")))
+        own_points = chunks.join(points, ["version", "slot"]).groupBy("version", "chunk").agg(F.array_sort(F.collect_list(F.struct("slot", "point"))).alias("e"))
+        own_points = own_points.select("version", "chunk", F.col("e.slot").alias("slots"), F.col("e.point").alias("point"))
+        sums = live.groupBy("version", "chunk").cogroup(own_points.groupBy("version", "chunk")).applyInPandas(_partial, PARTIAL)
         sums = sums.groupBy("version", "i", "j").agg(F.sum("v").alias("v"))
         state = materialize(sums.groupBy("version").cogroup(state.groupBy("version")).applyInPandas(_advance, STATE), "models")
     fitted = state.select("version", F.explode(F.arrays_zip("slots", "base")).alias("e")).select("version", F.col("e.slots").alias("slot"), F.col("e.base").alias("weight"))

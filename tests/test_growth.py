@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alarmlake.catalog import job_queries
-from alarmlake.operators import journal, learn, rules
+from alarmlake.operators import journal, learn, models, rules
 from alarmlake.sources import adapters
 
 KEPT = ["seq", "stage", "protected", "rule_id", "rule_confidence", "window_s"]
@@ -98,3 +98,13 @@ def test_equal_batches_are_made_once(spark, sf_dir):
     lines = learn.learn_lines(adapters.sample_journal(spark, sf_dir), kinds, examples, members=members)
     sizes = {x.n for x in lines.where("op = 'commit'").select(F.size("examples").alias("n")).collect()}
     assert sizes == {examples.count()}
+
+
+def test_a_chunk_gets_the_weights_of_its_own_features():
+    plain = models.pd.DataFrame
+    data = plain({"label": [1.0, 0.0], "weight": [1.0, 1.0], "slots": [[-1, 7], [-1, 900_000]], "xs": [[1.0, 1.0], [1.0, 1.0]]})
+    state = plain({"version": [3], "chunk": [0], "slots": [[-1, 7, 900_000]], "point": [[0.0, 0.5, -0.5]]})
+    sums = models._partial(data, state)
+    assert set(sums["i"]) == {-1, 7, 900_000} and (sums["j"] == models.LOSS).sum() == 1
+    pairs = {(i, j): v for i, j, v in zip(sums["i"], sums["j"], sums["v"]) if j >= -1}
+    assert set(pairs) == {(-1, -1), (-1, 7), (7, 7), (-1, 900_000), (900_000, 900_000)}
