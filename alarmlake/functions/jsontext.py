@@ -20,12 +20,19 @@ def sha256(text: Column) -> Column:
 KEY_OR_BRACE = r'"(?:\\.|[^"\\])*"\s*:?|[{}]'
 
 
+#: A key as it is written, without the colon (first group); other strings are passed over.
+KEY_NAME = r'("(?:\\.|[^"\\])*")\s*:|"(?:\\.|[^"\\])*"'
+
+
 def has_duplicate_keys(json: Column) -> Column:
     """True when any object of a JSON text repeats a key, at whatever depth; null when the text is no object.
 
     One walk over the keys and braces numbers the objects and keeps the open ones on a stack; a key belongs to the
-    innermost. Keys are compared as the text they stand for, so an escaped spelling is the same key.
+    innermost. Keys are compared as the text they stand for, so an escaped spelling is the same key. Texts without escapes or
+    control characters whose keys all differ as they are written repeat none in any object, and are not walked.
     """
+    names = F.array_remove(F.regexp_extract_all(json, F.lit(KEY_NAME), F.lit(1)), "")
+    differ = ~json.rlike(r"[\\\x00-\x1F]") & (F.size(names) == F.size(F.array_distinct(names)))
     start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("count"), F.array().cast("array<struct<of:int,key:string>>").alias("keys"))
 
     def step(state: Column, token: Column) -> Column:
@@ -36,7 +43,7 @@ def has_duplicate_keys(json: Column) -> Column:
         return F.struct(inner.alias("open"), F.when(opens, state["count"] + 1).otherwise(state["count"]).alias("count"), F.when(key, F.array_append(state["keys"], found)).otherwise(state["keys"]).alias("keys"))
 
     repeated = F.aggregate(F.regexp_extract_all(json, F.lit(KEY_OR_BRACE), F.lit(0)), start, step, lambda s: F.size(s["keys"]) != F.size(F.array_distinct(s["keys"])))
-    return F.when(json.rlike(r"^\s*\{"), repeated)
+    return F.when(json.rlike(r"^\s*\{"), F.when(differ, F.lit(False)).otherwise(repeated))
 
 
 # Fixed value: bare tokens that strict JSON does not allow as values.

@@ -1,10 +1,13 @@
 """Files: monthly scans, encodings, receipts, journal, publish."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from alarmlake import session
 from alarmlake.functions import text
+from alarmlake.functions.jsontext import has_duplicate_keys
 from alarmlake.operators import filters, validate
 from alarmlake.session import scratch_path
 from alarmlake.sources import adapters, raw_files, scans, sinks
@@ -180,3 +183,15 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="shared folder"):
         session.scratch_root(Cluster)
+
+
+def test_duplicate_keys_of_plain_and_of_odd_texts(spark):
+    """Plain texts are not walked key by key: a walk over 100,000 keys copies their list as often."""
+    texts = {
+        '{"a":1,"b":{"c":2}}': False, '{"a":1,"b":{"a":2}}': False, '{"a":1,"b":{"c":2,"c":3}}': True, '{"a":1,"a" :2}': True, '{"a":"a","b":"a\\":"}': False,
+        '{"a":1,"\\u0061":2}': True, '{"":1,"":2}': True, '{"":"","b":""}': False, '{"x":":","y":"x\\"","x":1}': True, '{"a":":\\"a\\":","b":"{"}': False, '[{"a":1,"a":2}]': None, "": None, " {}": False,
+        "{" + ",".join(f'"key {i}":"key 0"' for i in range(100_000)) + "}": False,
+    }
+    began = time.monotonic()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", has_duplicate_keys(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d for r in got} == texts and time.monotonic() - began < 20
