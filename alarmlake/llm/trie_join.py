@@ -210,12 +210,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     return prints.join(placed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "fp")
 
 
+def row_key(key: Column, mark: Column) -> Column:
+    """Identifier and text hash as one value to join on, in which nulls are equal; the cast lets rows of any origin have the same type."""
+    return F.struct(key.cast("long").alias("id"), mark.alias("mark")).cast("struct<id:bigint,mark:bigint>")
+
+
 def one_each(docs: DataFrame, placed: DataFrame, group: str, key: str, text: str) -> DataFrame:
     """Documents with one of each ``group`` of ``placed`` (id, mark): that with the least identifier (nulls last)."""
-    stay = placed.groupBy(group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.mark").alias("_mark"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_i"), F.xxhash64(text).alias("_m"))
-    met = rows.join(stay, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")))
-    return met.dropDuplicates(["_i", "_m"]).select("_row.*")
+    stay = placed.groupBy(group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("k")).select(row_key(F.col("k.id"), F.col("k.mark")).alias("_k"))
+    rows = docs.select(F.struct("*").alias("_row"), row_key(F.col(key), F.xxhash64(text)).alias("_k"))
+    # One key, so that the rows of the join are where the duplicates are dropped: texts are shuffled once.
+    return rows.join(stay, "_k").dropDuplicates(["_k"]).select("_row.*")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
