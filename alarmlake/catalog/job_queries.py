@@ -28,13 +28,13 @@ def raw_folder(spark, d):
     log = A.raw_alarm_log(spark, d)
     wide = A.scada_wide(spark, d).join(A.station_metadata(spark, d), F.col("turbine_id") == F.col("station_id"), "left_semi")
     wide = wide.groupBy("ts", "turbine_id").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    wide = materialize(wide, "wide")  # grouped once, for both tables
     text = wide.withColumns({"TimeStamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "StationId": F.col("turbine_id"), "wtc_ActRegSt_endvalue": F.lit("NotActive")})
     month_of = lambda name: F.translate(F.substring(name, 1, 7), "-", "_")
-    raw_files.write_monthly_csv(log.select(*LOG_COLUMNS), folder, "tblAlarmLog", month_of("TimeOn"))
+    months = raw_files.write_monthly_csv(log.select(*LOG_COLUMNS), folder, "tblAlarmLog", month_of("TimeOn"))
     raw_files.write_monthly_csv(text.select("TimeStamp", "StationId", "l_quantity", "l_tax"), folder, "tblSCTurTemp", month_of("TimeStamp"))
     raw_files.write_monthly_csv(text.select("TimeStamp", "StationId", "l_extendedprice", "l_discount", "wtc_ActRegSt_endvalue"), folder, "tblSCTurGrid", month_of("TimeStamp"))
-    months = log.select(F.year("TimeOn").alias("y"), F.month("TimeOn").alias("m")).distinct().orderBy("y", "m").collect()
-    return folder, [(r.y, r.m) for r in months]
+    return folder, [(int(m[:4]), int(m[5:])) for m in months]
 
 
 def monthly_log(spark, d):

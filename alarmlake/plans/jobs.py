@@ -43,6 +43,7 @@ def build_dataset(spark: SparkSession, raw: str, out: str, periods: list[tuple[i
     keys = [layout.alarm_time, layout.alarm_end, layout.alarm_station, layout.alarm_code]
     raw_alarms = scans.monthly_csv(spark, raw, layout.alarm_prefix, periods, keys)
     typed = lookup.with_code_labels(scans.alarm_log(raw_alarms, *[keys[i] for i in (0, 2, 3)]), codes)
+    typed = materialize(typed, "parsed-alarms")  # else the range sampling of the sequence parses and joins all rows once more
     alarms = dense_sequence(typed, [F.col(c) for c in (*ALARM_KEY, "description", "stopping")])
     long, profiles, signals_by_table = [], [], {}
     for table in tables:
@@ -78,7 +79,7 @@ def build_dataset(spark: SparkSession, raw: str, out: str, periods: list[tuple[i
             raise ValueError("sensor rows outside their month, repeated keys or unknown stations")
 
     dated = {"alarms": ("turbine_id", "ts"), "scada": ("turbine_id", "signal", "ts")}
-    sinks.publish(spark, {"alarms": alarms, "scada": scada, "profile": profile, "manifest": manifest}, out, check, dated)
+    sinks.publish(spark, {"alarms": alarms, "scada": scada, "profile": profile, "manifest": manifest}, out, check, dated, ("alarms",))
     return {name: sinks.published(spark, out, name) for name in ("alarms", "scada", "profile", "manifest")}
 
 

@@ -93,7 +93,7 @@ def dense_sequence(df: DataFrame, order: Sequence[Column], name: str = "seq", pa
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        stored.join(offsets, "_part")
+        stored.join(F.broadcast(offsets), "_part")  # one row per partition; the rows themselves are not shuffled for it
         .withColumn(name, F.col("_offset") + F.col("_at"))
         .drop("_part", "_at", "_offset")
     )

@@ -7,8 +7,8 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
-def write_monthly_csv(df: DataFrame, folder: str, prefix: str, month: Column) -> None:
-    """Rows as ``{prefix}_{month}.csv``, one file per month (text ``yyyy_MM``).
+def write_monthly_csv(df: DataFrame, folder: str, prefix: str, month: Column) -> list[str]:
+    """Rows as ``{prefix}_{month}.csv``, one file per month (text ``yyyy_MM``); returns the months in order.
 
     One job writes every month. The layout demands a single file per month, so a month's rows meet in one task.
     """
@@ -17,12 +17,15 @@ def write_monthly_csv(df: DataFrame, folder: str, prefix: str, month: Column) ->
     df.withColumn("_month", month).repartition("_month").write.partitionBy("_month").option("header", True).csv(staging)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    months = []
     for home in fs.listStatus(path(staging)):
         if home.isDirectory():
+            months.append(home.getPath().getName().removeprefix("_month="))
             (part,) = [f.getPath() for f in fs.listStatus(home.getPath()) if f.getPath().getName().startswith("part-")]
-            target = f"{folder}/{prefix}_{home.getPath().getName().removeprefix('_month=')}.csv"
+            target = f"{folder}/{prefix}_{months[-1]}.csv"
             if not fs.rename(part, path(target)):
                 raise OSError(f"could not place {target}")
+    return sorted(months)
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:

@@ -12,16 +12,18 @@ from pyspark.sql import types as T
 from alarmlake.functions.jsontext import finite_or_null
 
 
-def write_table(df: DataFrame, path: str, sort: tuple[str, ...] = ("turbine_id", "ts"), rows_per_file: int = 5_000_000) -> DataFrame:
+def write_table(df: DataFrame, path: str, sort: tuple[str, ...] = ("turbine_id", "ts"), rows_per_file: int = 5_000_000, in_time_order: bool = False) -> DataFrame:
     """Parquet partitioned by date, rows sorted inside files so row-group statistics prune.
 
     Rows are range-partitioned on date, sort columns and a row hash, so partitions are even
-    whatever share of the rows one date or station holds.
+    whatever share of the rows one date or station holds. Rows whose partitions already are even
+    ranges of time (``in_time_order``, as of a dense sequence) stay where they are.
     """
-    dated = df.withColumn("date", F.to_date("ts"))
-    # A number of partitions keeps them from being merged: many dates mean many files, whatever their size.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = dated.repartitionByRange(parts, "date", *sort, F.xxhash64(*df.columns))
+    spread = df.withColumn("date", F.to_date("ts"))
+    if not in_time_order:
+        # A number of partitions keeps them from being merged: many dates mean many files, whatever their size.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = spread.repartitionByRange(parts, "date", *sort, F.xxhash64(*df.columns))
     (
         spread.sortWithinPartitions("date", *sort)
         .write.partitionBy("date")
@@ -58,11 +60,13 @@ def _flip_pointer(spark: SparkSession, root: str, run: str) -> None:
 
 
 def publish(
-    spark: SparkSession, tables: dict[str, DataFrame], root: str, validate: Callable[[dict[str, DataFrame]], None] | None = None, dated: dict[str, tuple[str, ...]] | None = None
+    spark: SparkSession, tables: dict[str, DataFrame], root: str, validate: Callable[[dict[str, DataFrame]], None] | None = None, dated: dict[str, tuple[str, ...]] | None = None,
+    in_time_order: tuple[str, ...] = (),
 ) -> str:
     """Write all tables to a staging folder, validate what was written, then flip the pointer.
 
-    Tables in ``dated`` are partitioned by date and sorted by the columns named there.
+    Tables in ``dated`` are partitioned by date and sorted by the columns named there, without a
+    shuffle those in ``in_time_order``.
 
     Readers follow the pointer table, so they see either the previous run or the new one; a
     failure leaves the pointer as it was.
@@ -72,7 +76,7 @@ def publish(
     written = {}
     for name, df in tables.items():
         if name in (dated or {}):
-            written[name] = write_table(df, f"{base}/{name}", dated[name])
+            written[name] = write_table(df, f"{base}/{name}", dated[name], in_time_order=name in in_time_order)
         else:
             df.write.parquet(f"{base}/{name}")
             written[name] = spark.read.parquet(f"{base}/{name}")

@@ -1,13 +1,16 @@
 """Work that must not grow with rules that repeat a predicate, nor with the number of micro-batches."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from alarmlake.catalog import job_queries
-from alarmlake.operators import journal, learn, models, rules
-from alarmlake.sources import adapters
+from alarmlake.operators import journal, learn, models, rules, validate
+from alarmlake.plans.segments import dense_sequence
+from alarmlake.session import materialize
+from alarmlake.sources import adapters, raw_files, scans, sinks
 
 KEPT = ["seq", "stage", "protected", "rule_id", "rule_confidence", "window_s"]
 
@@ -108,3 +111,45 @@ def test_a_chunk_gets_the_weights_of_its_own_features():
     assert set(sums["i"]) == {-1, 7, 900_000} and (sums["j"] == models.LOSS).sum() == 1
     pairs = {(i, j): v for i, j, v in zip(sums["i"], sums["j"], sums["v"]) if j >= -1}
     assert set(pairs) == {(-1, -1), (-1, 7), (7, 7), (-1, 900_000), (900_000, 900_000)}
+
+
+def plan_of(df, mode):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+def test_row_loop_of_the_raw_log_is_compiled(spark, sf_dir):
+    text = materialize(adapters.raw_alarm_log(spark, sf_dir), "text")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan_of(scans.alarm_log(text), "codegen"))]
+    assert sizes and max(sizes) < 8000  # the JVM leaves larger methods uncompiled
+
+
+NUMBERS = [None, "", " ", "5", "+5", "-0", "00012", "9" * 15, "9" * 16, "9223372036854775807", "9223372036854775808", " 7 ", "7\n", "7.0", "7.50", "1.5e1", "1d", "+", "NaN", "5\x00"]
+TIMES = ["2024-01-01T00:00:01", "2024-01-01 00:00:01", "2024-13-01T00:00:00", "2024-02-30 01:01:01", "2024-01-01T24:00:00", "2024-01-01T00:00:01Z", "2024-01-01T00:00:01,5", " 2024-01-01T00:00:01\n", "20240101T000001", "2024-01-01"]
+
+
+@pytest.mark.parametrize(("quick", "whole"), [(validate.integer_or_null, validate._any_integer), (validate.iso_or_null, lambda t: validate._any_timestamp(t).cast("timestamp_ntz"))])
+def test_quick_test_of_a_text_changes_no_value(spark, quick, whole):
+    rows = spark.createDataFrame([(v,) for v in NUMBERS + TIMES], "v string").select("v", quick(F.col("v")).alias("a"), whole(F.col("v")).alias("b")).collect()
+    assert [(r.v, r.a) for r in rows] == [(r.v, r.b) for r in rows]
+    assert sum(r.a is not None for r in rows) > 5
+
+
+def test_rows_are_not_shuffled_for_the_offsets_of_their_numbers(spark, sf_dir):
+    numbered = dense_sequence(adapters.alarms(spark, sf_dir).drop("seq"), [F.col("ts"), F.col("alarm_code")])
+    assert "SortMergeJoin" not in plan_of(numbered, "simple")
+    assert sorted(r.seq for r in numbered.select("seq").collect()) == list(range(numbered.count()))
+
+
+def test_table_in_time_order_is_written_where_its_rows_are(spark, sf_dir, tmp_path):
+    rows = dense_sequence(adapters.alarms(spark, sf_dir).drop("seq"), [F.col("ts"), F.col("turbine_id")])
+    back = sinks.write_table(rows, f"{tmp_path}/table", in_time_order=True)
+    assert back.drop("date").exceptAll(rows.select(*back.drop("date").columns)).isEmpty() and back.count() == rows.count()
+    assert back.where(F.col("date") != F.to_date("ts")).isEmpty()
+    order = [(r.f, r.turbine_id, r.ts) for r in back.select(F.col("_metadata.file_path").alias("f"), "turbine_id", "ts", F.monotonically_increasing_id().alias("i")).orderBy("i").collect()]
+    files = {f: [x[1:] for x in order if x[0] == f] for f, *_ in order}
+    assert all(x == sorted(x) for x in files.values())
+
+
+def test_months_follow_from_the_files_written(spark, tmp_path):
+    rows = spark.createDataFrame([("2024_02", "a"), ("2023_12", "b"), ("2024_02", "c")], "m string, v string")
+    assert raw_files.write_monthly_csv(rows.select("v", "m"), f"{tmp_path}/raw", "t", F.col("m")) == ["2023_12", "2024_02"]
